@@ -28,6 +28,8 @@ def with_views(body: str, *names: str) -> str:
     for name in names:
         add(name)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in ordered)
+    if ordered and body.startswith("WITH "):  # the body brings more common table expressions
+        return f"WITH {ctes}, {body.removeprefix('WITH ')}"
     return f"WITH {ctes}\n{body}" if ordered else body
 
 

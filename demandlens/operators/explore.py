@@ -193,13 +193,13 @@ def app_market(apps: DataFrame) -> DataFrame:
     ``apps(term, name, rating, ratings)``.  Fixed-size buffers only, so one huge term still combines before the shuffle.
     """
     rated = F.col("ratings") > 0
-    strongest = F.struct(F.col("ratings"), F.col("name"))
+    strongest_first = F.struct((-F.col("ratings")).alias("r"), F.col("name"))
     return (
         apps.groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.coalesce(F.sum(F.when(rated, F.col("ratings"))), F.lit(0)).alias("total_ratings"),
-            F.max_by(F.when(rated, F.col("name")), F.when(rated, strongest)).alias("strongest"),
+            F.min_by(F.when(rated, F.col("name")), F.when(rated, strongest_first)).alias("strongest"),
         )
         .withColumn(
             "crowd",
