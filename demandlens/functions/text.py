@@ -46,6 +46,14 @@ def word_pattern(alternation: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + f"{WORD_START}(?:{body}){WORD_END}"
 
 
+ASCII_BOUNDARY = f"(?:(?<=[A-Za-z0-9_]){WORD_END}|{WORD_START}(?=[A-Za-z0-9_]))"
+
+
+def any_word_pattern(words: list[str]) -> str:
+    """Any of the literal words between word boundaries, whatever characters they start and end with; ignores case."""
+    return f"(?i){ASCII_BOUNDARY}(?:{quote_words(words)}){ASCII_BOUNDARY}"
+
+
 def quote_words(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
