@@ -160,7 +160,9 @@ STREET_WORDS = r"street|st\.?|road|rd\.?|nagar main|floor|flat|no\.?|plot|door|o
 # --- fixed values: website extraction patterns ------------------------------------------------------------------------
 EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 JUNK_EMAIL = r"(example|sentry|wixpress|domain|email)\.|\.(png|jpe?g|gif|webp|svg|css|js)$|^(you|your|name|user)@"
-MOBILE = r"(?<![0-9])(?:\+?91[\s-]*)?0?([6-9][0-9]{4})[\s-]?([0-9]{5})(?![0-9])"
+MOBILE = (
+    r"(?<![0-9])(?:\+?91[\s\x0B\p{Z}\uFEFF-]*)?0?([6-9][0-9]{4})[\s\x0B\p{Z}\uFEFF-]?([0-9]{5})(?![0-9])"
+)
 TEL_HREF = "href=[\"']tel:([^\"']+)[\"']"
 WHATSAPP = r"(?:wa\.me/|api\.whatsapp\.com/send\?phone=|whatsapp\.com/send\?phone=)\+?([0-9]{10,15})"
 INSTAGRAM = r"https?://(?:www\.)?instagram\.com/[a-z0-9_.]+"
