@@ -143,8 +143,9 @@ def apply_patches(leads: DataFrame, patches: DataFrame, settings: Settings, now)
 
     Values are cut at 2,000 characters and phones at 40, as the fields are defined.
     """
-    # two maps may name the same lead; the larger patch number wins field by field upstream
     joined = leads.join(patches.select("id", F.col("set").alias("_set")), "id", "left")
+    phone = F.element_at("_set", F.lit("phone"))
+    joined = text.computed_once(joined, "_ph", norm_phone(phone, settings.cc))
 
     def patched(name: str) -> Column:
         # a key that is present with NULL clears the field
@@ -156,14 +157,13 @@ def apply_patches(leads: DataFrame, patches: DataFrame, settings: Settings, now)
             given = given & value.isin(*fixed.LANGUAGES)
         return F.when(given, value).otherwise(F.col(name))
 
-    phone = F.element_at("_set", F.lit("phone"))
     has_phone = F.coalesce(F.map_contains_key("_set", "phone"), F.lit(False))
-    parsed = norm_phone(phone, settings.cc)
+    parsed = F.col("_ph")
     changes = {name: patched(name) for name in fixed.PATCHABLE}
     changes["phone"] = F.when(has_phone, F.left(text.or_blank(phone), F.lit(40))).otherwise(F.col("phone"))
     changes["wa"] = F.when(has_phone, parsed["wa"]).otherwise(F.col("wa"))
     changes["phone_type"] = F.when(has_phone, parsed["type"]).otherwise(F.col("phone_type"))
-    return rescore(joined.withColumns(changes), settings, now, F.col("_set").isNotNull()).drop("_set")
+    return rescore(joined.withColumns(changes), settings, now, F.col("_set").isNotNull()).drop("_set", "_ph")
 
 
 # --- listing ------------------------------------------------------------------------------------------------------------

@@ -235,7 +235,7 @@ def resolve_leads(
     """
     guarded = guard_leads(batch)
     raw_phone = F.coalesce(text.blank_to_null(F.col("phone")), text.blank_to_null(F.col("intl_phone")))
-    rows = guarded.filter(F.col("skip_reason").isNull()).withColumn("_ph", norm_phone(raw_phone, settings.cc))
+    rows = text.computed_once(guarded.filter(F.col("skip_reason").isNull()), "_ph", norm_phone(raw_phone, settings.cc))
     rows = rows.withColumns(
         {"p": text.or_blank(F.col("place_id")), "w": F.col("_ph.wa"), "phone_type": F.col("_ph.type")}
     ).drop("_ph")

@@ -128,8 +128,9 @@ def apply_enrichment(leads: DataFrame, sites: DataFrame, settings: Settings, now
         return text.or_blank(c) == ""
 
     first_wa, first_phone = F.get(s["wa"], F.lit(0)), F.get(s["phones"], F.lit(0))
-    from_link = norm_phone(F.concat(F.lit("+"), first_wa), settings.cc)
-    from_text = norm_phone(first_phone, settings.cc)
+    joined = text.computed_once(joined, "_link", norm_phone(F.concat(F.lit("+"), first_wa), settings.cc))
+    joined = text.computed_once(joined, "_text", norm_phone(first_phone, settings.cc))
+    from_link, from_text = F.col("_link"), F.col("_text")
     use_link = ok & first_wa.isNotNull() & (from_link["wa"] != "")
     not_mobile = text.or_blank(F.col("phone_type")) != "mobile"
     use_text = ok & first_wa.isNull() & not_mobile & first_phone.isNotNull() & (from_text["type"] == "mobile")
@@ -167,4 +168,4 @@ def apply_enrichment(leads: DataFrame, sites: DataFrame, settings: Settings, now
             "score": F.when(F.col("_seen"), F.col("score")).otherwise(F.col("_score")),
             "signals": F.when(F.col("_seen"), F.col("signals")).otherwise(F.col("_signals")),
         }
-    ).drop("_s", "_seen", "_score", "_signals")
+    ).drop("_s", "_link", "_text", "_seen", "_score", "_signals")
