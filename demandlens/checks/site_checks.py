@@ -87,13 +87,14 @@ def _q(p: str) -> str:
 
 
 def _extract_sql(source: str, keys: str) -> str:
-    """Everything but phone numbers, over ``source``."""
+    """Everything ``extract`` finds, over ``source``."""
     words = ", ".join(f"lower(regexp_extract(body, '(?i)\\b({p})\\b'))" for p in fixed.PORTAL_WORDS)
     stores = ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p}') THEN '{label}' END" for p, label in fixed.STORES)
     return f"""SELECT {keys},
     [e for e in {_distinct("[lower(x) for x in regexp_extract_all(body, '(?i)" + _q(fixed.EMAIL) + "')]")} if NOT regexp_matches(e, '(?i){_q(JUNK)}')][1:5] AS emails,
     {_distinct("regexp_extract_all(body, '(?i)" + _q(fixed.WHATSAPP) + "', 1)")} AS wa,
     regexp_extract(body, '(?i){_q(fixed.INSTAGRAM)}') AS instagram, regexp_extract(body, '(?i){_q(fixed.FACEBOOK)}') AS facebook,
+    {_phones_sql('body')} AS phones,
     [x for x in [{stores}] if x IS NOT NULL] AS stores, [x for x in [{words}] if x <> ''] AS words,
     regexp_extract(html, '(?i){_q(fixed.CONTACT_HREF)}', 1) AS contact_link
   FROM (SELECT *, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g') AS body FROM {source})"""
@@ -104,6 +105,19 @@ def _distinct(items: str) -> str:
     return f"[z.x for z in [{{'x': y, 'i': list_position({items}, y), 'n': n}} for y, n in {items}] if z.i = z.n]"
 
 
+# RE2 has no look-around: every non-digit is doubled, so that one copy can serve as the end of a match and one as the next start
+_MOBILE_RE2 = r"(?:^|[^0-9])(?:(?:\+\+|\+)?91(?:[\s\x0B\p{Z}-]*))?0?([6-9][0-9]{4}(?:(?:\s|\x0B|\p{Z}|-){2})?[0-9]{5})(?:$|[^0-9])"
+
+
+def _phones_sql(body: str) -> str:
+    """Written mobiles, then the last ten digits of tel: links."""
+    doubled = f"regexp_replace({body}, '([^0-9])', '\\1\\1', 'g')"
+    written = f"[regexp_replace(y, '[^0-9]', '', 'g') for y in regexp_extract_all({doubled}, '{_MOBILE_RE2}', 1)]"
+    digits = f"[regexp_replace(y, '[^0-9]', '', 'g') for y in regexp_extract_all({body}, '(?i){_q(fixed.TEL_HREF)}', 1)]"
+    dialled = f"[right(y, 10) for y in {digits} if length(y) >= 10]"
+    return _distinct(f"list_concat({written}, {dialled})")
+
+
 view("v_extract", _extract_sql("v_pages", "page_id, url"), ("v_pages",))
 view("v_extract2", _extract_sql("v_contacts", "page_id, url"), ("v_contacts",))
 _FLAT = "array_to_string({0}, '|') AS {0}"
@@ -111,24 +125,22 @@ _FLAT = "array_to_string({0}, '|') AS {0}"
 
 @check(
     "enrich_extract",
-    f"""SELECT page_id, {', '.join(_FLAT.format(c) for c in ('emails', 'wa', 'stores', 'words'))}, instagram, facebook, contact_link FROM v_extract""",
+    f"""SELECT page_id, {', '.join(_FLAT.format(c) for c in ('emails', 'phones', 'wa', 'stores', 'words'))}, instagram, facebook, contact_link FROM v_extract""",
     ("v_extract",),
 )
 def enrich_extract(spark, d):
     out = sites.extract(pages(spark, d), JUNK)
     return out.select(
-        "page_id", *[F.array_join(c, "|").alias(c) for c in ("emails", "wa", "stores", "words")], "instagram", "facebook", "contact_link"
+        "page_id", *[F.array_join(c, "|").alias(c) for c in ("emails", "phones", "wa", "stores", "words")], "instagram", "facebook", "contact_link"
     )
 
 
-# RE2 has no look-around: every non-digit is doubled, so that one copy can serve as the end of a match and one as the next start
-_DOUBLED = "regexp_replace(regexp_replace(text, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '([^0-9])', '\\1\\1', 'g')"
-_MOBILE_RE2 = r"(?:^|[^0-9])(?:(?:\+\+|\+)?91(?:[\s\x0B\p{Z}-]*))?0?([6-9][0-9]{4}(?:(?:\s|\x0B|\p{Z}|-){2})?[0-9]{5})(?:$|[^0-9])"
+_STRIPPED = "regexp_replace(text, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g')"
 
 
 @check(
     "enrich_phones",
-    f"""SELECT doc_id, array_to_string([x for x in {_distinct("[regexp_replace(y, '[^0-9]', '', 'g') for y in regexp_extract_all(" + _DOUBLED + ", '" + _MOBILE_RE2 + "', 1)]")}], '|') AS phones FROM (
+    f"""SELECT doc_id, array_to_string({_phones_sql(_STRIPPED)}, '|') AS phones FROM (
   SELECT doc_id, text || ' ' || (9000000000 + doc_id * 7) || ',+91 98765' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || ' 0' || (7000000000 + doc_id) || '1' AS text FROM documents)""",
 )
 def enrich_phones(spark, d):
@@ -146,6 +158,7 @@ view(
     f"""SELECT page_id + 1 AS id, CASE WHEN page_id % 50 = 0 THEN 'bad url' WHEN page_id % 5 = 4 THEN 'site did not respond' END AS reason, a.page_id,
     CASE WHEN b.page_id IS NULL THEN a.emails ELSE list_concat(a.emails, [x for x in b.emails if NOT list_contains(a.emails, x)]) END AS emails,
     CASE WHEN b.page_id IS NULL THEN a.wa ELSE list_concat(a.wa, [x for x in b.wa if NOT list_contains(a.wa, x)]) END AS wa,
+    CASE WHEN b.page_id IS NULL THEN a.phones ELSE list_concat(a.phones, [x for x in b.phones if NOT list_contains(a.phones, x)]) END AS phones,
     CASE WHEN b.page_id IS NULL THEN {_distinct('a.words')} ELSE list_concat({_distinct('a.words')}, [x for x in b.words if NOT list_contains(a.words, x)]) END AS words,
     a.stores, a.instagram, a.facebook
   FROM v_extract a LEFT JOIN v_extract2 b USING (page_id)""",
@@ -183,29 +196,24 @@ def enrich_sites(spark, d):
 
 @check(
     "enrich_apply",
-    f"""SELECT l.id, CASE WHEN s.id IS NULL THEN l.wa WHEN s.reason IS NULL AND len(s.wa) > 0 THEN s.wa[1] ELSE l.wa END AS wa,
-  CASE WHEN s.reason IS NULL AND len(s.wa) > 0 THEN 'mobile' ELSE l.phone_type END AS phone_type,
-  CASE WHEN s.id IS NULL OR s.reason IS NOT NULL THEN '' ELSE coalesce(s.emails[1], '') END AS email,
-  CASE WHEN s.id IS NOT NULL AND s.reason IS NULL THEN CASE WHEN len(stores) > 0 THEN 'yes' WHEN len(words) > 0 THEN 'maybe' ELSE 'no' END ELSE has_app END AS has_app,
-  s.reason AS error FROM v_leads l LEFT JOIN v_sites s ON l.id = s.id
-WHERE NOT (coalesce(s.reason IS NULL AND s.page_id % 6 IN (0, 4), false))""",
+    f"""SELECT id, {v.score_sql()} AS score, wa, phone, phone_type, email, has_app, others, note, error FROM (
+  SELECT l.id, name, rating, reviews, website, enriched OR s.id IS NOT NULL AS enriched, error,
+    CASE WHEN link THEN s.wa[1] WHEN written THEN '91' || phones[1] ELSE l.wa END AS wa,
+    CASE WHEN l.phone <> '' THEN l.phone WHEN link THEN '+' || s.wa[1] WHEN written THEN phones[1] ELSE '' END AS phone,
+    CASE WHEN link OR written THEN 'mobile' ELSE l.phone_type END AS phone_type,
+    CASE WHEN ok THEN coalesce(s.emails[1], '') ELSE '' END AS email,
+    CASE WHEN ok THEN CASE WHEN len(stores) > 0 THEN 'yes' WHEN len(words) > 0 THEN 'maybe' ELSE 'no' END ELSE l.has_app END AS has_app,
+    CASE WHEN ok THEN array_to_string(['+91' || x for x in phones], '|') END AS others,
+    CASE WHEN link THEN 'WhatsApp number from website' WHEN written THEN 'Mobile number from website' END AS note
+  FROM v_leads l LEFT JOIN (SELECT *, reason AS error, reason IS NULL AS ok FROM v_sites) s ON l.id = s.id,
+    LATERAL (SELECT coalesce(ok AND len(s.wa) > 0, false) AS link),
+    LATERAL (SELECT coalesce(ok AND len(s.wa) = 0 AND l.phone_type <> 'mobile' AND len(phones) > 0 AND phones[1] >= '6', false) AS written))""",
     ("v_sites", "v_leads"),
 )
 def enrich_apply(spark, d):
-    """Leads whose page carries a written or dialled mobile are left to the fixtures: their pages are those with id % 6 in (0, 4)."""
-    out = _applied(spark, d)
-    page = F.col("id") - 1
-    results = site_results(spark, d).select("id", F.col("ok"))
-    shown = out.join(results, "id", "left").filter(~(F.coalesce("ok", F.lit(False)) & (page % 6).isin(0, 4)))
-    return shown.select("id", "wa", "phone_type", "email", F.col("extra.hasApp").alias("has_app"), F.col("extra.enrichError").alias("error"))
-
-
-def _applied(spark, d):
-    return sites.apply_enrichment(v.leads(spark, d), site_results(spark, d), v.SETTINGS, v.now())
-
-
-@check("enrich_apply_all")
-def enrich_apply_all(spark, d):
-    """All leads, with score, phones and note (no SQL form: look-around)."""
-    out = _applied(spark, d)
-    return out.select("id", "score", "wa", "phone", "phone_type", F.array_join("extra.otherPhones", "|").alias("others"), F.col("extra.phoneNote").alias("note"))
+    out = sites.apply_enrichment(v.leads(spark, d), site_results(spark, d), v.SETTINGS, v.now())
+    extra = F.col("extra")
+    return out.select(
+        "id", "score", "wa", "phone", "phone_type", "email", extra["hasApp"].alias("has_app"), F.array_join(extra["otherPhones"], "|").alias("others"),
+        extra["phoneNote"].alias("note"), extra["enrichError"].alias("error"),
+    )
