@@ -82,7 +82,7 @@ def score_phrases(phrases: DataFrame, dim: DataFrame) -> DataFrame:
     return (
         phrases.join(dim.select("search_id", "n_requested"), "search_id")
         .withColumn("score", demand_score(F.col("best"), F.size("sources"), F.col("n_requested"), F.col("occ")))
-        .drop("best")
+        .drop("best", "n_requested")
     )
 
 
@@ -152,19 +152,23 @@ def flag_fringe(df: DataFrame, core: DataFrame) -> DataFrame:
     )
 
 
-def keyword_table(
-    obs: DataFrame, scans: DataFrame, sources=SOURCE_IDS, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
-) -> DataFrame:
-    """The whole path: observations -> ranked keywords with band, intent, place, fringe flag and terms.
+def classify_scored(scored: DataFrame, dim: DataFrame, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS) -> DataFrame:
+    """Scored phrases -> ranked keywords with band, intent, place, fringe flag and terms.
 
-    The scored phrases are sorted and written once; the core vocabulary is read back from that copy.
+    The scored phrases are sorted and written once (see ``global_rank``); the core vocabulary is read back from that copy.
     """
-    dim = scan_dimension(scans)
-    scored = score_phrases(aggregate_phrases(relevant(obs, dim), sources), dim)
     ranked = rank_and_band(scored)
     core = core_terms(ranked, dim)
-    words = topic_terms(ranked.join(dim.select("search_id", "seed_tokens"), "search_id"), "seed_tokens", stop_words)
+    words = topic_terms(ranked.join(dim.select("search_id", "seed_tokens", "n_requested"), "search_id"), "seed_tokens", stop_words)
     classified = words.withColumn("intent", intent_of(F.col("phrase"), rules)).withColumn("place", place_candidate(F.col("phrase")))
     return flag_fringe(classified, core).select(
         "search_id", "rank", "phrase", "sources", "occ", "score", "band", "intent", "place", "fringe", "terms"
     )
+
+
+def keyword_table(
+    obs: DataFrame, scans: DataFrame, sources=SOURCE_IDS, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
+) -> DataFrame:
+    """The whole path from observations to the classified keyword table."""
+    dim = scan_dimension(scans)
+    return classify_scored(score_phrases(aggregate_phrases(relevant(obs, dim), sources), dim), dim, rules, stop_words)
