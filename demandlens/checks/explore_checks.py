@@ -9,6 +9,7 @@ from demandlens.checks import phrase_views as v
 from demandlens.checks.registry import check, table
 from demandlens.operators import explore, intents
 from demandlens.operators.explore import KeywordQuery
+from demandlens.session import pin
 
 _BASE = r"""contains(phrase, 'e') AND contains(phrase, 'in') AND NOT regexp_matches(phrase, '(^|\s)franchise cost(\s|$)')
   AND NOT regexp_matches(phrase, '(^|\s)kit(\s|$)')"""
@@ -149,7 +150,7 @@ LEFT JOIN kept k ON p.search_id = k.search_id AND p.place = k.place""",
 )
 def place_validate(spark, d):
     """Verdicts derived from the candidate itself: a length divisible by 3 is no place, one of 4 was not looked up."""
-    kw = v.aggregated(spark, d).withColumn("place", intents.place_candidate(F.col("phrase")))
+    kw = pin(v.aggregated(spark, d).withColumn("place", intents.place_candidate(F.col("phrase"))))
     names = kw.filter("place <> ''").select("place").distinct()
     gazetteer = names.filter(F.length("place") % 3 != 1).withColumns(
         {

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from demandlens.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -48,5 +50,9 @@ def check(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return register
 
 
+HEAVY = ("documents", "lineitem", "pages")  # regex work over every row
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df

@@ -9,6 +9,7 @@ from demandlens import fixed
 from demandlens.functions import text, urls
 from demandlens.functions.phone import norm_phone
 from demandlens.operators.leads import score_leads
+from demandlens.session import pin
 from demandlens.settings import Settings
 
 ARRAYS = ("emails", "phones", "wa", "stores", "words")
@@ -90,9 +91,9 @@ def read_sites(leads: DataFrame, pages: DataFrame, junk: str = fixed.JUNK_EMAIL)
     """
     dump = extract(pages.filter(text.or_blank(F.col("html")) != ""), junk).withColumn("_u", urls.parse(F.col("url")))
     dump = dump.filter(F.col("_u").isNotNull()).withColumn("page", F.col("_u.page"))
-    # one answer per address
-    found = dump.groupBy("page").agg(
-        F.min_by(F.struct("contact_link", *ARRAYS, *SOCIAL), F.struct("url", "contact_link")).alias("x")
+    # one answer per address; written once, because home pages and contact pages both look into it
+    found = pin(
+        dump.groupBy("page").agg(F.min_by(F.struct("contact_link", *ARRAYS, *SOCIAL), F.struct("url", "contact_link")).alias("x"))
     )
     site = leads.filter(text.or_blank(F.col("website")) != "").select(
         "id", urls.parse(urls.with_scheme(F.col("website"))).alias("base")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens import fixed
 from demandlens.operators import ordering
+from demandlens.session import pin
 
 MAX_STRIKES = 4
 MAX_ERRORS = 25
@@ -34,27 +35,34 @@ def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source")
 
     ``attempts(keys..., seq, outcome)``: ``seq`` is an integer, unique per source; a cached answer has outcome ``cached`` and
     touches no counter.  Adds ``strikes``, ``errs`` (after the attempt), ``off_at`` (seq of the attempt that switches the source
-    off) and ``skipped``.  The order of attempts is that of ``seq``; a source may hold any share of the rows, because the
-    running counts are chunked.
+    off) and ``skipped``.  The order of attempts is that of ``seq``.  A source may hold any share of the rows: counts run inside
+    chunks of ``chunk`` consecutive numbers, and only one summary row per chunk meets the others of its source.
     """
     keys = list(keys)
-    rate, err = (F.col("outcome") == "rate").cast("long"), (F.col("outcome") == "err").cast("long")
-    counted = ordering.running(attempts, keys, "seq", {"_rates": ("sum", rate), "_errs": ("sum", err)}, chunk=chunk)
-    ok = F.col("outcome") == "ok"
+    ok, rate, err = F.col("outcome") == "ok", F.col("outcome") == "rate", F.col("outcome") == "err"
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counted = attempts.withColumn("_chunk", F.expr(f"seq div {chunk}")).withColumns(
+        {"_r": F.count_if(rate).over(inside), "_e": F.count_if(err).over(inside)}
+    )
     # counts never fall, so their value at the last ok is their largest value at any ok so far
-    based = ordering.running(
-        counted,
-        keys,
-        "seq",
-        {"_rates_ok": ("max", F.when(ok, F.col("_rates"))), "_errs_ok": ("max", F.when(ok, F.col("_errs")))},
-        chunk=chunk,
+    local = pin(
+        counted.withColumns(
+            {"_r_ok": F.max(F.when(ok, F.col("_r"))).over(inside), "_e_ok": F.max(F.when(ok, F.col("_e"))).over(inside)}
+        )
+    )
+    per_chunk = local.groupBy(*keys, "_chunk").agg(*[F.max(c).alias(c) for c in ("_r", "_e", "_r_ok", "_e_ok")])
+    until = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per_chunk.withColumns({f"_b{c}": F.coalesce(F.sum(c).over(until), F.lit(0)) for c in ("_r", "_e")})
+    carry = totals.select(
+        *keys, "_chunk", "_b_r", "_b_e",
+        *[F.coalesce(F.max(F.col(f"_b{c}") + F.col(f"{c}_ok")).over(until), F.lit(0)).alias(f"_base{c}") for c in ("_r", "_e")],
     )
-    since = based.withColumns(
-        {
-            "strikes": F.col("_rates") - F.coalesce("_rates_ok", F.lit(0)),
-            "errs": F.col("_errs") - F.coalesce("_errs_ok", F.lit(0)),
-        }
-    ).drop("_rates", "_errs", "_rates_ok", "_errs_ok")
+    joined = local.join(carry, [*keys, "_chunk"])
+
+    def since_ok(c: str) -> Column:
+        return F.col(c) - F.coalesce(F.col(f"{c}_ok"), F.col(f"_base{c}") - F.col(f"_b{c}"))
+
+    since = joined.withColumns({"strikes": since_ok("_r"), "errs": since_ok("_e")}).select(*attempts.columns, "strikes", "errs")
     trips = ((F.col("outcome") == "rate") & (F.col("strikes") >= MAX_STRIKES)) | (
         (F.col("outcome") == "err") & (F.col("errs") >= MAX_ERRORS)
     )

@@ -45,3 +45,13 @@ def pin(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy row work on an input with fewer splits than cores.
+
+    A Parquet file cannot be read in smaller pieces than its row groups.  An input with few of them is small, so dealing its rows
+    out costs little; anything larger is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
