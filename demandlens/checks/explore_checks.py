@@ -175,7 +175,7 @@ def intent_dim(spark, d):
 
 @check(
     "app_market",
-    """SELECT term, count(*) AS count, CAST(sum(ratings) FILTER (ratings > 0) AS BIGINT) AS total_ratings,
+    """SELECT term, count(*) AS count, CAST(coalesce(sum(ratings), 0) AS BIGINT) AS total_ratings,
   arg_min(name, {'r': -ratings, 'name': name}) FILTER (ratings > 0) AS strongest,
   CASE WHEN count(*) < 8 THEN 'open' WHEN sum(ratings) > 20000 THEN 'crowded' ELSE 'moderate' END AS crowd
 FROM (SELECT p_brand || '/' || (p_size % 7) AS term, p_name || ' ' || p_partkey AS name, CASE WHEN p_size < 10 THEN 0 ELSE p_size * 45 END AS ratings FROM part)

@@ -34,7 +34,7 @@ def _case(key: str, options: tuple[str, ...]) -> str:
 
 view(
     "v_pages",
-    f"""SELECT page_id, url, html || {_case('page_id', _TAILS)} || '<a href="' || {_case('page_id', _HREF)} || '">c</a>' AS html FROM pages""",
+    f"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/p' || page_id || regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS url, html || {_case('page_id', _TAILS)} || '<a href="' || {_case('page_id', _HREF)} || '">c</a>' AS html FROM pages""",
 )
 view(
     "v_contacts",
@@ -60,6 +60,11 @@ def _origin():
     return F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
 
 
+def own_url():
+    """Some addresses differ in their fragment only; a path of its own keeps every page apart."""
+    return F.concat(_origin(), F.lit("/p"), F.col("page_id").cast("string"), F.regexp_extract("url", "^https?://[^/?#]+(.*)$", 1))
+
+
 def pages(spark, d):
     k, i = F.col("page_id"), F.col("page_id").cast("string")
     href = (
@@ -70,7 +75,7 @@ def pages(spark, d):
     tail = F.when(F.lit(False), "")
     for n, c in enumerate(_tail_columns()):
         tail = tail.when(k % 6 == n, c)
-    return table(spark, d, "pages").select("page_id", "url", F.concat("html", tail, F.lit('<a href="'), href, F.lit('">c</a>')).alias("html"))
+    return table(spark, d, "pages").select("page_id", own_url().alias("url"), F.concat("html", tail, F.lit('<a href="'), href, F.lit('">c</a>')).alias("html"))
 
 
 def contacts(spark, d):
@@ -169,7 +174,7 @@ view(
 def site_leads(spark, d):
     k = F.col("page_id")
     website = (
-        F.when(k % 50 == 0, "http://").when(k % 5 == 4, F.concat(F.lit("missing"), k.cast("string"), F.lit(".example"))).otherwise(F.col("url"))
+        F.when(k % 50 == 0, "http://").when(k % 5 == 4, F.concat(F.lit("missing"), k.cast("string"), F.lit(".example"))).otherwise(own_url())
     )
     return table(spark, d, "pages").select((k + 1).alias("id"), website.alias("website"))
 

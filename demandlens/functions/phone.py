@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from demandlens.functions import text
+
 
 def norm_phone(raw: Column, cc: str = "91") -> Column:
     """``struct(wa, type)``: digits with the country code and mobile / landline / unknown / invalid."""
-    text = F.coalesce(raw, F.lit(""))
-    digits = F.regexp_replace(text, r"[^0-9]", "")
-    plus = text.rlike(r"^\s*\+")
+    written = F.coalesce(raw, F.lit(""))
+    return text.let(F.regexp_replace(written, "[^0-9]", ""), lambda digits: _classify(digits, written.rlike(r"^\s*\+"), cc))
+
+
+def _classify(digits: Column, plus: Column, cc: str) -> Column:
     after_00 = F.substr(digits, F.lit(3))
 
     def result(wa, kind):

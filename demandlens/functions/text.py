@@ -28,6 +28,11 @@ def computed_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(expr)))
 
 
+def let(expr: Column, use) -> Column:
+    """``use(expr)`` with ``expr`` evaluated once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(expr), use), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
 

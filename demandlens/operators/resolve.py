@@ -153,7 +153,7 @@ def match_leads(existing: DataFrame, rows: DataFrame, finish_rows: int = FINISH_
     old = existing.select(
         text.or_blank(F.col("place_id")).alias("p"), text.or_blank(F.col("wa")).alias("w"), (F.col("id") - OLD).alias("lid")
     ).filter((p != "") | (w != ""))
-    keyed = rows.filter((p != "") | (w != ""))
+    keyed = pin(rows.select("seq", "p", "w").filter((p != "") | (w != "")))  # only the keys; read several times below
 
     # distinct key pairs, pre-aggregated; n_old counts existing leads
     pairs = keyed.select("p", "w", F.lit(0).alias("o")).unionByName(old.select("p", "w", F.lit(1).alias("o")))
@@ -162,7 +162,7 @@ def match_leads(existing: DataFrame, rows: DataFrame, finish_rows: int = FINISH_
     numbers = pairs.filter(w != "").groupBy("w").agg(
         (F.count(F.lit(1)) == 1).alias("exclusive"), (F.sum("n_old") <= 1).alias("few_old")
     )
-    judged = pairs.join(numbers, "w", "left")
+    judged = pin(pairs.join(numbers, "w", "left"))
     closed_places = (
         judged.filter(p != "").groupBy("p").agg(F.min((w == "") | F.col("exclusive")).alias("closed")).filter("closed").select("p")
     )
