@@ -15,13 +15,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandlens import fixed
 from demandlens.functions import text
-from demandlens.session import pin
+from demandlens.session import pin_ordered
 
 STEP_NAMES = tuple(s for s, _, _, _ in fixed.STEPS)
 ACTIONS = ("", *STEP_NAMES)  # '' is no next action
@@ -286,7 +286,7 @@ def label_events(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["lead_id", "at", "event_id"]
-    placed = pin(
+    placed = pin_ordered(
         events.withColumn("_at_us", F.unix_micros("at"))
         .repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
@@ -420,14 +420,12 @@ def fresh(leads: DataFrame, activities: DataFrame, now, cap: int = 15, min_score
 
     The cap itself bounds the top-k; how much of it is left is a scalar subquery, so nothing is collected.
     """
-    best = leads.filter(_waiting() & (F.col("score") >= min_score)).orderBy(
-        F.col("score").desc(), F.col("reviews").desc_nulls_last(), F.col("id").asc()
-    )
-    order = F.struct(-F.col("score"), F.coalesce(-F.col("reviews"), F.lit(2**31 - 1)), F.col("id"))
-    top = best.limit(cap or 15)
-    places = top.groupBy().agg(F.array_sort(F.collect_list(order)).alias("o")).select("o").scalar()  # at most ``cap`` entries
+    order = [F.col("score").desc(), F.col("reviews").desc_nulls_last(), F.col("id").asc()]
+    top = leads.filter(_waiting() & (F.col("score") >= min_score)).orderBy(*order).limit(cap or 15)
     left = cap_left(activities, now, cap).scalar()
-    return top.filter(F.array_position(places, order) <= left)
+    # at most ``cap`` rows are numbered here
+    numbered = top.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return numbered.filter(F.col("_n") <= left).drop("_n")
 
 
 def waiting(leads: DataFrame) -> DataFrame:

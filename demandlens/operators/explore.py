@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens import fixed
 from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_label
@@ -103,14 +104,17 @@ def facets(keywords: DataFrame, q: KeywordQuery, top_places: int = 40, top_terms
         .groupBy("search_id", "v.dim", "v.k")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counted.filter(F.col("dim") == "total").select("search_id", F.col("n").alias("_total"))
+    # Counts fall along the ranking, so the threshold on n only cuts the end of a top list: rank first, where Spark prunes before
+    # the shuffle, and apply the threshold to the few rows left.  Selected terms come first, so none is lost to the pruning.
+    selected = (F.col("dim") == "term") & F.col("k").isin(*q.terms)
+    by_count = [F.col("n").desc(), F.col("k").asc()]
+    most = max(top_places, top_terms, len(fixed.INTENT_LABELS)) + len(q.terms)
+    few = ordering.top_per_group(counted.withColumn("_sel", selected), ["search_id", "dim"], [F.col("_sel").desc(), *by_count], most)
+    total = F.max(F.when(F.col("dim") == "total", F.col("n"))).over(Window.partitionBy("search_id"))
     least = F.when(F.coalesce("_total", F.lit(0)) > 400, 4).otherwise(2)
-    wanted = (F.col("dim") != "term") | (F.col("n") >= least) | F.col("k").isin(*q.terms)
-    values = counted.filter(F.col("dim") != "total").join(totals, "search_id", "left").filter(wanted).drop("_total")
-    ranked = ordering.top_per_group(
-        values, ["search_id", "dim"], [F.col("n").desc(), F.col("k").asc()], max(top_places, top_terms)
-    )
-    keep = F.when(F.col("dim") == "place", top_places).when(F.col("dim") == "term", top_terms).otherwise(F.lit(1000))
+    wanted = few.withColumn("_total", total).filter((F.col("dim") != "total") & ((F.col("dim") != "term") | (F.col("n") >= least) | F.col("_sel")))
+    ranked = wanted.withColumn("rank", F.row_number().over(Window.partitionBy("search_id", "dim").orderBy(*by_count)))
+    keep = F.when(F.col("dim") == "place", top_places).when(F.col("dim") == "term", top_terms).otherwise(most)
     label = F.when(F.col("dim") == "intent", intent_label(F.col("k"))).otherwise(F.col("k"))
     return ranked.filter(F.col("rank") <= keep).select("search_id", "dim", "k", label.alias("label"), "n", "rank")
 

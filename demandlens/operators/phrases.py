@@ -9,21 +9,27 @@ from demandlens import fixed
 from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_of, place_candidate
+from demandlens.session import broadcast_if_small
 
 MAX_PHRASE = 90
+MAX_BROADCAST_SCANS = 200_000
 SOURCE_IDS = tuple(name for name, _, _ in fixed.SOURCES)
 
 
 def scan_dimension(scans: DataFrame) -> DataFrame:
-    """``scans(search_id, seed, sources array)`` -> one row per scan with its seeds, token lists and requested sources."""
+    """``scans(search_id, seed, sources array)`` -> one row per scan with its seeds, token lists and requested sources.
+
+    A row is a few hundred bytes; up to MAX_BROADCAST_SCANS of them are broadcast into the joins with observations and phrases.
+    """
     seeds = F.filter(F.transform(F.split("seed", ","), text.norm), lambda s: s != "")
-    return scans.select(
+    dim = scans.select(
         "search_id",
         seeds.alias("seeds"),
         F.transform(seeds, lambda s: F.split(s, " ")).alias("seed_token_lists"),
         seed_tokens(F.col("seed")).alias("seed_tokens"),
         F.size("sources").alias("n_requested"),
     )
+    return broadcast_if_small(dim, MAX_BROADCAST_SCANS)
 
 
 def seed_tokens(seed: Column) -> Column:
@@ -34,8 +40,7 @@ def seed_tokens(seed: Column) -> Column:
 def relevant(obs: DataFrame, dim: DataFrame) -> DataFrame:
     """Normalise, then drop phrases that are empty, too long, a seed itself, or without all words of at least one seed.
 
-    ``dim`` is ``scan_dimension``; the join is left to Spark, which broadcasts it while it is small and splits a hot scan's
-    rows (skew join) once it is not.
+    ``dim`` is ``scan_dimension``: broadcast while it is small, so observations are filtered where they are read.
     """
     phrase = F.col("phrase")
     on_topic = F.exists("seed_token_lists", lambda words: F.forall(words, lambda w: F.contains(phrase, w)))

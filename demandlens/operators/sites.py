@@ -100,7 +100,8 @@ def read_sites(leads: DataFrame, pages: DataFrame, junk: str = fixed.JUNK_EMAIL)
     )
     home = site.withColumn("page", F.col("base.page")).join(found, "page", "left")
     target = contact_target(F.col("x.contact_link"), F.col("base"))
-    home = text.computed_once(home, "page2", target["page"])
+    # sites without a contact page get a key of their own that matches nothing, instead of sharing one
+    home = text.computed_once(home, "page2", F.coalesce(target["page"], F.concat(F.lit("none "), F.col("id").cast("string"))))
     second = found.select(F.col("page").alias("page2"), F.col("x").alias("y"))
     both = home.join(second, "page2", "left")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "demandlens") -> SparkSession:
@@ -38,15 +40,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the files.
+    """Write ``df`` as a Parquet table into the shared checkpoint folder and go on from the files.
 
-    Needed where several jobs must see the same rows in the same partitions (partition offsets, iterative loops): files in the
-    shared folder survive a lost executor, so a recomputed task reads the very rows the offsets were counted on.
+    Used where a result feeds several branches or an iterative loop.  The files survive a lost executor, cut the lineage, and are
+    read back with column pruning and real sizes, so later joins are planned on what is there.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin_ordered(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: partitions and the order of rows in them come back as they were."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast ``df`` when it is counted to hold at most ``most`` rows; otherwise leave the join to Spark.
+
+    Counting stops at ``most`` + 1 rows.  Beyond it Spark shuffles, and splits the rows of a hot key (adaptive skew join).
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy row work on an input with fewer splits than cores.
 
