@@ -34,11 +34,15 @@ view(
 
 
 def events(spark, d):
+    return events_of(table(spark, d, "events"))
+
+
+def events_of(raw):
     i = F.col("event_id")
     pick = (i * 31 + F.floor("value")) % len(_KINDS)
     kinds = F.array(*[F.struct(F.lit(e).alias("ev"), F.lit(o).cast("string").alias("outcome")) for e, o in _KINDS])
     kind = F.element_at(kinds, (pick + 1).cast("int"))
-    return table(spark, d, "events").select(
+    return raw.select(
         i,
         (F.col("user_id") * 7 + 1).alias("lead_id"),
         kind["ev"].alias("ev"),
@@ -131,6 +135,17 @@ def cadence_errors(spark, d):
     return errors
 
 
+@check(
+    "current_step",
+    """SELECT id, coalesce(next_action, CASE WHEN stage = 'new' THEN CASE WHEN wa <> '' AND phone_type <> 'landline' THEN 'first' ELSE 'call' END END) AS step,
+  strftime(date_trunc('day', created + INTERVAL 3 DAY) + INTERVAL 11 HOUR, '%Y-%m-%d %H:%M:%S') AS slot FROM v_leads""",
+    ("v_leads",),
+)
+def current_step(spark, d):
+    slot = cadence.at_eleven(F.col("created"), F.lit(3))
+    return v.leads(spark, d).select("id", cadence.current_step().alias("step"), v.stamp(slot).alias("slot"))
+
+
 # --- queues ---------------------------------------------------------------------------------------------------------------
 _LV = ("v_leads", "v_act")
 _DUE = f"next_action IS NOT NULL AND next_followup <= TIMESTAMP '{v.NOW}' AND stage NOT IN ('won', 'lost', 'invalid')"

@@ -32,6 +32,26 @@ def area_guess(spark, d):
     return v.leads(spark, d).select("id", "address", "area")
 
 
+@check(
+    "lead_prepare",
+    """SELECT o_orderkey AS seq, 'import' AS source, 'abacus' AS seed, 'csv import' AS query, CASE WHEN o_orderkey % 2 = 0 THEN 'Given' WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Lake View' END AS area,
+  CASE WHEN o_orderkey % 89 = 0 THEN 'closed' WHEN o_orderkey % 97 = 0 THEN 'no name' END AS skip_reason FROM orders""",
+)
+def lead_prepare(spark, d):
+    """Import stamps, guessed areas and the reasons to leave a row out."""
+    o = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        o.alias("seq"),
+        F.when(o % 97 == 0, "").otherwise("Shop").alias("name"),
+        F.when(o % 89 == 0, "Closed_Permanently").otherwise("").alias("status"),
+        F.when(o % 2 == 0, "Given").otherwise("").alias("area"),
+        F.concat(o.cast("string"), F.when(o % 3 == 0, " Main Road, ").otherwise(" Main Road, Lake View, "), F.lit("Salem 636")).alias("address"),
+        F.lit("salem").alias("city"),
+    )
+    out = L.guard_leads(L.prepare_leads(rows, "import", "abacus", "csv import"))
+    return out.select("seq", "source", "seed", "query", "area", "skip_reason")
+
+
 @check(
     "lead_rescore",
     f"SELECT id, CASE WHEN stage = 'new' THEN {v.score_sql()} ELSE 0 END AS score FROM v_leads1",

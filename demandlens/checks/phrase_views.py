@@ -154,13 +154,14 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
+def observations(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """``lines`` may be a stream of lineitem rows."""
     part = table(spark, d, "part").select(
         "p_partkey", "p_name", "p_type", (F.regexp_extract("p_brand", "[0-9]+", 0).cast("long") % 5).alias("search_id")
     )
     tail = _pick(TAILS, (F.col("l_quantity") * F.col("l_linenumber")).cast("int") % len(TAILS))
     return (
-        table(spark, d, "lineitem")
+        (table(spark, d, "lineitem") if lines is None else lines)
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "search_id",

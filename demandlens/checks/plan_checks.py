@@ -143,15 +143,25 @@ view(
 
 
 def tries(spark, d):
-    events = table(spark, d, "events")
+    return tries_of(table(spark, d, "events"))
+
+
+def tries_of(events):
+    """One row per request: a second one where the first did not end ok."""
     kind = F.col("event_type")
     status = F.when(kind == "error", None).when(kind == "click", 429).when(kind == "view", 302).otherwise(200)
-    ids = [(F.col("user_id") % 3).alias("search_id"), (F.col("user_id") % 7).cast("string").alias("source"), F.col("event_id").alias("seq")]
-    first = events.select(*ids, F.lit(1).alias("try_no"), status.alias("status"), (F.col("value") < 100).alias("has_list"))
-    second = events.filter(kind.isin("error", "click", "view") | (F.col("value") >= 100)).select(
-        *ids, F.lit(2).alias("try_no"), F.when(F.col("event_id") % 3 == 0, 200).otherwise(status).alias("status"), F.lit(True).alias("has_list")
+    again = kind.isin("error", "click", "view") | (F.col("value") >= 100)
+    first = F.struct(F.lit(1).alias("try_no"), status.alias("status"), (F.col("value") < 100).alias("has_list"))
+    second = F.struct(
+        F.lit(2).alias("try_no"), F.when(F.col("event_id") % 3 == 0, 200).otherwise(status).alias("status"), F.lit(True).alias("has_list")
     )
-    return first.unionByName(second)
+    return events.select(
+        (F.col("user_id") % 3).alias("search_id"),
+        (F.col("user_id") % 7).cast("string").alias("source"),
+        F.col("event_id").alias("seq"),
+        F.when(again, 2).otherwise(1).alias("tries"),
+        F.explode(F.when(again, F.array(first, second)).otherwise(F.array(first))).alias("t"),
+    ).select("search_id", "source", "seq", "tries", "t.*")
 
 
 def outcomes(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,12 +76,9 @@ def expand_level1(scans: DataFrame, suffixes=fixed.SUFFIXES, prefixes=fixed.PREF
         i = pieces.index(("seed", ""))
         before.append("".join(t for _, t in pieces[:i]))
         after.append("".join("\u0000" if k == "city" else t for k, t in pieces[i + 1 :]))
-    literal = F.array(
-        *[
-            F.struct(F.lit(b).alias("b"), F.lit(a).alias("a"), F.lit(w).alias("w"), F.lit(c).alias("c"), F.lit(i).alias("i"))
-            for i, ((c, _, w), b, a) in enumerate(zip(templates, before, after))
-        ]
-    )
+    entries = [{"b": b, "a": a, "w": w, "c": c, "i": i} for i, ((c, _, w), b, a) in enumerate(zip(templates, before, after))]
+    # one constant in the plan
+    literal = F.from_json(F.lit(json.dumps(entries)), "array<struct<b:string,a:string,w:double,c:string,i:int>>")
     base = with_profile(scans).withColumn("city", F.coalesce("city", F.lit("")))
     wanted = (
         (F.col("t.c") == "always") | ((F.col("t.c") == "wide") & F.col("wide")) | ((F.col("t.c") == "city") & (F.col("city") != ""))

@@ -19,6 +19,9 @@ ELEVEN_US = 11 * 3_600_000_000
 # --- phrase table, republished while a scan runs ----------------------------------------------------------------------------
 
 
+STORED = "phrase string, sources array<string>, occ long, best double, batch long, search_id long"
+
+
 def phrase_updates(observations: DataFrame, scans: DataFrame, sources=phrases.SOURCE_IDS) -> DataFrame:
     """Running phrase aggregates of a stream of observations; ``scans`` is a static table.
 
@@ -37,9 +40,7 @@ def publish_keywords(scans: DataFrame, root: str):
     def publish(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         changed.write.mode("overwrite").partitionBy("search_id").parquet(f"{root}/aggregates/batch={batch_id}")
-        stored = spark.read.option("basePath", f"{root}/aggregates").parquet(f"{root}/aggregates")
-        stored = stored.withColumns({"search_id": F.col("search_id").cast("long"), "batch": F.col("batch").cast("long")})
-        stored = stored.filter(F.col("batch") <= batch_id)
+        stored = spark.read.schema(STORED).parquet(f"{root}/aggregates").filter(F.col("batch") <= batch_id)
         touched = stored.filter(F.col("batch") == batch_id).select("search_id").distinct()
         newest = F.max_by(F.struct("sources", "occ", "best"), "batch")
         current = (
