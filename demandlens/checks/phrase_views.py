@@ -43,7 +43,7 @@ view(
 view(
     "v_dim",
     f"""SELECT search_id, seeds, len(sources) AS n_requested, list_distinct(flatten([string_split(s, ' ') for s in seeds])) AS seed_tokens
-  FROM (SELECT search_id, sources, [x for x in [{NORM.format('y')} for y in string_split(seed, ',')] if x <> ''] AS seeds FROM v_scans)""",
+  FROM (SELECT search_id, sources, [x for x in [{NORM.format('y')} for y in string_split(seed, ',')] if x <> ''][1:3] AS seeds FROM v_scans)""",
     ("v_scans",),
 )
 view(

@@ -256,7 +256,7 @@ def plan_searches(spark, d):
     "plan_estimate",
     """SELECT plan_id, count(*) AS searches, CAST(sum(pages) AS BIGINT) AS worst_requests,
   greatest(0, 500 - (SELECT count(*) FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-15')) AS room_today,
-  round(CAST(sum(pages) AS BIGINT) * 0.035::DOUBLE, 2) AS est_usd, array_to_string(list(text ORDER BY q_no, sub_no)[1:3], '|') AS sample
+  CAST(format('{:.2f}', CAST(sum(pages) AS BIGINT) * 0.035::DOUBLE) AS DOUBLE) AS est_usd, array_to_string(list(text ORDER BY q_no, sub_no)[1:3], '|') AS sample
 FROM v_searches GROUP BY plan_id""",
     ("v_searches",),
 )

@@ -9,6 +9,7 @@ from demandlens import fixed
 from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_of, place_candidate
+from demandlens.plans.tasks import seed_list
 from demandlens.session import broadcast_if_small
 
 MAX_PHRASE = 90
@@ -21,22 +22,18 @@ def scan_dimension(scans: DataFrame) -> DataFrame:
 
     A row is a few hundred bytes; up to MAX_BROADCAST_SCANS of them are broadcast into the joins with observations and phrases.
     """
-    seeds = F.filter(F.transform(F.split("seed", ","), text.norm), lambda s: s != "")
+    seeds = seed_list(F.col("seed"))
+    token_lists = F.transform(seeds, lambda s: F.split(s, " "))
     dim = scans.select(
         "search_id",
         seeds.alias("seeds"),
-        F.transform(seeds, lambda s: F.split(s, " ")).alias("seed_token_lists"),
-        seed_tokens(F.col("seed")).alias("seed_tokens"),
+        token_lists.alias("seed_token_lists"),
+        F.array_distinct(F.flatten(token_lists)).alias("seed_tokens"),
         F.size("sources").alias("n_requested"),
     )
     return broadcast_if_small(dim, MAX_BROADCAST_SCANS)
 
 
-def seed_tokens(seed: Column) -> Column:
-    """The distinct words of a stored comma-separated seed list."""
-    return F.array_distinct(F.flatten(F.transform(F.split(seed, ","), lambda s: F.split(text.norm(s), " "))))
-
-
 def relevant(obs: DataFrame, dim: DataFrame) -> DataFrame:
     """Normalise, then drop phrases that are empty, too long, a seed itself, or without all words of at least one seed.
 

@@ -35,8 +35,8 @@ def cover_grid(cities: DataFrame, cover_km: float = 12, step_km: float = 4) -> D
     return points.withColumns(
         {
             "point_no": ((F.col("_i") + int(n)) * int(2 * n + 1) + F.col("_j") + int(n)).cast("int"),
-            "p_lat": F.round(p_lat, 5),
-            "p_lng": F.round(p_lng, 5),
+            "p_lat": text.to_fixed(p_lat, 5),
+            "p_lng": text.to_fixed(p_lng, 5),
             "radius": text.js_round(step * 750).cast("int"),
         }
     ).drop("_i", "_j", "_dx", "_dy")

@@ -78,7 +78,7 @@ def plan_estimate(searches: DataFrame, used_today: DataFrame, cap: int = 200, us
             "searches",
             "worst_requests",
             F.greatest(F.lit(0), F.lit(cap or 200) - used).alias("room_today"),
-            F.round(F.col("worst_requests") * F.lit(usd_per_request), 2).alias("est_usd"),
+            text.to_fixed(F.col("worst_requests") * F.lit(usd_per_request), 2).alias("est_usd"),
             F.transform("s", lambda x: x["text"]).alias("sample"),
         )
     )

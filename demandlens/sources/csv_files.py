@@ -28,9 +28,12 @@ def resolve_headers(headers: list[str], aliases=None) -> dict[str, int]:
     return found
 
 
-def leads_from_table(raw: DataFrame, aliases=None) -> DataFrame:
-    """Any table with recognisable headers -> lead columns; rows with a blank name are dropped."""
-    at = resolve_headers(raw.columns, aliases)
+def leads_from_table(raw: DataFrame, aliases=None, headers: list[str] | None = None) -> DataFrame:
+    """Any table with recognisable headers -> lead columns; rows with a blank name are dropped.
+
+    ``headers`` replaces the column names, which cannot repeat where a header row may.
+    """
+    at = resolve_headers(headers or raw.columns, aliases)
     cells = raw.toDF(*[f"_c{i}" for i in range(len(raw.columns))])
 
     def cell(name: str) -> Column:
@@ -65,13 +68,12 @@ def read_leads_csv(spark: SparkSession, path: str, aliases=None) -> DataFrame:
 
     Files are read in parallel, one task per file: a quoted line break makes a single file unsplittable.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-        .csv(path)
-    )
-    if raw.isEmpty():
+    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    head = reader.option("header", False).csv(path).first()
+    raw = reader.option("header", True).csv(path)
+    if head is None or raw.isEmpty():
         raise ValueError("The file has no rows.")
-    return leads_from_table(raw, aliases)
+    return leads_from_table(raw, aliases, [h or "" for h in head])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -93,7 +93,7 @@ def read_apps(bodies: DataFrame, body: str = "body") -> DataFrame:
     a = bodies.select(*keep, F.posexplode(F.from_json(body, APPS_BODY)["results"]).alias("pos", "a"))
     rating = F.nullif(F.col("a.averageUserRating"), F.lit(0.0))
     return a.select(
-        *keep, "pos", F.col("a.trackName").alias("name"), F.col("a.artistName").alias("developer"), F.round(rating, 1).alias("rating"),
+        *keep, "pos", F.col("a.trackName").alias("name"), F.col("a.artistName").alias("developer"), text.to_fixed(rating, 1).alias("rating"),
         F.coalesce("a.userRatingCount", F.lit(0)).alias("ratings"), text.or_blank(F.col("a.formattedPrice")).alias("price"),
         text.or_blank(F.col("a.primaryGenreName")).alias("genre"), text.or_blank(F.col("a.trackViewUrl")).alias("url"),
         text.or_blank(F.col("a.currentVersionReleaseDate")).alias("updated"),
@@ -110,7 +110,7 @@ def read_gazetteer(bodies: DataFrame) -> DataFrame:
     category = F.when(first["category"].isin(*fixed.PLACE_CATEGORIES), first["category"]).otherwise(first["class"])
     real = category.isin(*fixed.PLACE_CATEGORIES) & first["type"].isin(*fixed.PLACE_TYPES)
     return bodies.filter(hits.isNotNull()).select(
-        F.lower("name").alias("place"), "country", first["lat"].cast("double").alias("lat"), first["lon"].cast("double").alias("lng"),
+        F.lower("name").alias("place"), "country", first["lat"].try_cast("double").alias("lat"), first["lon"].try_cast("double").alias("lng"),
         category.alias("category"), first["type"].alias("type"), F.when(real, "real").otherwise("not").alias("verdict"),
     )
 

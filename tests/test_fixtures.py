@@ -31,6 +31,9 @@ def test_text_helpers(spark):
     # a letter of another script next to a word does not hide it
     assert column(spark, ["பரapp", "myapp", "an app"], lambda c: c.rlike(text.word_pattern("apps?"))) == [True, False, True]
     assert column(spark, [4.0, 4.5], text.js_number, "double") == ["4", "4.5"]
+    # 1.575 and 4.35 are stored a little below, 0.125 is a true half
+    assert column(spark, [1.575, 0.125, -0.125, 2.0, 0.315], lambda c: text.to_fixed(c, 2), "double") == [1.57, 0.13, -0.13, 2.0, 0.32]
+    assert column(spark, [4.35, 4.25], lambda c: text.to_fixed(c, 1), "double") == [4.3, 4.3]
 
 
 def test_phones(spark):
@@ -231,6 +234,9 @@ def test_csv_round_trip(spark, tmp_path):
     a, b = csv_files.read_leads_csv(spark, str(path)).orderBy(F.col("name").desc()).collect()
     assert (a.name, a.website, a.maps_url, a.rating, a.reviews) == ("Sunrise Abacus, Adyar", "http://sunrise.example", "https://www.google.com/maps/place/x", 4.8, 1055)
     assert (b.website, b.maps_url, b.rating, b.reviews) == ("http://bright.in", "", None, None)
+    twice = tmp_path / "twice.csv"
+    twice.write_text("Name,phone,NAME\nFirst,9876543210,Second\n")
+    assert [r.name for r in csv_files.read_leads_csv(spark, str(twice)).collect()] == ["First"]
     bad = tmp_path / "bad.csv"
     bad.write_text("foo,bar\n1,2\n")
     with pytest.raises(ValueError, match="name column"):
