@@ -10,7 +10,7 @@ from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_of, place_candidate
 from demandlens.plans.tasks import seed_list
-from demandlens.session import broadcast_if_small
+from demandlens.session import broadcast_if_small, pin
 
 MAX_PHRASE = 90
 MAX_BROADCAST_SCANS = 200_000
@@ -144,11 +144,14 @@ def core_arrays(core: DataFrame) -> DataFrame:
 
 
 def flag_fringe(df: DataFrame, core: DataFrame) -> DataFrame:
-    """"Probably another meaning": weakly supported, no intent, and no core term.  Needs sources, occ, intent, terms."""
+    """"Probably another meaning": weakly supported, no intent, and no core term.  Needs sources, occ, intent, terms.
+
+    The core arrays, one row per scan, are written once: the join then knows their real size, and broadcasts them if it is small.
+    """
     weak = F.when(F.col("n_requested") >= 2, F.size("sources") < 2).otherwise(F.col("occ") < 2)
     shares = F.coalesce(F.arrays_overlap("terms", "core"), F.lit(False))
     return (
-        df.join(core_arrays(core), "search_id", "left")
+        df.join(pin(core_arrays(core)), "search_id", "left")
         .withColumn("fringe", weak & (F.col("intent") == "other") & ~shares)
         .drop("core")
     )
