@@ -1,0 +1,172 @@
+"""Secrets, fingerprints, packing: against brute-force versions."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from demandlens.llm import packing, secrets, winnow
+
+LONG = " ".join(f"word{i % 977}" for i in range(60_000))
+HARD = [
+    (1, None),
+    (2, ""),
+    (3, "password=abcdefgh1 and Token: 'zzzzzzzz' secret=short api_key = \"AbCdEf123456\" apikey:12345678"),
+    (4, "é́ü AKIAABCDEFGHIJKL AKIA12 AKIAAKIAAKIAAKIAXX passwd:token:abcdefghijk"),
+    (5, "x" + "0123456789abcdef" * 2 + " and " + "0123456789abcdef" * 4 + "g" + "abc" * 9),
+    (6, LONG + " secret:" + "k" * 40),
+    (7, "same text token=aaaaaaaaaa"),
+    (8, "same text token=aaaaaaaaaa"),
+    (8, "same text token=aaaaaaaaaa"),
+    (None, "SECRET=ABCDEFGHIJ"),
+    (9, "k9Fz3QpX7vLm2RtB8wYc1NsD " + "aaaaaaaaaaaaaaaaaaaaaaaa " + "some-long-path-of-words/and-more-words 123e4567-e89b-12d3-a456-426614174000"),
+]
+
+
+def brute_spans(text):
+    text = text or ""
+    out = []
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out += [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    for m in re.finditer(secrets.CANDIDATE, text):
+        v, w = m[0], secrets.WINDOW
+        if any(re.search(a, v) for a in secrets.ALLOWED):
+            continue
+        entropies = []
+        for i in range(len(v) - w + 1):
+            counts = [v[i : i + w].count(c) for c in set(v[i : i + w])]
+            entropies.append(-sum(c / w * math.log2(c / w) for c in counts))
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "alphanumeric" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"
+        if max(entropies) >= secrets.CLASS_LIMITS[kind]:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def told(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_secrets(docs_of):
+    rows = secrets.summary(docs_of(HARD)).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in rows) == sorted((str(i), told(brute_spans(t))) for i, t in HARD)
+    for r in rows:
+        base = [s for s in brute_spans(dict(HARD)[r.doc_id]) if s[1] < 3]
+        assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in base) for k in range(3)]
+    assert secrets.summary(docs_of([])).collect() == []
+
+
+def test_secrets_entropy(docs_of):
+    spans = {r.doc_id: r.spans for r in secrets.summary(docs_of(HARD)).collect()}
+    assert spans[9] == "entropy:0:24"  # random characters; not one character repeated, words joined, or an identifier in groups
+
+
+def test_secrets_plan_is_native(docs_of):
+    plan = secrets.summary(docs_of(HARD))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def brute_winnow(codes, k, w):
+    if not codes:
+        return []
+    if len(codes) < k:
+        return [(int(winnow.rolling(np.array(codes), len(codes))[0]), 0)]
+    hashes = [int(winnow.rolling(np.array(codes[i : i + k]), k)[0]) for i in range(len(codes) - k + 1)]
+    out = []
+    for i in range(max(1, len(hashes) - w + 1)):
+        window = hashes[i : i + w]
+        at = max(j for j, h in enumerate(window) if h == min(window)) + i
+        if not out or out[-1][1] != at:
+            out.append((hashes[at], at))
+    return out
+
+
+@pytest.mark.parametrize("k,w", [(1, 1), (3, 4), (5, 7), (16, 48), (6, 1)])
+def test_winnow(k, w):
+    rng = random.Random(k * 100 + w)
+    for n in (0, 1, 2, k, k + 1, k + w, 200):
+        codes = [rng.choice([97, 98, 99, 0x20AC, 0x1F600]) for _ in range(n)]
+        h, p = winnow.winnow(np.array(codes, np.uint32), k, w)
+        assert list(zip(h.tolist(), p.tolist())) == brute_winnow(codes, k, w)
+
+
+def test_winnow_guarantee():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(97, 123, winnow.K + winnow.W - 1)
+    a = np.concatenate([rng.integers(97, 123, 500), shared, rng.integers(97, 123, 300)])
+    b = np.concatenate([rng.integers(97, 123, 90), shared])
+    assert set(winnow.winnow(a)[0]) & set(winnow.winnow(b)[0])
+
+
+@pytest.mark.parametrize("part_chars", [60, 1000, 10**9])
+def test_compare_edited(docs_of, monkeypatch, part_chars):
+    rng = random.Random(part_chars)
+    rows = [(i * 3, "".join(rng.choice("abc é😀\n") for _ in range(rng.choice([0, 1, 3, 40, 300])))) for i in range(40)] + [(500, None), (7, "abcd" * 30), (502, "x" * 70_000)]
+    inner = winnow.with_neighbours
+    monkeypatch.setattr(winnow, "with_neighbours", lambda d: inner(d, part_chars))
+    got = {r.doc_id: r for r in winnow.compare_edited(docs_of(rows).repartition(3)).collect()}
+    order = sorted((i, t or "") for i, t in rows)
+    assert len(got) == len(rows)
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        sets = [{h for h, _ in brute_winnow([ord(c) for c in x[:400]], winnow.K, winnow.W)} if len(x) <= 400 else set(winnow.winnow(winnow.codes_of(x))[0].tolist()) for x in (t, edited, nxt)]
+        like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == pytest.approx((like(sets[0], sets[1]), like(sets[0], sets[2])))
+        assert r.fingerprint == "".join(f"{h:08x}" for h in sorted(sets[0]))
+
+
+def test_compare_edited_small(docs_of):
+    assert winnow.compare_edited(docs_of([])).collect() == []
+    one = winnow.compare_edited(docs_of([(1, "abcd efgh")])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    same = winnow.compare_edited(docs_of([(1, "abcd"), (1, "abcd"), (1, "abcd"), (None, "zz"), (2, "abcd")])).collect()
+    assert len(same) == 5
+
+
+@pytest.mark.parametrize("round_tokens", [1, 500, 1 << 20])
+def test_packing(docs_of, round_tokens):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["the ", "Cat's ", "été  ", "\n\n", "12345 ", "ñandú, ", "\t x", "zzq"]) for _ in range(rng.choice([0, 3, 90, 700, 2500])))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, LONG[:90_000]), (103, "same"), (103, "same"), (None, "no id \u3000 end")]
+    got = packing.pack(docs_of(rows).repartition(3), packing.vocabulary(), round_tokens=round_tokens).collect()
+    ids = {i: [*own.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    pieces = {}
+    for r in got:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    for i, all_ids in ids.items():
+        assert sorted(pieces[i]) == sorted([*range(len(all_ids))] * sum(j == i for j, _ in rows))
+    real = padded = 0
+    for s in {r.sequence_id for r in got}:
+        own_rows = sorted((r.offset, r.length, r.padded_length) for r in got if r.sequence_id == s)
+        total = sum(n for _, n, _ in own_rows)
+        assert [o for o, _, _ in own_rows] == [sum(n for _, n, _ in own_rows[:i]) for i in range(len(own_rows))]
+        assert total <= 2048 and own_rows[0][2] == (total if not total & (total - 1) else 2048)
+        real, padded = real + total, padded + own_rows[0][2]
+    assert real == sum(len(ids[i]) for i, _ in rows) and padded <= 1.02 * real
+    assert packing.pack(docs_of([]), packing.vocabulary()).collect() == []
+
+
+def test_packing_balances_steps(docs_of):
+    rows = packing.pack(docs_of([(i, LONG[: 500 * i]) for i in range(40)]).coalesce(1), packing.vocabulary()).collect()
+    groups = {}
+    for s, p, g in {(r.sequence_id, r.padded_length, r.step_group) for r in rows}:
+        groups.setdefault(p, []).append(g)
+    for dealt in groups.values():
+        counts = [dealt.count(g) for g in range(packing.STEP_GROUPS)]
+        assert max(counts) - min(counts) <= 1
