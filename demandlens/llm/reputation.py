@@ -25,6 +25,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.in", "com.br", "co.nz", "co.za")
 #: Least acceptable rate of good pages, and how many standard deviations below the mean the bound lies.
 LEAST_RATE, DEVIATIONS = 0.6, 1.28
+#: Blocked hosts (of 253 characters at most) that are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,7 +67,7 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return per_doc.join(judged, "doc_id").groupBy("host").agg(F.sum(F.col("quality") * F.col("n")).alias("good"), F.sum("n").alias("n"))
 
 
-def posteriors(counts: DataFrame) -> dict[str, DataFrame]:
+def posteriors(counts: DataFrame, shelf: Shelf) -> dict[str, DataFrame]:
     """level -> (key, alpha, beta): from the hosts' counts, each level shrunk to the one above."""
     named = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "good", "n")
     levels = {
@@ -80,12 +82,10 @@ def posteriors(counts: DataFrame) -> dict[str, DataFrame]:
     for level, table in levels.items():
         linked = table.join(F.broadcast(prior) if level == "suffix" else prior, "above")
         # a member is not its own witness: the level above counts without it, and weighs no more than what it has seen
-        linked = linked.withColumns({"a": F.greatest(F.col("a") - good, F.lit(1e-3)), "b": F.greatest(F.col("b") - bad, F.lit(1e-3)), "all": F.lit(True)})
-        linked = linked.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-        strength = prior_strength(linked).withColumn("all", F.lit(True))
-        judged = linked.join(F.broadcast(strength), "all")  # one row
-        weight = F.least(F.col("m"), F.col("a") + F.col("b"))
-        judged = judged.select(F.col(level).alias("key"), (F.col("mean") * weight + good).alias("alpha"), ((1 - F.col("mean")) * weight + bad).alias("beta"))
+        linked = linked.withColumns({"a": F.greatest(F.col("a") - good, F.lit(1e-3)), "b": F.greatest(F.col("b") - bad, F.lit(1e-3))})
+        linked = shelf.put(linked.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))))
+        weight = F.least(F.lit(prior_strength(linked).first().m), F.col("a") + F.col("b"))
+        judged = linked.select(F.col(level).alias("key"), (F.col("mean") * weight + good).alias("alpha"), ((1 - F.col("mean")) * weight + bad).alias("beta"))
         out[level] = judged
         prior = judged.select(F.col("key").alias("above"), F.col("alpha").alias("a"), F.col("beta").alias("b"))
     return out
@@ -107,7 +107,7 @@ def reputations(pages: DataFrame, labels: DataFrame, least: float = LEAST_RATE,
     The bound is the posterior mean plus ``deviations`` standard deviations: a host is blocked only if even that is below ``least``.
     """
     shelf = Shelf(pages.sparkSession)
-    found = {level: shelf.put(table) for level, table in posteriors(shelf.put(outcomes(pages, labels))).items()}
+    found = posteriors(shelf.put(outcomes(pages, labels)), shelf)
     host, _ = host_and_path(F.col("url"))
     hosts = pages.select(host.alias("host")).distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     for level in ("host", "domain", "suffix"):
@@ -123,7 +123,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     """(page_id, host, path, rule, verdict) of every page."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    # only blocked hosts are joined: the rest is allowed
-    blocked = reputations(pages, labels).filter(F.col("verdict") == "block").select("host", F.lit("block").alias("by_host"))
-    ruled = urls.join(blocked, "host", "left").withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    # only blocked hosts are joined: the rest is allowed.  Beyond so many of them Spark joins by shuffle
+    blocked = Shelf(pages.sparkSession).put(reputations(pages, labels).filter(F.col("verdict") == "block").select("host", F.lit("block").alias("by_host")))
+    ruled = urls.join(F.broadcast(blocked) if blocked.count() <= MOST_BROADCAST else blocked, "host", "left").withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "by_host", F.lit("allow")).alias("verdict"))
