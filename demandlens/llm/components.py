@@ -19,13 +19,13 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("least"))
         # a node's old label also learns of the new one, so that whole trees move at once
         news = labels.join(seen, "node").filter("least < root")
-        moved = shelf.put(news.select("node", "least").union(news.select("root", "least")).groupBy("node").agg(F.min("least").alias("least")))
-        if moved.isEmpty():
-            shelf.drop(both, moved)
+        moved = news.select("node", "least").union(news.select("root", "least")).groupBy("node").agg(F.min("least").alias("least"))
+        lower = labels.join(moved, "node", "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("new"))
+        up = lower.select(F.col("node").alias("new"), F.col("new").alias("top"))
+        shorter = shelf.put(lower.join(up, "new", "left").select("node", "root", F.coalesce("top", "new").alias("new")))
+        if shorter.filter("new != root").isEmpty():
+            shelf.drop(both, shorter)
             return labels
-        lower = labels.join(moved, "node", "left").select("node", F.least("root", F.coalesce("least", "root")).alias("root"))
-        lower = shelf.put(lower)
-        up = lower.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        shorter = shelf.put(lower.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        shelf.drop(labels, lower, moved)
-        labels = shorter
+        shelf.drop(labels)
+        labels = shorter.select("node", F.col("new").alias("root"))
+        labels._shelf_path = shorter._shelf_path

@@ -8,7 +8,7 @@ shingles that could be common; a second bound uses both prefixes.
 
 Skipping by set relations: instead of all pairs of a list, a few leaders are compared with the list's entries.  What links to a leader joins
 its component, and entries of one component are never compared again: their answers follow from the leader's.  A leader leaves its
-lists, the rest goes on with four times as many, chosen from outside the list's largest component, until one component is left.
+lists, the rest goes on with sixteen times as many, chosen from outside the list's largest component, until one component is left.
 Every pair of a list is thus compared or known to be connected, so components are exact, and a group of m near copies costs about m
 comparisons a round instead of m * m.
 
@@ -34,7 +34,11 @@ WORDS, PERCENT = 4, 85
 #: Index lists longer than this send their shingle to the end of the order; at most MOST_LATE shingles (the longest lists) are sent.
 LONG_LIST, MOST_LATE = 100, 200_000
 LATE = 1 << 62
-LEADER_GROWTH = 4
+FIRST_LEADERS, LEADER_GROWTH = 2, 16
+#: Passes that look for shingles of long lists; what a pass more would find changes cost only.
+ORDER_PASSES = 2
+#: Ids (8 bytes each) that are broadcast to pick texts; beyond it Spark joins by shuffle.
+MOST_BROADCAST = 1_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -133,22 +137,20 @@ def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, p
     postings = postings_of(reps)
     alive = postings.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
     entries = shelf.put(postings.join(alive, "t", "left_semi").withColumn("root", F.col("c")))
-    links, k, body = None, 1, None
+    links, k, have, roots = None, FIRST_LEADERS, None, None
     while True:
         leaders, members = leaders_of(entries, k)
-        met = pairs_of(leaders, members, percent)
-        met = shelf.put(bounded(met, reps, percent))
+        met = shelf.put(bounded(pairs_of(leaders, members, percent), reps, percent))
         if not met.isEmpty():
-            if body is None:
-                body = shelf.put(sets(docs.join(met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
-                have = body
-            else:
-                lacking = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(have.select("doc_id"), "doc_id", "left_anti")
-                more = shelf.put(sets(docs.join(lacking, "doc_id", "left_semi"), words))
-                have = have.union(more)
+            ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            lacking = shelf.put(ids if have is None else ids.join(have.select("doc_id"), "doc_id", "left_anti"))
+            if have is None or not lacking.isEmpty():
+                more = shelf.put(sets(picked(docs, lacking), words))
+                have = more if have is None else have.union(more)
             found = shelf.put(verified(met, have, percent))
-            links = found if links is None else links.union(found)
-        roots = shelf.put(components(links, shelf)) if links is not None else None
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                roots = components(links, shelf)
         rest = members.filter(~F.col("leads")).select("t", "c", "n", "pos")
         rest = rest.join(roots, F.col("c") == F.col("node"), "left").select("t", "c", "n", "pos", F.coalesce("root", "c").alias("root")) if roots is not None else rest.withColumn("root", F.col("c"))
         open_lists = rest.groupBy("t").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("t")
@@ -159,10 +161,15 @@ def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, p
             return roots if roots is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (a stored table); they aren't moved unless the ids are too many to send everywhere."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+
+
 def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, percent: int) -> DataFrame:
     """``reps`` with prefixes in an order that puts shingles of long lists last.  Each pass finds those that the last one brought up."""
     late = np.zeros(0, np.int64)
-    for _ in range(4):
+    for _ in range(ORDER_PASSES):
         more = late_shingles(postings_of(reps))
         if not len(more) or len(late) + len(more) > 4 * MOST_LATE:
             break
@@ -170,7 +177,7 @@ def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, perc
         touched = docs.sparkSession.createDataFrame([(int(t),) for t in more], "x long")
         hit = reps.select("doc_id", F.explode("prefix").alias("x")).join(F.broadcast(touched), "x", "left_semi").select("doc_id").distinct()
         hit = shelf.put(hit)
-        again = summaries(docs.join(hit, "doc_id", "left_semi"), late, words, percent).dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix")
+        again = summaries(picked(docs, hit), late, words, percent).dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix")
         now = shelf.put(reps.join(hit, "doc_id", "left_anti").union(again))
         shelf.drop(hit, reps)
         reps = now
