@@ -39,7 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", parts.alias("parts")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 8, seed: int = 11) -> bytenet.Net:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 20, seed: int = 11) -> bytenet.Net:
     """Train on the driver; what is collected is bounded by ``rows`` documents of ``SAMPLE_CHUNKS`` x ``CHUNK`` characters."""
     sample = sorted((r.doc_id, r.quality, list(r.parts)) for r in labelled_sample(docs, labels, rows).collect())
     x = np.zeros((len(sample), SAMPLE_CHUNKS, CHUNK), np.uint8)
