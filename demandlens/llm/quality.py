@@ -24,6 +24,8 @@ WIDTHS, FILTERS = (3, 4, 5), 12
 CHUNK, OVERLAP = 512, 64
 #: At most so many labelled documents are fitted on, and chunks cut from each.
 SAMPLE_ROWS, SAMPLE_CHUNKS = 3000, 4
+#: Steps of training, in batches of BATCH documents; a small sample is gone through MOST_EPOCHS times at most.
+STEPS, BATCH, MOST_EPOCHS = 750, 32, 20
 HELD_OUT_OF, HELD_OUT = 4, 2
 CUT = 0.7
 
@@ -39,7 +41,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", parts.alias("parts")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 20, seed: int = 11) -> bytenet.Net:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> bytenet.Net:
     """Train on the driver; what is collected is bounded by ``rows`` documents of ``SAMPLE_CHUNKS`` x ``CHUNK`` characters."""
     sample = sorted((r.doc_id, r.quality, list(r.parts)) for r in labelled_sample(docs, labels, rows).collect())
     x = np.zeros((len(sample), SAMPLE_CHUNKS, CHUNK), np.uint8)
@@ -57,7 +59,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int
     if len(set(y.tolist())) < 2:
         net.dense[:] = 0
         return net
-    return bytenet.train(net, x, y, weight, epochs, 32, 0.01, seed)
+    epochs = min(MOST_EPOCHS, max(1, STEPS * BATCH // len(y)))
+    return bytenet.train(net, x, y, weight, epochs, BATCH, 0.01, seed)
 
 
 def score(docs: DataFrame, net: bytenet.Net) -> DataFrame:
