@@ -74,7 +74,7 @@ def aggregate_phrases(obs: DataFrame, sources: tuple[str, ...] = SOURCE_IDS) ->
 
 
 def demand_score(best: Column, n_sources: Column, n_requested: Column, occ: Column) -> Column:
-    agreement = n_sources / n_requested
+    agreement = F.coalesce(n_sources / F.nullif(n_requested, F.lit(0)), F.lit(0.0))  # no source asked for: no agreement
     seen = F.least(F.lit(1.0), F.log(1 + occ) / F.log(F.lit(11.0)))
     return text.js_round((0.5 * best + 0.3 * agreement + 0.2 * seen) * 100).cast("int")
 

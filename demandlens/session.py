@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "demand
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; make one up only for a local master."""
+    """Use the shared folder named in ``spark.checkpoint.dir``; where it is unset and the master is local, one in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
@@ -34,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="demandlens-checkpoint-"))
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
@@ -63,13 +62,3 @@ def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     Counting stops at ``most`` + 1 rows.  Beyond it Spark shuffles, and splits the rows of a hot key (adaptive skew join).
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy row work on an input with fewer splits than cores.
-
-    A Parquet file cannot be read in smaller pieces than its row groups.  An input with few of them is small, so dealing its rows
-    out costs little; anything larger is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,33 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-TEMPLATES = {
-    "first_en": "{hello}\nThis is {sender} from {product}. We help people practise {topic}.\n{area_line}\n"
-    "You can try it here: {link}\nWe would be glad to hear whether it helps your {org}.",
-    "first_ta": "வணக்கம் 🙏\nநான் {sender}, {product}. {topic} பயிற்சிக்கான இணைப்பு: {link}",
-    "followup1_en": "{hello}\nDid you have time to open the link? We can also show it to you in a short call.",
-    "followup1_ta": "வணக்கம் 🙏\nஇணைப்பைப் பார்க்க நேரம் கிடைத்ததா?",
-    "call_en": "Hello, this is {sender} from {product}. I wrote to you about {topic}. Is this a good moment?",
-    "details_en": "Thank you for your reply. {offer}\nLink: {link}\nWhom am I speaking with?",
-    "details_ta": "நன்றி 🙏 {offer}\nஇணைப்பு: {link}",
-    "nudge_en": "{hello}\nHave you been able to read the details?",
-    "nudge_ta": "வணக்கம் 🙏\nவிவரங்களைப் படித்தீர்களா?",
-    "has_app_en": "Thank you for letting me know. Could it be useful next to the app you have for {topic}?",
-    "checkin3_en": "{hello}\nHow is the trial going so far? Is anything unclear?",
-    "checkin7_en": "{hello}\nOne week has passed. How many people used it?",
-    "review30_en": "{hello}\nThe trial month is over. Shall we talk about how your {org} could go on?",
-}
-
-HINTS = {
-    "first": "Write to one business at a time.",
-    "followup1": "Late morning or early afternoon works best; send it once.",
-    "call": "Ring late morning or early afternoon; stop after this if nobody answers.",
-    "send_details": "They answered: add your brochure after this message.",
-    "nudge_details": "A friendly reminder about the details.",
-    "checkin3": "Find out what went well and what was unclear.",
-    "checkin7": "Repeat use in week one is the sign to look for.",
-    "review30": "Talk about going on or about a paid plan.",
-}
+#: Messages and steps that have a text.  The texts are the user's: these defaults only fill in every field.
+MESSAGES = "first_en first_ta followup1_en followup1_ta call_en details_en details_ta nudge_en nudge_ta has_app_en checkin3_en checkin7_en review30_en".split()
+TEMPLATES = dict.fromkeys(MESSAGES, "{hello}\n{sender}, {product}: {topic}, {org}. {area_line}\n{offer} {link}")
+HINTS = dict.fromkeys("first followup1 call send_details nudge_details checkin3 checkin7 review30".split(), "")
 
 
 @dataclass(frozen=True)
