@@ -13,8 +13,9 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
 
     Rounds grow with the logarithm of the longest chain.  Hubs are aggregated before the shuffle; nothing is collected.
     """
-    both = shelf.put(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).filter("node != near").distinct())
-    labels = shelf.put(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")))
+    tasks = 4 * edges.sparkSession.sparkContext.defaultParallelism  # small tables: no more files than keep all cores busy
+    both = shelf.put(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).filter("node != near").distinct().coalesce(tasks))
+    labels = shelf.put(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")).coalesce(tasks))
     while True:
         seen = both.join(labels.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("least"))
         # a node's old label also learns of the new one, so that whole trees move at once
@@ -22,7 +23,7 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         moved = news.select("node", "least").union(news.select("root", "least")).groupBy("node").agg(F.min("least").alias("least"))
         lower = labels.join(moved, "node", "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("new"))
         up = lower.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        shorter = shelf.put(lower.join(up, "new", "left").select("node", "root", F.coalesce("top", "new").alias("new")))
+        shorter = shelf.put(lower.join(up, "new", "left").select("node", "root", F.coalesce("top", "new").alias("new")).coalesce(tasks))
         if shorter.filter("new != root").isEmpty():
             shelf.drop(both, shorter)
             return labels

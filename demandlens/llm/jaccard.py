@@ -8,7 +8,7 @@ shingles that could be common; a second bound uses both prefixes.
 
 Skipping by set relations: instead of all pairs of a list, a few leaders are compared with the list's entries.  What links to a leader joins
 its component, and entries of one component are never compared again: their answers follow from the leader's.  A leader leaves its
-lists, the rest goes on with sixteen times as many, chosen from outside the list's largest component, until one component is left.
+lists, the rest goes on with 64 times as many, chosen from outside the list's largest component, until one component is left.
 Every pair of a list is thus compared or known to be connected, so components are exact, and a group of m near copies costs about m
 comparisons a round instead of m * m.
 
@@ -34,9 +34,9 @@ WORDS, PERCENT = 4, 85
 #: Index lists longer than this send their shingle to the end of the order; at most MOST_LATE shingles (the longest lists) are sent.
 LONG_LIST, MOST_LATE = 100, 200_000
 LATE = 1 << 62
-FIRST_LEADERS, LEADER_GROWTH = 2, 16
-#: Passes that look for shingles of long lists; what a pass more would find changes cost only.
-ORDER_PASSES = 2
+FIRST_LEADERS, LEADER_GROWTH = 8, 64
+#: So many prefix lengths of each set are kept at first, so that most prefixes can be put in the final order without the text.
+HEAD = 2
 #: Ids (8 bytes each) that are broadcast to pick texts; beyond it Spark joins by shuffle.
 MOST_BROADCAST = 1_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -82,8 +82,19 @@ def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(at, len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
 
 
+def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    """An Arrow column of the arrays; None becomes null."""
+    at = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in arrays])]).astype(np.int32)
+    flat = [x for x in arrays if x is not None]
+    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(at), values, mask=pa.array([x is None for x in arrays], pa.bool_()))
+
+
 def summaries(docs: DataFrame, late: np.ndarray | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, 128-bit digest of the set, prefix in the global order (late shingles moved by LATE)."""
+    """(doc_id, n, digest, prefix): set size, 128-bit digest of the set, and the prefix in the global order (late shingles moved by LATE).
+
+    As long as ``late`` isn't known, ``prefix`` is the HEAD-fold prefix by hash alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 4 << 20):
@@ -92,12 +103,9 @@ def summaries(docs: DataFrame, late: np.ndarray | None = None, words: int = WORD
                 s = shingles(text.as_py() or b"", words)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if late is not None and len(s):
-                    s = np.sort(s + _in(s, late) * LATE)
-                prefixes.append(s[: prefix_length(len(s), percent)])
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "prefix"])
+                length = prefix_length(len(s), percent)
+                prefixes.append(s[: HEAD * length] if late is None else np.sort(s + _in(s, late) * LATE)[:length])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["doc_id", "n", "digest", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
 
@@ -108,21 +116,19 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 4 << 20):
             found = [shingles(t.as_py() or b"", words) for t in batch.column("text").cast(pa.large_binary())]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(found)], ["doc_id", "s"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
 def late_shingles(postings: DataFrame) -> np.ndarray:
     """The shingles of the longest index lists, MOST_LATE at most: which ones are sent to the end changes cost, never results."""
-    longest = postings.filter(F.col("t") < LATE).groupBy("t").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST).orderBy(F.desc("m"), "t").limit(MOST_LATE)
+    longest = postings.groupBy("t").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST).orderBy(F.desc("m"), "t").limit(MOST_LATE)
     return np.sort(np.array([r.t for r in longest.collect()], np.int64))
 
 
 def postings_of(table: DataFrame) -> DataFrame:
-    """(t, c, n, pos): the index entries of the classes' prefixes."""
+    """(t, c, n, pos): the index entries of the classes' prefixes (or heads)."""
     return table.select(F.col("doc_id").alias("c"), "n", F.posexplode("prefix").alias("pos", "t")).select("t", "c", "n", F.col("pos").cast("long").alias("pos"))
 
 
@@ -134,31 +140,46 @@ def needed(a: Column, b: Column, percent: int) -> Column:
 def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked with another: ``reps`` is (doc_id, n, prefix) of each class."""
     reps = index_order(docs, reps, shelf, words, percent)
-    postings = postings_of(reps)
-    alive = postings.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
-    entries = shelf.put(postings.join(alive, "t", "left_semi").withColumn("root", F.col("c")))
+    entries = shelf.put(with_lists(postings_of(reps)))
     links, k, have, roots = None, FIRST_LEADERS, None, None
-    while True:
-        leaders, members = leaders_of(entries, k)
-        met = shelf.put(bounded(pairs_of(leaders, members, percent), reps, percent))
+    while not entries.isEmpty():
+        members = entries.withColumn("leads", leads(k))
+        met = shelf.put(bounded(pairs_of(members.filter("leads"), members, percent), reps, percent))
+        ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        lacking = shelf.put(ids if have is None else ids.join(have.select("doc_id"), "doc_id", "left_anti"))
+        if not lacking.isEmpty():
+            more = shelf.put(sets(picked(docs, lacking), words))
+            have = more if have is None else have.union(more)
         if not met.isEmpty():
-            ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            lacking = shelf.put(ids if have is None else ids.join(have.select("doc_id"), "doc_id", "left_anti"))
-            if have is None or not lacking.isEmpty():
-                more = shelf.put(sets(picked(docs, lacking), words))
-                have = more if have is None else have.union(more)
             found = shelf.put(verified(met, have, percent))
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 roots = components(links, shelf)
-        rest = members.filter(~F.col("leads")).select("t", "c", "n", "pos")
-        rest = rest.join(roots, F.col("c") == F.col("node"), "left").select("t", "c", "n", "pos", F.coalesce("root", "c").alias("root")) if roots is not None else rest.withColumn("root", F.col("c"))
-        open_lists = rest.groupBy("t").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("t")
-        now = shelf.put(rest.join(open_lists, "t", "left_semi"))
-        shelf.drop(entries, met)
+        now = shelf.put(with_lists(members.filter(~F.col("leads")).select("t", "c", "n", "pos"), roots))
+        shelf.drop(entries, met, lacking)
         entries, k = now, k * LEADER_GROWTH
-        if entries.isEmpty():
-            return roots if roots is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
+    return roots if roots is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
+
+
+def with_lists(entries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The entries (t, c, n, pos) of lists with several components, with their own ``root``, the list's length ``m`` and its largest component (``main``, of ``most`` entries)."""
+    if roots is None:
+        named = entries.withColumn("root", F.col("c"))
+        lists = entries.groupBy("t").agg(F.count("*").alias("m"), F.max("c").alias("main")).filter("m > 1").withColumn("most", F.lit(1).cast("long"))
+    else:
+        named = entries.join(roots, F.col("c") == F.col("node"), "left").select("t", "c", "n", "pos", F.coalesce("root", "c").alias("root"))
+        parts = named.groupBy("t", "root").agg(F.count("*").alias("m"))
+        lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top")).select("t", "m", F.col("top.root").alias("main"), F.col("top.m").alias("most")).filter("m > most")
+    return named.join(lists, "t")
+
+
+def leads(k: int) -> Column:
+    """Whether an entry leads: about k of each list from outside its largest component, all if there are fewer.
+
+    Leaders are chosen by a hash of the class and the round, so that lists that overlap choose the same.
+    """
+    draw = (F.xxhash64(F.lit(k), "c") / F.lit(2.0**64)) + 0.5
+    return (F.col("root") != F.col("main")) & (draw * (F.col("m") - F.col("most")) <= k)
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -167,35 +188,26 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, percent: int) -> DataFrame:
-    """``reps`` with prefixes in an order that puts shingles of long lists last.  Each pass finds those that the last one brought up."""
-    late = np.zeros(0, np.int64)
-    for _ in range(ORDER_PASSES):
-        more = late_shingles(postings_of(reps))
-        if not len(more) or len(late) + len(more) > 4 * MOST_LATE:
-            break
-        late = np.union1d(late, more)
-        touched = docs.sparkSession.createDataFrame([(int(t),) for t in more], "x long")
-        hit = reps.select("doc_id", F.explode("prefix").alias("x")).join(F.broadcast(touched), "x", "left_semi").select("doc_id").distinct()
-        hit = shelf.put(hit)
-        again = summaries(picked(docs, hit), late, words, percent).dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix")
-        now = shelf.put(reps.join(hit, "doc_id", "left_anti").union(again))
-        shelf.drop(hit, reps)
-        reps = now
-    return reps
-
-
-def leaders_of(entries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(leaders, all entries with ``leads``): in each list about k leaders from outside its largest component, all if there are fewer.
+    """(doc_id, n, prefix): prefixes in an order that puts shingles of long lists last, from heads (HEAD-fold prefixes by hash).
 
-    Leaders are chosen by a hash of the class and the round, so that lists that overlap choose the same.
+    The first shingles of a head that aren't late are the prefix; texts are read again only where a head holds too few of them.
     """
-    parts = entries.groupBy("t", "root").agg(F.count("*").alias("m"))
-    lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max(F.struct("m", "root"))["root"].alias("main"))
-    joined = entries.join(lists, "t")
-    draw = (F.xxhash64(F.lit(k), "c") / F.lit(2.0**64)) + 0.5
-    leads = (F.col("root") != F.col("main")) & (draw * (F.col("m") - F.col("most")) <= k)
-    members = joined.select("t", "c", "n", "pos", "root", leads.alias("leads"))
-    return members.filter("leads").drop("leads"), members
+    late = late_shingles(postings_of(reps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = []
+            for n, head in zip(batch.column("n").to_pylist(), batch.column("prefix")):
+                s, length = head.values.to_numpy(), prefix_length(n, percent)
+                s = np.sort(s + _in(s, late) * LATE)
+                prefixes.append(s[:length] if len(s) == n or s[length - 1] < LATE else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), _lists(prefixes)], ["doc_id", "n", "prefix"])
+
+    ordered = shelf.put(reps.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id long, n long, prefix array<long>"))
+    lacking = shelf.put(ordered.filter("prefix IS NULL").select("doc_id"))
+    again = shelf.put(summaries(picked(docs, lacking), late, words, percent).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]))
+    shelf.drop(reps, lacking)
+    return ordered.filter("prefix IS NOT NULL").union(again)
 
 
 def pairs_of(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
