@@ -19,7 +19,6 @@ TAILS = (
 )
 SEEDS = ("ring, Gear", "bolt,plate , rod", "widget", "small ring,gizmo, anvil,plate", "anvil")
 SOURCES = (("A", "N", "R"), ("A", "N", "R"), ("A", "N", "R", "X"), ("A", "N", "R"), ("A",))
-SOURCE_NAMES = ("A", "N", "R", "X")
 CITIES = ("Salem", "", "Kovai", "Anna Nagar", "")
 DEPTHS = ("quick", "deep", "max", "unknown", "deep")
 
@@ -179,11 +178,11 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 def aggregated(spark: SparkSession, d: str) -> DataFrame:
     dim = phrases.scan_dimension(scans(spark, d))
-    return phrases.aggregate_phrases(phrases.relevant(observations(spark, d), dim), SOURCE_NAMES)
+    return phrases.aggregate_phrases(phrases.relevant(observations(spark, d), dim))
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.keyword_table(observations(spark, d), scans(spark, d), SOURCE_NAMES)
+    return phrases.keyword_table(observations(spark, d), scans(spark, d))
 
 
 def joined(c: str, sep: str = "|"):

@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlens import fixed
 from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_label
@@ -108,15 +107,16 @@ def facets(keywords: DataFrame, q: KeywordQuery, top_places: int = 40, top_terms
     # the shuffle, and apply the threshold to the few rows left.  Selected terms come first, so none is lost to the pruning.
     selected = (F.col("dim") == "term") & F.col("k").isin(*q.terms)
     by_count = [F.col("n").desc(), F.col("k").asc()]
-    most = max(top_places, top_terms, len(fixed.INTENT_LABELS)) + len(q.terms)
-    few = ordering.top_per_group(counted.withColumn("_sel", selected), ["search_id", "dim"], [F.col("_sel").desc(), *by_count], most)
+    most = max(top_places, top_terms) + len(q.terms)
+    own = F.when(~F.col("dim").isin("place", "term"), F.col("k"))  # all intents are listed: each is a group of its own
+    few = ordering.top_per_group(counted.withColumns({"_sel": selected, "_own": own}), ["search_id", "dim", "_own"], [F.col("_sel").desc(), *by_count], most)
     total = F.max(F.when(F.col("dim") == "total", F.col("n"))).over(Window.partitionBy("search_id"))
     least = F.when(F.coalesce("_total", F.lit(0)) > 400, 4).otherwise(2)
     wanted = few.withColumn("_total", total).filter((F.col("dim") != "total") & ((F.col("dim") != "term") | (F.col("n") >= least) | F.col("_sel")))
     ranked = wanted.withColumn("rank", F.row_number().over(Window.partitionBy("search_id", "dim").orderBy(*by_count)))
-    keep = F.when(F.col("dim") == "place", top_places).when(F.col("dim") == "term", top_terms).otherwise(most)
+    keep = F.when(F.col("dim") == "place", top_places).when(F.col("dim") == "term", top_terms)
     label = F.when(F.col("dim") == "intent", intent_label(F.col("k"))).otherwise(F.col("k"))
-    return ranked.filter(F.col("rank") <= keep).select("search_id", "dim", "k", label.alias("label"), "n", "rank")
+    return ranked.filter((F.col("dim") == "intent") | (F.col("rank") <= keep)).select("search_id", "dim", "k", label.alias("label"), "n", "rank")
 
 
 def sort_columns(sort: str) -> list[Column]:
@@ -128,9 +128,9 @@ def sort_columns(sort: str) -> list[Column]:
     return by_score
 
 
-def page(keywords: DataFrame, q: KeywordQuery) -> DataFrame:
-    """Rows offset .. offset+limit of every scan, with their position; at most 500 a page."""
-    offset, limit = max(0, q.offset), min(500, q.limit or 100)
+def page(keywords: DataFrame, q: KeywordQuery, most: int | None = 500) -> DataFrame:
+    """Rows offset .. offset+limit of every scan, with their position; at most ``most`` a page (None: no limit)."""
+    offset, limit = max(0, q.offset), min(q.limit or 100, most or q.limit or 100)
     kept = filter_keywords(keywords, q)
     if "rank" in kept.columns:
         kept = kept.drop("rank")

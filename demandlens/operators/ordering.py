@@ -12,11 +12,25 @@ from pyspark.sql import functions as F
 
 from demandlens.session import pin
 
-CHUNK = 65536
-BROADCAST_ROWS = 500_000
 GROUP_LIMIT = 1000  # Spark prunes row_number() <= k before the shuffle up to this k
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL meeting NULL; the keys of ``left`` are kept."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def chunked(df: DataFrame, keys: list[str], seq: str, chunk: int | None = None) -> DataFrame:
+    """``df`` in range partitions of (keys, seq), pinned, with the partition as ``_chunk``; sparse numbers make no small chunks.
+
+    Partitions hold about ``chunk`` rows, or what Spark makes of the size of the input.
+    """
+    parts = [] if chunk is None else [max(1, -(-df.count() // chunk))]
+    return pin(df.repartitionByRange(*parts, *keys, seq).withColumn("_chunk", F.spark_partition_id()))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their 1-based rank.
 
@@ -56,26 +70,23 @@ def global_rank(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_n").over(group).alias("_size"),
     )
-    # one row per partition and group in it; sent to every task only while that is a checked, small number of rows
-    if per_part.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    out = placed.join(offsets, [*keys, "_pid"]).withColumn(rank_col, F.col("_pos") + F.col("_shift"))
+    # one row per partition and group in it; Spark broadcasts it where its size in bytes allows
+    out = same_keys(placed, offsets, [*keys, "_pid"]).withColumn(rank_col, F.col("_pos") + F.col("_shift"))
     if size_col:
         out = out.withColumn(size_col, F.col("_size"))
     return out.drop("_pid", "_pos", "_shift", "_size")
 
 
 def running(
-    df: DataFrame, keys: list[str], seq: str, totals: dict[str, tuple[str, Column]], inclusive: bool = True, chunk: int = CHUNK
+    df: DataFrame, keys: list[str], seq: str, totals: dict[str, tuple[str, Column]], inclusive: bool = True, chunk: int | None = None
 ) -> DataFrame:
-    """Running sum / max / min per group in the order of ``seq``, an integer that is unique within a group.
+    """Running sum / max / min per group in the order of ``seq``, which is unique within a group and may be sparse.
 
-    ``totals`` maps a new column to ("sum" | "max" | "min", expression).  Rows are cut into chunks of ``chunk`` consecutive
-    values of ``seq``: a chunk holds at most that many rows, however hot the group.  With ``inclusive=False`` the row itself
-    is left out.
+    ``totals`` maps a new column to ("sum" | "max" | "min", expression).  Rows are range-partitioned on (keys, seq), see ``chunked``; a
+    chunk is what one group has in one partition, however hot the group.  With ``inclusive=False`` the row itself is left out.
     """
     kinds = {"sum": F.sum, "max": F.max, "min": F.min}
-    base = df.withColumn("_chunk", F.expr(f"{seq} div {chunk}"))
+    base = chunked(df, keys, seq, chunk)
     for name, (_, expr) in totals.items():
         base = base.withColumn(f"_v_{name}", expr)
     summary = base.groupBy(*keys, "_chunk").agg(*[kinds[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in totals.items()])
@@ -86,7 +97,7 @@ def running(
     )
     local = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     local = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = base.join(carry, [*keys, "_chunk"])
+    out = same_keys(base, carry, [*keys, "_chunk"])
     for name, (kind, _) in totals.items():
         inside, before = kinds[kind](f"_v_{name}").over(local), F.col(f"_c_{name}")
         if kind == "sum":

@@ -10,67 +10,60 @@ from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.operators.intents import intent_of, place_candidate
 from demandlens.plans.tasks import seed_list
-from demandlens.session import broadcast_if_small, pin
+from demandlens.session import pin
 
 MAX_PHRASE = 90
-MAX_BROADCAST_SCANS = 200_000
-SOURCE_IDS = tuple(name for name, _, _ in fixed.SOURCES)
 
 
 def scan_dimension(scans: DataFrame) -> DataFrame:
     """``scans(search_id, seed, sources array)`` -> one row per scan with its seeds, token lists and requested sources.
 
-    A row is a few hundred bytes; up to MAX_BROADCAST_SCANS of them are broadcast into the joins with observations and phrases.
+    Spark broadcasts it into the joins with observations and phrases where its size in bytes allows.
     """
     seeds = seed_list(F.col("seed"))
     token_lists = F.transform(seeds, lambda s: F.split(s, " "))
-    dim = scans.select(
+    return scans.select(
         "search_id",
         seeds.alias("seeds"),
         token_lists.alias("seed_token_lists"),
         F.array_distinct(F.flatten(token_lists)).alias("seed_tokens"),
         F.size("sources").alias("n_requested"),
     )
-    return broadcast_if_small(dim, MAX_BROADCAST_SCANS)
 
 
-def relevant(obs: DataFrame, dim: DataFrame) -> DataFrame:
+def relevant(obs: DataFrame, dim: DataFrame, longest: int | None = MAX_PHRASE) -> DataFrame:
     """Normalise, then drop phrases that are empty, too long, a seed itself, or without all words of at least one seed.
 
-    ``dim`` is ``scan_dimension``: broadcast while it is small, so observations are filtered where they are read.
+    ``dim`` is ``scan_dimension``; ``longest`` is the most characters of a phrase (None: no limit).
     """
     phrase = F.col("phrase")
     on_topic = F.exists("seed_token_lists", lambda words: F.forall(words, lambda w: F.contains(phrase, w)))
     return (
         text.computed_once(obs, "phrase", text.norm(phrase))
-        .filter((phrase != "") & (F.length(phrase) <= MAX_PHRASE))
+        .filter((phrase != "") & (F.length(phrase) <= longest if longest else F.lit(True)))
         .join(dim.select("search_id", "seeds", "seed_token_lists"), "search_id")
         .filter(~F.array_contains("seeds", phrase) & on_topic)
         .drop("seeds", "seed_token_lists")
     )
 
 
-def aggregate_phrases(obs: DataFrame, sources: tuple[str, ...] = SOURCE_IDS) -> DataFrame:
+def best_weight() -> Column:
+    """The best position weight of a group of observations."""
+    return F.max(F.col("w") * (1 - F.least(F.col("pos"), F.lit(9)) / F.lit(10.0)))
+
+
+def aggregate_phrases(obs: DataFrame) -> DataFrame:
     """One row per scan and phrase: sorted distinct sources, times seen, best position weight.
 
-    The source set is folded as a bit mask over the catalogue ``sources`` (63 at most; others are ignored), so all three
-    aggregates have fixed-size buffers: they run as one code-generated hash aggregate that combines before the shuffle, and a
-    phrase seen a billion times arrives as one row per task.  ``collect_set`` would fall back to sorting the raw rows.
+    Any sources may occur.  The first aggregate, per source too, has fixed-size buffers: it is code-generated, combines before the
+    shuffle, and a phrase seen a billion times arrives as one row per task and source.  Only its few rows meet in the second.
     """
-    names = sorted(sources)
-    bit = F.coalesce(*[F.when(F.col("source") == n, F.lit(1 << i).cast("long")) for i, n in enumerate(names)])
-    weight = F.col("w") * (1 - F.least(F.col("pos"), F.lit(9)) / F.lit(10.0))
-    folded = (
-        obs.filter(F.col("source").isin(*names))
-        .groupBy("search_id", "phrase")
-        .agg(
-            F.bit_or(bit).alias("_mask"),
-            F.count(F.lit(1)).alias("occ"),
-            F.greatest(F.max(weight), F.lit(0.0)).alias("best"),
-        )
+    by_source = obs.groupBy("search_id", "phrase", "source").agg(F.count(F.lit(1)).alias("_n"), best_weight().alias("_best"))
+    return by_source.groupBy("search_id", "phrase").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.sum("_n").alias("occ"),
+        F.greatest(F.max("_best"), F.lit(0.0)).alias("best"),
     )
-    found = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in enumerate(names)]
-    return folded.select("search_id", "phrase", F.array_compact(F.array(*found)).alias("sources"), "occ", "best")
 
 
 def demand_score(best: Column, n_sources: Column, n_requested: Column, occ: Column) -> Column:
@@ -172,8 +165,8 @@ def classify_scored(scored: DataFrame, dim: DataFrame, rules=fixed.INTENT_RULES,
 
 
 def keyword_table(
-    obs: DataFrame, scans: DataFrame, sources=SOURCE_IDS, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
+    obs: DataFrame, scans: DataFrame, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
 ) -> DataFrame:
     """The whole path from observations to the classified keyword table."""
     dim = scan_dimension(scans)
-    return classify_scored(score_phrases(aggregate_phrases(relevant(obs, dim), sources), dim), dim, rules, stop_words)
+    return classify_scored(score_phrases(aggregate_phrases(relevant(obs, dim)), dim), dim, rules, stop_words)

@@ -30,18 +30,18 @@ def classify_attempts(tries: DataFrame, keys: tuple[str, ...] = ("search_id", "s
     )
 
 
-def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source"), chunk: int = ordering.CHUNK) -> DataFrame:
+def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source"), chunk: int | None = None) -> DataFrame:
     """Running strikes and errors of every source since its last ok, when it is switched off, and what is skipped after that.
 
     ``attempts(keys..., seq, outcome)``: ``seq`` is an integer, unique per source; a cached answer has outcome ``cached`` and
     touches no counter.  Adds ``strikes``, ``errs`` (after the attempt), ``off_at`` (seq of the attempt that switches the source
     off) and ``skipped``.  The order of attempts is that of ``seq``.  A source may hold any share of the rows: counts run inside
-    chunks of ``chunk`` consecutive numbers, and only one summary row per chunk meets the others of its source.
+    range partitions (about ``chunk`` rows each, if set), and only one summary row per partition meets the others of its source.
     """
     keys = list(keys)
     ok, rate, err = F.col("outcome") == "ok", F.col("outcome") == "rate", F.col("outcome") == "err"
     inside = Window.partitionBy(*keys, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = attempts.withColumn("_chunk", F.expr(f"seq div {chunk}")).withColumns(
+    counted = ordering.chunked(attempts, keys, "seq", chunk).withColumns(
         {"_r": F.count_if(rate).over(inside), "_e": F.count_if(err).over(inside)}
     )
     # counts never fall, so their value at the last ok is their largest value at any ok so far
@@ -57,7 +57,7 @@ def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source")
         *keys, "_chunk", "_b_r", "_b_e",
         *[F.coalesce(F.max(F.col(f"_b{c}") + F.col(f"{c}_ok")).over(until), F.lit(0)).alias(f"_base{c}") for c in ("_r", "_e")],
     )
-    joined = local.join(carry, [*keys, "_chunk"])
+    joined = ordering.same_keys(local, carry, [*keys, "_chunk"])
 
     def since_ok(c: str) -> Column:
         return F.col(c) - F.coalesce(F.col(f"{c}_ok"), F.col(f"_base{c}") - F.col(f"_b{c}"))
@@ -67,7 +67,7 @@ def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source")
         (F.col("outcome") == "err") & (F.col("errs") >= MAX_ERRORS)
     )
     off = since.filter(trips).groupBy(*keys).agg(F.min("seq").alias("off_at"), F.min_by("outcome", "seq").alias("off_reason"))
-    return since.join(off, keys, "left").withColumn(
+    return ordering.same_keys(since, off, keys, "left").withColumn(
         "skipped", F.coalesce(F.col("seq") > F.col("off_at"), F.lit(False))
     )
 

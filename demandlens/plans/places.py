@@ -85,14 +85,14 @@ def plan_estimate(searches: DataFrame, used_today: DataFrame, cap: int = 200, us
 
 
 def admit_tasks(
-    tasks: DataFrame, budget: Column | int, keys: tuple[str, ...] = ("plan_id",), chunk: int = ordering.CHUNK
+    tasks: DataFrame, budget: Column | int, keys: tuple[str, ...] = ("plan_id",), chunk: int | None = None
 ) -> DataFrame:
     """Admit searches in the order of ``ord`` until the request budget is spent.
 
     ``tasks(keys..., ord, pages, needed, failed)``: ``needed`` is what the search would really use (at most ``pages``).  A search
     may use what is left, gives back what it does not need, and is not started at all once nothing is left.  A failed search
-    keeps its whole reservation and meters nothing.  Adds ``allowed``, ``used``, ``admitted``.  Running totals are chunked by
-    ``ord``; searches take their turn one after the other, which fixes one order of the concurrent original.
+    keeps its whole reservation and meters nothing.  Adds ``allowed``, ``used``, ``admitted``.  Running totals are cut into
+    range partitions of ``ord``; searches take their turn one after the other, which fixes one order of the concurrent original.
     """
     budget = budget if isinstance(budget, Column) else F.lit(budget)
     takes = F.when(F.col("failed"), F.col("pages")).otherwise(F.least("needed", "pages"))
@@ -106,9 +106,14 @@ def admit_tasks(
     )
 
 
+def utc_day(at: Column) -> Column:
+    """The UTC date of a moment, whatever the zone of the session."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(at.cast("timestamp")) / 86_400_000_000).cast("int"))
+
+
 def usage_daily(log: DataFrame) -> DataFrame:
     """``log(at, api, n)`` -> requests per UTC day and api; the session zone must be UTC."""
-    return log.groupBy(F.to_date("at").alias("day"), "api").agg(F.sum("n").cast("long").alias("n"))
+    return log.groupBy(utc_day(F.col("at")).alias("day"), "api").agg(F.sum("n").cast("long").alias("n"))
 
 
 def used_on(usage: DataFrame, api: str, day) -> DataFrame:

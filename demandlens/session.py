@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "demandlens") -> SparkSession:
@@ -54,11 +53,3 @@ def pin_ordered(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: partitions and the order of rows in them come back as they were."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast ``df`` when it is counted to hold at most ``most`` rows; otherwise leave the join to Spark.
-
-    Counting stops at ``most`` + 1 rows.  Beyond it Spark shuffles, and splits the rows of a hot key (adaptive skew join).
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

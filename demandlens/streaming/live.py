@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from demandlens.operators import cadence, phrases
 from demandlens.plans.attempts import MAX_ERRORS, MAX_STRIKES
+from demandlens.plans.places import utc_day
 from demandlens.sources import tables
 
 DAY_US = 86_400_000_000
@@ -22,12 +23,16 @@ ELEVEN_US = 11 * 3_600_000_000
 STORED = "phrase string, sources array<string>, occ long, best double, batch long, search_id long"
 
 
-def phrase_updates(observations: DataFrame, scans: DataFrame, sources=phrases.SOURCE_IDS) -> DataFrame:
+def phrase_updates(observations: DataFrame, scans: DataFrame) -> DataFrame:
     """Running phrase aggregates of a stream of observations; ``scans`` is a static table.
 
-    The fold commutes, so arrival order does not matter.  Use output mode ``update``.
+    The fold commutes, so arrival order does not matter.  Use output mode ``update``, which
+    allows one aggregate, so the sources are collected at once.
     """
-    return phrases.aggregate_phrases(phrases.relevant(observations, phrases.scan_dimension(scans)), sources)
+    kept = phrases.relevant(observations, phrases.scan_dimension(scans))
+    sources = F.array_sort(F.collect_set("source")).alias("sources")
+    best = F.greatest(phrases.best_weight(), F.lit(0.0)).alias("best")
+    return kept.groupBy("search_id", "phrase").agg(sources, F.count(F.lit(1)).alias("occ"), best)
 
 
 def publish_keywords(scans: DataFrame, root: str):
@@ -290,5 +295,5 @@ def daily_usage(log: DataFrame, delay: str = "1 hour") -> DataFrame:
         log.withWatermark("at", delay)
         .groupBy(F.window("at", "1 day"), "api")
         .agg(F.sum("n").cast("long").alias("n"))
-        .select(F.to_date("window.start").alias("day"), "api", "n")
+        .select(utc_day(F.col("window.start")).alias("day"), "api", "n")
     )
