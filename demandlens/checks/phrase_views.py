@@ -182,7 +182,7 @@ def aggregated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.keyword_table(observations(spark, d), scans(spark, d))
+    return phrases.keyword_table(observations(spark, d), scans(spark, d), None)
 
 
 def joined(c: str, sep: str = "|"):

@@ -94,7 +94,7 @@ def stream_leads(spark, d):
 def stream_keywords(spark, d):
     scans, root = p.scans(spark, d), folder(spark)
     obs = p.observations(spark, d, stream(spark, d, "lineitem"))
-    drain_updates(live.phrase_updates(obs, scans), live.publish_keywords(scans, root))
+    drain_updates(live.phrase_updates(obs, scans, None), live.publish_keywords(scans, root))
     return tables.read_table(spark, root, "keywords").select(
         "search_id", "rank", "phrase", F.array_join("sources", "+").alias("sources"), "occ", "score", "band", "intent", "place",
         F.col("fringe").cast("int").alias("fringe"),

@@ -13,6 +13,7 @@ from demandlens.plans.tasks import seed_list
 from demandlens.session import pin
 
 MAX_PHRASE = 90
+SOURCE_IDS = tuple(name for name, _, _ in fixed.SOURCES)
 
 
 def scan_dimension(scans: DataFrame) -> DataFrame:
@@ -47,6 +48,11 @@ def relevant(obs: DataFrame, dim: DataFrame, longest: int | None = MAX_PHRASE) -
     )
 
 
+def of_sources(obs: DataFrame, sources: tuple[str, ...] | None) -> DataFrame:
+    """Observations of the known ``sources`` only; None keeps all."""
+    return obs if sources is None else obs.filter(F.col("source").isin(*sources))
+
+
 def best_weight() -> Column:
     """The best position weight of a group of observations."""
     return F.max(F.col("w") * (1 - F.least(F.col("pos"), F.lit(9)) / F.lit(10.0)))
@@ -165,8 +171,8 @@ def classify_scored(scored: DataFrame, dim: DataFrame, rules=fixed.INTENT_RULES,
 
 
 def keyword_table(
-    obs: DataFrame, scans: DataFrame, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
+    obs: DataFrame, scans: DataFrame, sources: tuple[str, ...] | None = SOURCE_IDS, rules=fixed.INTENT_RULES, stop_words=fixed.STOP_WORDS
 ) -> DataFrame:
     """The whole path from observations to the classified keyword table."""
     dim = scan_dimension(scans)
-    return classify_scored(score_phrases(aggregate_phrases(relevant(obs, dim)), dim), dim, rules, stop_words)
+    return classify_scored(score_phrases(aggregate_phrases(relevant(of_sources(obs, sources), dim)), dim), dim, rules, stop_words)

@@ -23,16 +23,16 @@ ELEVEN_US = 11 * 3_600_000_000
 STORED = "phrase string, sources array<string>, occ long, best double, batch long, search_id long"
 
 
-def phrase_updates(observations: DataFrame, scans: DataFrame) -> DataFrame:
+def phrase_updates(observations: DataFrame, scans: DataFrame, sources: tuple[str, ...] | None = phrases.SOURCE_IDS) -> DataFrame:
     """Running phrase aggregates of a stream of observations; ``scans`` is a static table.
 
     The fold commutes, so arrival order does not matter.  Use output mode ``update``, which
     allows one aggregate, so the sources are collected at once.
     """
-    kept = phrases.relevant(observations, phrases.scan_dimension(scans))
-    sources = F.array_sort(F.collect_set("source")).alias("sources")
+    kept = phrases.relevant(phrases.of_sources(observations, sources), phrases.scan_dimension(scans))
+    found = F.array_sort(F.collect_set("source")).alias("sources")
     best = F.greatest(phrases.best_weight(), F.lit(0.0)).alias("best")
-    return kept.groupBy("search_id", "phrase").agg(sources, F.count(F.lit(1)).alias("occ"), best)
+    return kept.groupBy("search_id", "phrase").agg(found, F.count(F.lit(1)).alias("occ"), best)
 
 
 def publish_keywords(scans: DataFrame, root: str):
