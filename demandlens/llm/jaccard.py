@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import Shelf, batches_of
-from demandlens.llm.components import components
+from demandlens.llm.components import components, merged
 
 WORDS, PERCENT = 4, 85
 #: Index lists longer than this send their shingle to the end of the order; at most MOST_LATE shingles (the longest lists) are sent.
@@ -141,7 +141,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, p
     """(node, root) of the classes that are linked with another: ``reps`` is (doc_id, n, prefix) of each class."""
     reps = index_order(docs, reps, shelf, words, percent)
     entries = shelf.put(with_lists(postings_of(reps)))
-    links, k, have, roots = None, FIRST_LEADERS, None, None
+    k, have, roots = FIRST_LEADERS, None, None
     while not entries.isEmpty():
         members = entries.withColumn("leads", leads(k))
         met = shelf.put(bounded(pairs_of(members.filter("leads"), members, percent), reps, percent))
@@ -153,8 +153,10 @@ def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, p
         if not met.isEmpty():
             found = shelf.put(verified(met, have, percent))
             if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                roots = components(links, shelf)
+                trees = components(found, shelf)
+                known, roots = roots, trees if roots is None else shelf.put(merged(roots, trees))
+                shelf.drop(*([known, trees] if known is not None else []))
+            shelf.drop(found)
         now = shelf.put(with_lists(members.filter(~F.col("leads")).select("t", "c", "n", "pos"), roots))
         shelf.drop(entries, met, lacking)
         entries, k = now, k * LEADER_GROWTH
@@ -211,7 +213,7 @@ def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, perc
 
 
 def pairs_of(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb), a < b: leaders with the entries of their lists that size and position allow, of other components.
+    """Distinct (a, b, na, nb, ra, rb), a < b: leaders with the entries of their lists that size and position allow, of other components.
 
     Lists are met by blocks of like size (powers of 100 / percent), so that entries too large or too small are never met.
     """
@@ -222,7 +224,8 @@ def pairs_of(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     able = (F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent) & (room >= needed(F.col("n"), F.col("n1"), percent))
     met = met.filter((F.col("root") != F.col("r1")) & able & (~F.col("leads") | (F.col("c") < F.col("c1"))))
     first = F.col("c") < F.col("c1")
-    return met.select(F.least("c", "c1").alias("a"), F.greatest("c", "c1").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n1")).alias("na"), F.when(first, F.col("n1")).otherwise(F.col("n")).alias("nb")).distinct()
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(pick("c", "c1", "a"), pick("c1", "c", "b"), pick("n", "n1", "na"), pick("n1", "n", "nb"), pick("root", "r1", "ra"), pick("r1", "root", "rb")).distinct()
 
 
 def bounded(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -231,16 +234,16 @@ def bounded(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     both = met.join(prefix.select(F.col("doc_id").alias("a"), F.col("prefix").alias("pa")), "a").join(prefix.select(F.col("doc_id").alias("b"), F.col("prefix").alias("pb")), "b")
     last = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
     upto = lambda p: F.filter(p, lambda x: x <= F.col("last"))
-    cut = both.withColumn("last", last).select("a", "b", "na", "nb", upto("pa").alias("pa"), upto("pb").alias("pb"))
+    cut = both.withColumn("last", last).select(*met.columns, upto("pa").alias("pa"), upto("pb").alias("pb"))
     most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-    return cut.filter(most >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
+    return cut.filter(most >= needed(F.col("na"), F.col("nb"), percent)).select(*met.columns)
 
 
 def verified(met: DataFrame, have: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough."""
+    """Distinct (a, b): the components so far of the pairs whose sets are similar enough."""
     both = met.join(have.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
