@@ -256,9 +256,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     one = rows.filter("n > 0").join(classes, "digest").filter(F.col("doc_id") == F.col("c")).dropDuplicates(["digest"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     reps = shelf.put(one.select("doc_id", "n", "prefix"))
+    names = shelf.put(rows.select("doc_id", "n", "digest"))  # heads are the bulk of the rows, and only the classes' are needed on
+    shelf.drop(rows)
     roots = linked_classes(texts, reps, shelf, words, percent)
     top = classes.join(roots, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("root", "c").alias("component_id"))
-    named = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(top, "digest", "left")
+    named = names.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(top, "digest", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
