@@ -9,8 +9,9 @@ shingles that could be common; a second bound uses both prefixes.
 Skipping by set relations: instead of all pairs of a list, a few leaders are compared with the list's entries.  What links to a leader joins
 its component, and entries of one component are never compared again: their answers follow from the leader's.  A leader leaves its
 lists, the rest goes on with 64 times as many, chosen from outside the list's largest component, until one component is left.
-Every pair of a list is thus compared or known to be connected, so components are exact, and a group of m near copies costs about m
-comparisons a round instead of m * m.
+Every pair of a list is thus compared or known to be connected, so components are exact, and a group of m near copies that link costs
+about m comparisons a round instead of m * m.  Members of a list that do not link, though size and position would allow it, are compared
+pair by pair: groups of texts just below the threshold still cost the square of their size.
 
 Sets are compared by 62-bit hashes of shingles.  Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; rows that repeat an id are members of that id's component each; a null id has no component of its own kind: it takes its class's
