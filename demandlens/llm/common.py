@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,37 @@ class Shelf:
                 where.getFileSystem(conf).delete(where, True)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_keys(docs: DataFrame, shelf: Shelf) -> tuple[DataFrame, str]:
+    """``docs`` with a column (long) that is never null, differs in every row and is the same at every reading; and its name.
+
+    Rows of a plain Parquet table are known by their file (numbered in the order of paths) and their place in it.  All other inputs are
+    stored with their rows counted.
+    """
+    name = free_name(docs, "_row")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            meta = docs.metadataColumn("_metadata")
+            placed = docs.select("*", meta["file_path"].alias(file := free_name(docs, "_file")), meta["row_index"].alias(name))
+            listed = list(plan.relation().location().inputFiles())
+        except AnalysisException:  # another format, which doesn't number its rows
+            listed = []
+        if listed and len(listed) == len(set(listed)):  # a file that is read twice gives its rows twice
+            files = sorted(r[0] for r in placed.select(file).distinct().collect())
+            numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{file} string, {name}_file long")
+            numbered = placed.join(F.broadcast(numbers), file)  # one row a file
+            return numbered.select(*docs.columns, (F.shiftleft(f"{name}_file", 40) + F.col(name)).alias(name)), name
+    return shelf.put(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is.  ``lower`` does the same on text of one-byte characters, and faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

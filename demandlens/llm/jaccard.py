@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import Shelf, batches_of
+from demandlens.llm.common import Shelf, batches_of, with_row_keys
 from demandlens.llm.components import components, merged
 
 WORDS, PERCENT = 4, 85
@@ -266,6 +266,14 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, all columns as they are: of each component the one with the least id.  Ids must not repeat."""
-    stay = join_components(docs, words, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    """The documents that stay, all columns as they are: one row of each component, that of the least id.
+
+    Components are those of rows, so one id may stand for several texts.  A null id stays if no other is there; of rows that share the
+    least id, or have none, the first by its row key stays.
+    """
+    rows, row = with_row_keys(docs, Shelf(docs.sparkSession))
+    found = join_components(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    stay = found.join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.llm import bytenet
-from demandlens.llm.common import batches_of, remainder, text_bytes
+from demandlens.llm.common import batches_of, free_name, remainder, text_bytes
 
 WIDTHS, FILTERS = (2, 3, 4), 16
 WINDOW, OVERLAP = 512, 8
@@ -69,25 +69,33 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 10, seed: int =
     return LanguageModel(languages, net)
 
 
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def answers(batch: pa.RecordBatch, lettered: str, model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Language and score of each row of a batch; ``lettered`` is the column that says whether its text has a letter."""
+    data, at = text_bytes(batch.column("text"))
+    total, count = np.zeros((len(batch), max(1, len(model.languages)))), np.zeros(len(batch))
+    for doc, x in bytenet.windows(data, at, WINDOW, WINDOW - OVERLAP):
+        filled = (x != 0).sum(axis=1)  # a short last window counts as much as it holds
+        np.add.at(total, doc, (bytenet.pooled(model.net, x) @ model.net.dense + model.net.offset) * filled[:, None])
+        np.add.at(count, doc, filled)
+    p = bytenet.softmax(total / np.maximum(count, 1)[:, None])
+    best = p.argmax(axis=1)
+    known = batch.column(lettered).to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
+    return [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score): the softmax of the mean answer over all windows of the whole text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 8 << 20):
-            data, at = text_bytes(batch.column("text"))
-            answers, count = np.zeros((len(batch), max(1, len(model.languages)))), np.zeros(len(batch))
-            for doc, x in bytenet.windows(data, at, WINDOW, WINDOW - OVERLAP):
-                filled = (x != 0).sum(axis=1)  # a short last window counts as much as it holds
-                np.add.at(answers, doc, (bytenet.pooled(model.net, x) @ model.net.dense + model.net.offset) * filled[:, None])
-                np.add.at(count, doc, filled)
-            p = bytenet.softmax(answers / np.maximum(count, 1)[:, None])
-            best = p.argmax(axis=1)
-            known = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
-            names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            top = np.where(known, p.max(axis=1), 0.0)
+            names, top = answers(batch, "lettered", model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(top, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter().alias("lettered"))
     return narrow.mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
@@ -100,7 +108,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, all columns as they are, whose language is told with a score of ``least`` or more.
 
-    Those without a letter or of no clear language go.  Ids must not repeat for different texts.
+    Those without a letter or of no clear language go.  Each row is judged by its own text and the answer stays with the row, so
+    null ids, rows that repeat and one id for different texts make no difference.
     """
-    sure = predict(docs, fit(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_sure")).distinct()
-    return docs.join(sure, F.col("doc_id") == F.col("_sure"), "left_semi")
+    model, lettered, columns = fit(docs), free_name(docs, "lettered"), docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 8 << 20):
+            names, top = answers(batch, lettered, model)
+            yield batch.filter(pa.array((np.array(names) != "und") & (top >= least))).select(columns)
+
+    return docs.withColumn(lettered, has_letter()).mapInArrow(keep, docs.schema)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import WORD, Shelf
+from demandlens.llm.common import WORD, Shelf, free_name, with_row_keys
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -114,17 +114,18 @@ def shortest(start: object, end: object, arcs: dict, to: list, room: list, cost:
     return []
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = PASSES, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = PASSES, seed: str = SEED, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) of every row.
 
     ``docs`` may have a column ``members`` (array of sources, ``source`` among them) where documents count for several sources.  ``taken`` is
     exact: in each pattern one document at most is taken in part.  ``copies`` are whole: that document counts if half of it is taken.
+    ``row`` names a column of row keys, which is kept.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark)
     members = F.array_sort(F.array_distinct("members")) if "members" in docs.columns else F.array("source")
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), members.cast("array<string>").alias("pattern"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("draw"), F.xxhash64("text").alias("h"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), members.cast("array<string>").alias("pattern"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("draw"), F.xxhash64("text").alias("h"), *([F.col(row)] if row else []))
     table = shelf.put(sized)
     by_source = table.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     by_pattern = table.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
@@ -139,7 +140,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = PASSES,
     placed = table.withColumn("p", F.to_json("pattern")).join(share, "p")
     before = words_before(placed, shelf)
     part = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("size"))
-    done = before.join(F.broadcast(facts), before["source"].eqNullSafe(facts["source"])).select(before["doc_id"], before["source"], "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), (F.col("whole") + (2 * part >= F.greatest("size", F.lit(1))).cast("long")).alias("copies"))
+    done = before.join(F.broadcast(facts), before["source"].eqNullSafe(facts["source"])).select(*([before[row]] if row else []), before["doc_id"], before["source"], "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), (F.col("whole") + (2 * part >= F.greatest("size", F.lit(1))).cast("long")).alias("copies"))
     return done
 
 
@@ -159,6 +160,11 @@ def words_before(placed: DataFrame, shelf: Shelf, digits: int = 3) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, all columns as they are, each as often as it is taken whole.  Ids must not repeat."""
-    times = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_times"))
-    return docs.join(times, F.col("doc_id") == F.col("_id")).withColumn("_time", F.explode("_times")).select(*docs.columns)
+    """The documents of the mix, all columns as they are, each as often as it is taken whole.
+
+    Every row is a document of its own, whether its id is null or repeats.
+    """
+    rows, row = with_row_keys(docs, Shelf(docs.sparkSession))
+    times = free_name(docs, "_times")
+    taken = mix(rows, row=row).filter("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times))
+    return rows.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
