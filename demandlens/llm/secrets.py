@@ -1,8 +1,8 @@
 """Secret scans with DataFrame functions only.
 
-Three kinds follow fixed patterns.  A fourth, ``entropy``, slides a window over candidate strings and keeps those where one character
-class reaches its entropy limit; counts and the sum of c * log2(c) change by two steps per character, and an allow-list suppresses what is
-known to be harmless.  A match's place comes from the lengths of what lies between matches, so positions are characters, ends exclusive.
+Three kinds follow fixed patterns.  A fourth, ``entropy``, slides a window over each character class's tokens inside candidate strings
+and keeps the candidates where one token reaches the entropy limit of its class, whatever stands around it; counts and the sum of
+c * log2(c) change by two steps per character, and an allow-list suppresses tokens that are known to be harmless.  A match's place comes from the lengths of what lies between matches, so positions are characters, ends exclusive.
 
 Defined results: a null text counts as empty and has no span; ties of start are ordered by kind as listed; repeated rows are scanned
 each for itself; a null id stays null; other columns are not read.
@@ -24,12 +24,25 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Entropy in bits per character that a window of a class has to reach; log2(20) = 4.32 is the most a window can have.
 CLASS_LIMITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.8}
-#: Candidates that match one of these are no secrets: identifiers in groups, paths of words, one repeated character, words joined.
+#: The tokens of each class inside a candidate.  Hex digits may stand in groups; base64 and paths look alike, so its token is the candidate.
+TOKENS = (
+    ("hex", r"[0-9a-f]{4,}(?:[-_][0-9a-f]{4,})*"),
+    ("hex", r"[0-9A-F]{4,}(?:[-_][0-9A-F]{4,})*"),
+    ("alphanumeric", rf"[A-Za-z0-9]{{{WINDOW},}}"),
+    ("base64", rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"),
+)
+#: Candidates and tokens that match one of these are no secrets: identifiers in groups, one repeated character, words joined, keys of manuals.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(.)\1+$",
     r"^[-_/+]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})([-_/+]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_/+]*$",
-    r"(?i)example|sample|placeholder|changeme",
+    r"[A-Za-z0-9]EXAMPLE(KEY)?$",
+)
+#: Parts of a candidate that are taken out before its tokens are read: identifiers in groups, and words that stand for a value.  What
+#: stands beside them is judged for itself.
+TAKEN_OUT = (
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",
+    r"(?i)(?<![a-z0-9])[a-z0-9]*(example|sample|placeholder|changeme)[a-z0-9]*",
 )
 
 
@@ -78,10 +91,23 @@ def peak_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, step, lambda s: s["top"])
 
 
-def limit_of(value: Column) -> Column:
-    """The entropy limit of the narrowest character class that holds all of ``value``."""
-    hexadecimal, plain = value.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), value.rlike(r"^[A-Za-z0-9]+$")
-    return F.when(hexadecimal, CLASS_LIMITS["hex"]).when(plain, CLASS_LIMITS["alphanumeric"]).otherwise(CLASS_LIMITS["base64"])
+def harmless(value: Column) -> Column:
+    return value.rlike("|".join(f"(?:{a})" for a in ALLOWED))
+
+
+def tokens(value: Column) -> Column:
+    """array<struct<value, limit>>: the tokens of each class in a candidate, hex groups without what joins them."""
+    rest = value
+    for part in TAKEN_OUT:
+        rest = F.regexp_replace(rest, part, "/")
+    found = []
+    for kind, pattern in TOKENS:
+        each = F.filter(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), lambda t: ~harmless(t))
+        if kind == "hex":  # groups of digits or of letters alone are numbers and words
+            each = F.filter(each, lambda t: ~t.rlike("[-_]") | t.rlike("(?i)[0-9][a-f]|[a-f][0-9]"))
+            each = F.transform(each, lambda t: F.translate(t, "-_", ""))
+        found.append(F.transform(each, lambda t: F.struct(t.alias("value"), F.lit(CLASS_LIMITS[kind]).alias("limit"))))
+    return F.filter(F.concat(*found), lambda t: F.length(t["value"]) >= WINDOW)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -92,8 +118,8 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = given(text.rlike(r"(?i)passw|secret|token|api_?key"), F.filter(spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LENGTH))
     access = given(text.contains("AKIA"), spans_of(text, ACCESS, 1))
     digits = given(text.rlike(HEX), spans_of(text, HEX, 2))
-    harmless = lambda v: v.rlike("|".join(f"(?:{a})" for a in ALLOWED))
-    entropy = given(text.rlike(CANDIDATE), F.filter(F.filter(spans_of(text, CANDIDATE, 3), lambda s: ~harmless(s["value"])), lambda s: peak_entropy(s["value"]) >= limit_of(s["value"])))
+    secret = lambda v: F.exists(tokens(v), lambda t: peak_entropy(t["value"]) >= t["limit"])
+    entropy = given(text.rlike(CANDIDATE), F.filter(F.filter(spans_of(text, CANDIDATE, 3), lambda s: ~harmless(s["value"])), lambda s: secret(s["value"])))
     found = F.array_sort(F.transform(F.concat(assign, access, digits, entropy), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", found.alias("found"))
 

@@ -67,6 +67,26 @@ def test_secrets_entropy(docs_of):
     assert spans[9] == "entropy:0:24"  # random characters; not one character repeated, words joined, or an identifier in groups
 
 
+def test_secrets_are_found_whatever_stands_around_them(docs_of):
+    """A token that is found alone is found behind prefixes, in paths and in groups; identifiers, words and numbers are not."""
+    rng = random.Random(11)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, high, plain = "0123456789abcdef", "0123456789ABCDEF", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    bare = [draw(h, n) for h in (low, high) for n in (20, 24, 31, 32) for _ in range(15)] + [draw(plain, 28) for _ in range(30)]
+    around = ["{}", "id_{}", "x{}", "/{}", "https://host/v1/files/{}/raw-data", "/sample/{}", "examples-{}", "/u/123e4567-e89b-12d3-a456-426614174000/{}"]
+    rows = [(i * 100 + j, f"see {a.format(t)} here") for i, t in enumerate(bare) for j, a in enumerate(around)]
+    rows += [(50_000 + i, "-".join(t[k : k + 8] for k in range(0, 32, 8))) for i, t in enumerate(bare) if len(t) == 32]
+    calm = ["/users/" + "-".join(draw(low, n) for n in (8, 4, 4, 4, 12)) + "/profile" for _ in range(40)]
+    calm += ["/2024/12345/678901/2345678/part", "chapter-10-section-23-page-4567", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "dead-beef-cafe-face-fade-babe"]
+    rows += [(60_000 + i, t) for i, t in enumerate(calm)]
+    n = {r.doc_id: r.n_entropy for r in secrets.summary(docs_of(rows)).collect()}
+    alone = [i for i in range(len(bare)) if n[i * 100]]
+    assert len(alone) >= 0.95 * len(bare)
+    assert [(bare[i], a) for i in alone for j, a in enumerate(around) if n[i * 100 + j] != 1] == []
+    assert [i for i in alone if len(bare[i]) == 32 and n[50_000 + i] != 1] == []
+    assert [t for i, t in enumerate(calm) if n[60_000 + i]] == []
+
+
 def test_secrets_plan_is_native(docs_of):
     plan = secrets.summary(docs_of(HARD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
