@@ -287,12 +287,20 @@ def import_report(spark, d):
 
 @check("lead_resolve_chained")
 def lead_resolve_chained(spark, d):
-    """Place ids and numbers that overlap at random, so that most matches depend on the rows before (no SQL form)."""
+    """Place ids and numbers that overlap at random, so that most matches depend on the rows before (no SQL form).
+
+    All customers are leads that exist already: place ids are theirs alone, numbers are shared.
+    """
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     rows = table(spark, d, "orders").select(
         o.alias("seq"),
         F.when(o % 3 == 0, "").otherwise(F.concat(F.lit("p"), (c % 701).cast("string"))).alias("p"),
         F.when(o % 4 == 0, "").otherwise(F.concat(F.lit("9"), ((o * 7919) % 907).cast("string"))).alias("w"),
     )
-    none = table(spark, d, "customer").filter("false").select(F.col("c_custkey").alias("id"), F.lit("").alias("place_id"), F.lit("").alias("wa"))
-    return match_leads(none, rows).select("seq", "lid")
+    k = F.col("c_custkey")
+    existing = table(spark, d, "customer").select(
+        (k + 1).alias("id"),
+        F.when((k < 701) & (k % 3 != 0), F.concat(F.lit("p"), k.cast("string"))).otherwise("").alias("place_id"),
+        F.concat(F.lit("9"), ((k * 7919) % 907).cast("string")).alias("wa"),
+    )
+    return match_leads(existing, rows).select("seq", "lid")

@@ -70,6 +70,20 @@ def test_hub_number_needs_few_rounds(spark):
     assert run(spark, [], rows, 0) == sequential([], rows)
 
 
+def test_chained_query_resolves_against_all_customers(spark):
+    from demandlens.checks.lead_checks import lead_resolve_chained
+
+    d = "/root/testdata/sf0.001"
+    customers = [r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()]
+    existing = [(k + 1, f"p{k}" if k < 701 and k % 3 else "", f"9{k * 7919 % 907}") for k in customers]
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    rows = [(o, f"p{c % 701}" if o % 3 else "", f"9{o * 7919 % 907}" if o % 4 else "") for o, c in orders]
+    got = {r.seq: r.lid for r in lead_resolve_chained(spark, d).collect()}
+    keyed = [r for r in rows if r[1] or r[2]]
+    want = sequential(existing, keyed)
+    assert {s: got[s] for s in want} == want and any(lid < 0 for lid in got.values())
+
+
 def test_documented_order(spark):
     batch = batch_rows(
         spark,
