@@ -1,6 +1,7 @@
 """Exact dedup, Jaccard join, mixing, archives, reputation: against brute-force versions."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -169,6 +170,31 @@ def test_mix_of_overlapping_sources(docs_of):
     assert sum(r.taken for r in got) == 400  # both quotas are met in all
 
 
+def test_a_column_named_members_is_not_read_unless_asked(docs_of):
+    rows = [(i, "w " * 10, None, "a" if i % 2 else "b") for i in range(8)]
+    docs = docs_of(rows, extra=False)
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    assert sorted(map(str, mixing.mix(docs.withColumn("members", F.lit(3))).collect())) == want
+    assert sorted(map(str, mixing.mix(docs.withColumn("members", F.array(F.lit("a"), F.lit("b")))).collect())) == want
+    assert mixing.mixed(docs.withColumn("members", F.lit(3))).columns == [*docs.columns, "members"]
+    # all b words count for a too: a's quota is then met from both
+    shared = mixing.mix(docs.withColumn("members", F.when(F.col("source") == "b", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))), members="members").collect()
+    assert sum(r.taken for r in shared) == 80 and sum(r.taken for r in shared if r.source == "a") < sum(r.taken for r in mixing.mix(docs).collect() if r.source == "a")
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_flow_of_many_patterns_ends(shared):
+    rng = random.Random(9)
+    n = 20_000
+    patterns = {tuple(sorted({i, *(rng.randrange(n) for _ in range(2 * shared))})): rng.randrange(1, 100) for i in range(n)}
+    quotas = {i: rng.randrange(250) for i in range(n)}
+    start = time.process_time()
+    flow = mixing.cheapest_flow(patterns, quotas)
+    assert time.process_time() - start < 60 and all(0 <= flow[p] <= 3 * w for p, w in patterns.items())
+    if not shared:
+        assert all(flow[i,] == min(quotas[i], 3 * w) for (i,), w in patterns.items())
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS offset", "'y' AS file", "1 AS length")
 
