@@ -40,7 +40,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Training a network and tokenising have no SQL form; tests hold each stage against a brute-force version.
+#: Training a network and tokenising have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain Python version.
 ORACLE_SQL = None
 
 
