@@ -37,6 +37,8 @@ PIVOTS = 1024
 LEAST_RADIUS = 2.0**-10
 #: Allowance of distance bounds for rounding: doubles, and 32-bit products that only prune.
 CLOSE, ROUGH = 1e-7, 1e-4
+#: Pairs of children from which on two nodes are met by a product of blocks.
+BROAD = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -127,18 +129,22 @@ class CoverTree:
             far = far[near[far] < reach]
         return np.concatenate(chosen) if chosen else rest[:0]
 
-    def children(self, k: int, nodes: np.ndarray) -> np.ndarray:
-        """The nodes of level k + 1 below ``nodes`` of level k."""
-        new = self.fresh[k]
-        first, last = np.searchsorted(self.parent[new], nodes), np.searchsorted(self.parent[new], nodes, side="right")
-        return np.concatenate([nodes, *(new[a:b] for a, b in zip(first, last, strict=True) if b > a)])
+    def below(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every node of level k, where its new children begin in ``fresh[k]``, and how many children it has, itself included."""
+        n = len(self.x)
+        if k >= self.depth:
+            return np.zeros(n, np.int64), np.ones(n, np.int64)
+        new = np.bincount(self.parent[self.fresh[k]], minlength=n)
+        return np.cumsum(new) - new, new + 1
+
+    def child(self, k: int, nodes: np.ndarray, begin: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The children of level k + 1 with the given numbers; a node is its own child 0."""
+        new = self.fresh[k] if k < self.depth else np.zeros(0, np.int64)
+        return np.where(number > 0, new[np.minimum(begin[nodes] + number - 1, len(new) - 1)], nodes) if len(new) else nodes
 
     def at(self, what: list[np.ndarray], k: int) -> np.ndarray:
         return what[min(k, self.depth)]
 
-    def below(self, k: int, nodes: np.ndarray) -> np.ndarray:
-        return self.children(k, nodes) if k < self.depth else nodes
-
     def spread(self, added: dict[int, np.ndarray], joined: dict[int, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """What whole nodes were given, handed down to vectors: sums, and (vector, node) links of nodes whose members are connected."""
         n = len(self.x)
@@ -164,17 +170,29 @@ def linked(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.nd
     pairs, k = np.zeros((2, 1), np.int64), 0
     met = _sorted_out(a, b, pairs, 0, reach, cosine, given, links, offset)
     while met.shape[1]:
-        order = np.argsort(met[0], kind="stable")
-        nodes, starts = np.unique(met[0][order], return_index=True)
-        found = []
-        for node, with_b in zip(nodes, np.split(met[1][order], starts[1:]), strict=True):
-            ca, cb = a.below(k, np.array([node])), b.below(k, with_b)
-            ra, rb = a.at(a.radius, k + 1), b.at(b.radius, k + 1)
+        begin_a, many_a = a.below(k)
+        begin_b, many_b = b.below(k)
+        size = many_a[met[0]] * many_b[met[1]]
+        kept = []
+        for p, q in met[:, size >= BROAD].T:  # nodes with many children: products of blocks
+            ca, cb = (tree.child(k, np.full(many[node], node), begin, np.arange(many[node])) for tree, begin, many, node in ((a, begin_a, many_a, p), (b, begin_b, many_b, q)))
+            rb = b.at(b.radius, k + 1)
             for part in (cb[rb[cb] == 0], cb[rb[cb] > 0]):
-                if len(part):
-                    found += _near(a, b, ca, part, ra, rb, reach)
-        k += 1
-        met = _sorted_out(a, b, np.concatenate(found, axis=1) if found else pairs[:, :0], k, reach, cosine, given, links, offset)
+                for found in _near(a, b, ca, part, a.at(a.radius, k + 1), rb, reach) if len(part) else ():
+                    kept.append(_sorted_out(a, b, found, k + 1, reach, cosine, given, links, offset))
+        met, size = met[:, size < BROAD], size[size < BROAD]
+        ends = np.cumsum(size)
+        start = 0
+        while start < len(size):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 18), side="right")))
+            p, q = met[:, start:end]
+            of = np.repeat(np.arange(end - start), size[start:end])
+            at = np.arange(len(of)) - (ends[start:end] - size[start:end] - (ends[start - 1] if start else 0))[of]
+            wide = many_b[q][of]
+            some = np.stack([a.child(k, p[of], begin_a, at // wide), b.child(k, q[of], begin_b, at % wide)])
+            kept.append(_sorted_out(a, b, some, k + 1, reach, cosine, given, links, offset))
+            start = end
+        met, k = np.concatenate(kept, axis=1) if kept else pairs[:, :0], k + 1
     sums_a, more_a = a.spread(given[0], given[1])
     sums_b, more_b = b.spread(given[2], given[3]) if offset else (None, [])
     all_links = [*links, *more_a, *(m + offset for m in more_b)]
@@ -276,19 +294,18 @@ def meetings(placed: DataFrame, pivots: np.ndarray, reach: float, rows: int) ->
     radius = np.array([found.get(i, (0, -9.0))[1] for i in range(len(pivots))])
     start = np.cumsum(m) - m
     first, last, groups = start // rows, np.maximum(start + m - 1, start) // rows, int((m.sum() - 1) // rows) + 1
-    width = pivots.shape[1]
+    group, width = np.arange(groups), pivots.shape[1]
+    begin, end = np.searchsorted(last, group), np.searchsorted(first, group, side="right")  # the cells of each group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             step = max(1, (2 << 20) // max(groups, len(pivots)))
             for i in range(0, len(whole), step):
                 batch = whole.slice(i, step)
-                near = distance(unit(batch.column("v"), width) @ pivots.T) <= radius + reach + CLOSE
-                edge = np.zeros((len(batch), groups + 1), np.int32)
-                x, y = np.nonzero(near)
-                np.add.at(edge, (x, first[y]), 1)
-                np.add.at(edge, (x, last[y] + 1), -1)
-                x, g = np.nonzero(np.cumsum(edge, axis=1)[:, :groups] > 0)
+                far = distance(unit(batch.column("v"), width) @ pivots.T)
+                many = np.zeros((len(batch), len(pivots) + 1), np.int32)
+                np.cumsum(far <= radius + reach + CLOSE, axis=1, out=many[:, 1:], dtype=np.int32)
+                x, g = np.nonzero(many[:, end] > many[:, begin])
                 at = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(batch)))]).astype(np.int32)
                 cell, draw = batch.column("cell").to_numpy(), batch.column("draw").to_numpy()
                 own = np.minimum(start[cell] + np.floor(draw * m[cell]).astype(np.int64), start[cell] + m[cell] - 1) // rows
