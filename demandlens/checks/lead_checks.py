@@ -285,9 +285,39 @@ def import_report(spark, d):
     return L.import_report(outcomes)
 
 
-@check("lead_resolve_chained")
+def _put(values: str, at: str, new: str, when: str) -> str:
+    """The list a.values, with ``new`` at place b.at where the condition holds."""
+    return f"CASE WHEN b.{at} IS NOT NULL AND ({when}) THEN list_concat(a.{values}[1:b.{at} - 1], [{new}], a.{values}[b.{at} + 1:]) ELSE a.{values} END"
+
+
+_X, _Y = "a.ol[b.p]", "a.hl[b.w]"
+_TAKES_NUMBER = f"{_X} IS NOT NULL AND b.w IS NOT NULL AND NOT a.ow[b.p]"
+_TAKES_PLACE = f"{_X} IS NULL AND {_Y} IS NOT NULL AND b.p IS NOT NULL AND NOT a.hp[b.w]"
+_NEW = f"{_X} IS NULL AND {_Y} IS NULL"
+_TYPES = "NULL::INTEGER[] AS ol, NULL::BOOLEAN[] AS ow, NULL::INTEGER[] AS hl, NULL::BOOLEAN[] AS hp, NULL::STRUCT(seq INTEGER, lid INTEGER)[] AS done"
+# a fold over the rows of the batch, one after the other: who owns each place id (ol) and whether that lead has a number (ow), the oldest lead of
+# each number (hl) and whether it has a place id (hp)
+_CHAINED = f"""WITH r AS (SELECT o_orderkey::INTEGER AS seq, (CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 701 + 1 END)::INTEGER AS p,
+    (CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey * 7919) % 907 + 1 END)::INTEGER AS w, {_TYPES} FROM orders WHERE o_orderkey % 12 <> 0),
+  e AS (SELECT (c_custkey + 1 - 2000000000)::INTEGER AS lid, CASE WHEN c_custkey < 701 AND c_custkey % 3 <> 0 THEN c_custkey + 1 END AS p, (c_custkey * 7919) % 907 + 1 AS w FROM customer),
+  start AS (SELECT 0::INTEGER AS seq, NULL::INTEGER AS p, NULL::INTEGER AS w,
+      (SELECT list(lid ORDER BY i) FROM range(1, 702) t(i) LEFT JOIN e ON e.p = i) AS ol, (SELECT list(lid IS NOT NULL ORDER BY i) FROM range(1, 702) t(i) LEFT JOIN e ON e.p = i) AS ow,
+      (SELECT list(lid ORDER BY i) FROM range(1, 908) t(i) LEFT JOIN (SELECT w, min(lid) AS lid FROM e GROUP BY w) ON w = i) AS hl,
+      (SELECT list(coalesce(placed, false) ORDER BY i) FROM range(1, 908) t(i) LEFT JOIN (SELECT w, arg_min(p IS NOT NULL, lid) AS placed FROM e GROUP BY w) ON w = i) AS hp,
+      []::STRUCT(seq INTEGER, lid INTEGER)[] AS done),
+  folded AS (SELECT list_reduce((SELECT list(r ORDER BY seq) FROM r), lambda a, b: {{'seq': b.seq, 'p': b.p, 'w': b.w,
+      'ol': {_put("ol", "p", f"coalesce({_Y}, b.seq)", f"{_NEW} OR {_TAKES_PLACE}")},
+      'ow': {_put("ow", "p", "b.w IS NOT NULL", f"{_NEW} OR {_TAKES_PLACE} OR {_TAKES_NUMBER}")},
+      'hl': {_put("hl", "w", f"coalesce(least({_X}, {_Y}), b.seq)", f"{_NEW} OR {_TAKES_NUMBER}")},
+      'hp': {_put("hp", "w", f"b.p IS NOT NULL AND ({_Y} IS NULL OR {_X} IS NULL OR {_X} < {_Y} OR a.hp[b.w])", f"{_NEW} OR {_TAKES_PLACE} OR {_TAKES_NUMBER}")},
+      'done': list_append(a.done, {{'seq': b.seq, 'lid': coalesce({_X}, {_Y}, b.seq)}})}}, (SELECT start FROM start)) AS f)
+SELECT seq::BIGINT AS seq, CASE WHEN lid < 0 THEN lid::BIGINT + 2000000000 - 9007199254740992 ELSE lid END AS lid FROM (SELECT unnest(f.done, recursive := true) FROM folded)
+UNION ALL SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 12 = 0"""
+
+
+@check("lead_resolve_chained", _CHAINED)
 def lead_resolve_chained(spark, d):
-    """Place ids and numbers that overlap at random, so that most matches depend on the rows before (no SQL form).
+    """Place ids and numbers that overlap at random, so that most matches depend on the rows before.
 
     All customers are leads that exist already: place ids are theirs alone, numbers are shared.
     """

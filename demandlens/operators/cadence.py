@@ -1,109 +1,36 @@
 """Follow-up cadence: the event-driven state of a lead, and the queues that come out of it.
 
-What an event does to a lead depends on few things about it: its stage, its next action, whether it was ever touched, and whether
-it is a landline (with or without a WhatsApp number).  These make up the *control state*, a small finite set.  Everything else an
-event writes (times, counts, reasons) follows from the control state before the event, so only the control state needs a fold.
-
-The fold is cut at partition borders.  Events are range-partitioned by (lead, time, id), so one lead may fill many partitions.
-For the first lead of a partition its state at the border is unknown; the partition works out where *every* possible state
-would lead.  Chaining those maps (one or two small rows per partition) gives the state at each border, and a second pass over the
-pinned rows labels every event with the state before it.
+Only the control state of a lead (see ``transitions``) needs a fold over its events; what an event writes is then read off the rule it
+meets.  Events become functions from control states to control states, and their composition is associative, so the fold is a parallel
+prefix: a lead's events are cut into chunks of CHUNK, each chunk's function is composed in one aggregate, FAN chunks make a
+larger one, until a lead is one chunk; the states at the borders are handed down the same way.  A lead with up to CHUNK events needs
+no functions, and one with any number never meets in one task.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from demandlens import fixed
 from demandlens.functions import text
-from demandlens.session import pin_ordered
+from demandlens.operators import ordering, transitions
+from demandlens.operators.transitions import ACTIONS, EVENT_KINDS, EVENTS, N_STATES
+from demandlens.session import pin
 
-STEP_NAMES = tuple(s for s, _, _, _ in fixed.STEPS)
-ACTIONS = ("", *STEP_NAMES)  # '' is no next action
-# calls are told apart by outcome
-EVENT_KINDS = (
-    "sent", "called", "called:interested", "called:not_interested", "replied", "pilot", "won", "lost", "no_whatsapp", "wrong_number",
-    "snooze", "note",
-)
-EVENTS = tuple(k for k in EVENT_KINDS if ":" not in k)
-N_STATES = len(fixed.STAGES) * len(ACTIONS) * 8
-NO_TIME = np.iinfo(np.int64).min
+#: Events of a chunk, chunks of a larger chunk.
+CHUNK, FAN = 64, 64
+#: After so many events of a chunk all start states have come down to a few, and only those are followed.
+HEAD = 8
 
 
-# --- control state --------------------------------------------------------------------------------------------------------
+def _ints(values) -> Column:
+    """A constant array, folded once when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
-def encode(stage: str, action: str, touched: bool, landline: bool, has_wa: bool) -> int:
-    s = fixed.STAGES.index(stage) * len(ACTIONS) + ACTIONS.index(action or "")
-    return ((s * 2 + touched) * 2 + landline) * 2 + has_wa
-
-
-def decode(state: int) -> tuple[str, str, bool, bool, bool]:
-    s, has_wa = divmod(state, 2)
-    s, landline = divmod(s, 2)
-    s, touched = divmod(s, 2)
-    stage, action = divmod(s, len(ACTIONS))
-    return fixed.STAGES[stage], ACTIONS[action], bool(touched), bool(landline), bool(has_wa)
-
-
-def step_of(stage: str, action: str, landline: bool, has_wa: bool) -> str:
-    if action:
-        return action
-    if stage == "new":
-        return "first" if has_wa and not landline else "call"
-    return ""
-
-
-AFTER_SENT = {
-    "first": "followup1", "followup1": "call", "send_details": "nudge_details", "nudge_details": "call", "checkin3": "checkin7",
-    "checkin7": "review30", "review30": "",
-}
-
-
-def control(state: int, kind: str) -> int:
-    """The control state after an event."""
-    stage, action, touched, landline, has_wa = decode(state)
-    step = step_of(stage, action, landline, has_wa)
-    if kind == "sent":
-        if step in AFTER_SENT:
-            action = AFTER_SENT[step]
-        if step == "first":
-            stage = "contacted"
-        touched = touched or step in ("first", "followup1")
-    elif kind == "called":
-        if stage in ("replied", "pilot"):
-            action = step or "nudge_details"
-        elif not touched:
-            stage, action, touched = "contacted", "call", True
-        else:
-            stage, action = "lost", ""
-    elif kind == "called:interested":
-        stage, action = "replied", "send_details"
-    elif kind in ("called:not_interested", "lost"):
-        stage, action = "lost", ""
-    elif kind == "replied" and stage in ("new", "contacted"):
-        stage, action = "replied", "send_details"
-    elif kind == "pilot":
-        stage, action = "pilot", "checkin3"
-    elif kind == "won":
-        stage, action = "won", ""
-    elif kind == "no_whatsapp":
-        landline, action = True, "call"
-    elif kind == "wrong_number":
-        stage, action = "invalid", ""
-    elif kind == "snooze":
-        action = action or step
-    return encode(stage, action, touched, landline, has_wa)
-
-
-def control_table() -> np.ndarray:
-    """[kind, state] -> state."""
-    return np.array([[control(s, k) for s in range(N_STATES)] for k in EVENT_KINDS], dtype=np.int32)
+def _texts(values) -> Column:
+    return F.array(*[F.lit(v).cast("string") for v in values])
 
 
 # --- column expressions ---------------------------------------------------------------------------------------------------
@@ -127,183 +54,137 @@ def event_kind(ev: Column, outcome: Column) -> Column:
     return F.when(split, F.concat_ws(":", ev, outcome)).otherwise(ev)
 
 
+def current_rule(kind: Column, state: Column) -> Column:
+    """Number of the rule (see ``transitions.RULES``) that an event of the given kind code meets."""
+    table = [transitions.rule_of(s, k) for k in EVENT_KINDS for s in range(N_STATES)]
+    return F.get(_ints(table), kind * N_STATES + state)
+
+
 def transition(df: DataFrame) -> DataFrame:
     """What one event does to the lead row it is joined with.
 
-    Needs the lead's stage, next_action, touches, phone_type, wa, pilot_start and the event's ev, outcome, reason, days, at.  Adds
+    Needs ``_kind`` (code of the event), ``_before`` (control state), the lead's pilot_start and the event's at, reason, days.  Adds
     ``u``: step (before), stage, touch (0/1), schedule (whether next_action/next_followup are written), action, followup,
     contacted, pilot, landline, lost_reason (NULL = not written), writes (whether anything is written).
     """
-    kind, at, stage = F.col("_kind"), F.col("at"), F.col("stage")
-    step, none = F.col("_step"), F.lit(None).cast("timestamp")
-    base = df.withColumns({"_kind": event_kind(F.col("ev"), F.col("outcome")), "_step": current_step()})
-    touched = F.coalesce(F.col("touches") > 0, F.lit(False))
-    sent = kind == "sent"
-    called = kind == "called"
-    active_talk = called & stage.isin("replied", "pilot")
-    first_call = called & ~stage.isin("replied", "pilot") & ~touched
-    last_call = called & ~stage.isin("replied", "pilot") & touched
-    interested = (kind == "called:interested") | ((kind == "replied") & stage.isin("new", "contacted"))
-    closing = last_call | kind.isin("called:not_interested", "won", "lost", "wrong_number") | (sent & step.eqNullSafe("review30"))
-    trial_end = F.coalesce("pilot_start", "at") + F.expr("INTERVAL 30 DAYS")
-    day_us = 86_400_000_000
-    days_left = F.ceil((F.unix_micros(trial_end) - F.unix_micros(at)) / F.lit(day_us))
-    snooze_days = F.greatest(F.lit(1), F.when(F.coalesce("days", F.lit(0)) == 0, 1).otherwise(F.col("days")))
-
-    def after_sent(name: str) -> Column:
-        return sent & step.eqNullSafe(name)
-
-    action = (
-        F.when(after_sent("first"), "followup1")
-        .when(after_sent("followup1") | after_sent("nudge_details"), "call")
-        .when(after_sent("send_details"), "nudge_details")
-        .when(after_sent("checkin3"), "checkin7")
-        .when(after_sent("checkin7"), "review30")
-        .when(interested, "send_details")
-        .when(active_talk, F.coalesce(step, F.lit("nudge_details")))
-        .when(first_call, "call")
-        .when(kind == "pilot", "checkin3")
-        .when(kind == "no_whatsapp", "call")
-        .when(kind == "snooze", step)
-    )
-    followup = (
-        F.when(after_sent("first") | first_call, at_eleven(at, F.lit(1)))
-        .when(after_sent("followup1") | (kind == "pilot"), at_eleven(at, F.lit(3)))
-        .when(after_sent("send_details") | after_sent("nudge_details") | active_talk, at_eleven(at, F.lit(2)))
-        .when(after_sent("checkin3"), at_eleven(at, F.lit(4)))
-        .when(after_sent("checkin7"), at_eleven(at, F.greatest(F.lit(1), days_left)))
-        .when(interested | (kind == "no_whatsapp"), at)
-        .when(kind == "snooze", at_eleven(at, snooze_days))
-        .otherwise(none)
-    )
-    new_stage = (
-        F.when(after_sent("first") | first_call, "contacted")
-        .when(interested, "replied")
-        .when(last_call | kind.isin("called:not_interested", "lost"), "lost")
-        .when(kind == "pilot", "pilot")
-        .when(kind == "won", "won")
-        .when(kind == "wrong_number", "invalid")
+    rules = (transitions.NO_RULE, *transitions.RULES)
+    rule, at, kind = F.col("_rule"), F.col("at"), F.col("_kind")
+    of = lambda values: F.get(_texts(values), rule)
+    base = df.withColumns(
+        {
+            "_rule": current_rule(F.col("_kind"), F.col("_before")),
+            "_step": text.blank_to_null(F.get(_texts(transitions.step_of(s) for s in range(N_STATES)), F.col("_before"))),
+        }
     )
-    reason = (
-        F.when(kind == "called:not_interested", "not interested")
-        .when(last_call, "no reply after call")
-        .when(kind == "lost", F.coalesce(text.blank_to_null(F.col("reason")), F.lit("not interested")))
-        .when(kind == "wrong_number", "wrong number")
+    wait, action = of(r.wait for r in rules), of(r.action for r in rules)
+    trial_end = F.coalesce("pilot_start", "at") + F.expr("INTERVAL 30 DAYS")
+    days_left = F.ceil((F.unix_micros(trial_end) - F.unix_micros(at)) / F.lit(86_400_000_000))
+    days = (
+        F.when(wait == transitions.TRIAL, F.greatest(F.lit(1), days_left))
+        .when(wait == transitions.ASKED, F.greatest(F.lit(1), F.coalesce("days", F.lit(1))))
+        .when(wait != transitions.NOW, wait.try_cast("int"))
     )
-    contacted = kind.isin("sent", "called", "called:interested", "called:not_interested")
-    schedule = action.isNotNull() | closing | (kind == "snooze")
+    reason = of(r.reason for r in rules)
+    lost = [i for i, r in enumerate(rules) if r.kind == "lost"]
+    is_kind = lambda *names: kind.isin(*[EVENT_KINDS.index(n) for n in names])
+    contacted = is_kind("sent", "called", "called:interested", "called:not_interested")
+    schedule = action.isNotNull()
+    new_stage = of(r.stage for r in rules)
     return base.withColumn(
         "u",
         F.struct(
-            step.alias("step"),
-            F.coalesce(new_stage, stage).alias("stage"),
-            (after_sent("first") | after_sent("followup1") | first_call).cast("int").alias("touch"),
-            F.coalesce(schedule, F.lit(False)).alias("schedule"),
-            action.alias("action"),
-            followup.alias("followup"),
+            F.col("_step").alias("step"),
+            F.coalesce(new_stage, F.get(_texts(transitions.decode(s)[0] for s in range(N_STATES)), F.col("_before"))).alias("stage"),
+            F.get(_ints(int(r.touch) for r in rules), rule).alias("touch"),
+            schedule.alias("schedule"),
+            F.when(action == transitions.SAME, F.col("_step")).otherwise(text.blank_to_null(action)).alias("action"),
+            F.when(wait == transitions.NOW, at).when(wait.isNotNull(), at_eleven(at, days)).alias("followup"),
             contacted.alias("contacted"),
-            (kind == "pilot").alias("pilot"),
-            (kind == "no_whatsapp").alias("landline"),
-            reason.alias("lost_reason"),
-            (contacted | F.coalesce(schedule, F.lit(False)) | new_stage.isNotNull()).alias("writes"),
+            is_kind("pilot").alias("pilot"),
+            is_kind("no_whatsapp").alias("landline"),
+            F.when(rule.isin(lost), F.coalesce(text.blank_to_null(F.col("reason")), reason)).otherwise(reason).alias("lost_reason"),
+            (contacted | schedule | new_stage.isNotNull()).alias("writes"),
         ),
-    ).drop("_kind", "_step")
+    ).drop("_kind", "_rule", "_step")
 
 
 # --- the fold -------------------------------------------------------------------------------------------------------------
 
 
-def _border_maps(batches):
-    """Per partition: where the first lead's possible states end up, and the end state of the last lead."""
-    table = control_table()
-    every = np.arange(N_STATES, dtype=np.int32)
-    first_lead, lead, vector, state, pilot, pid, start = None, None, every, 0, NO_TIME, None, 0
-    first_row = None
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("_pid", "lead_id", "_kind", "_start", "_at_us")]
-        for p, l, k, s0, at in zip(*cols):
-            if l != lead:
-                if lead is not None and lead == first_lead and first_row is None:
-                    first_row = (pid, lead, start, vector.tolist(), pilot)
-                if lead is None:
-                    first_lead = l
-                lead, pid, start, state, pilot, vector = l, p, s0, s0, NO_TIME, every
-            if l == first_lead:
-                vector = table[k][vector]
-            else:
-                state = table[k, state]
-            if EVENT_KINDS[k] == "pilot":
-                pilot = at
-    if lead is None:
-        return
-    rows = []
-    if first_row is not None:
-        rows.append(first_row)
-    rows.append((pid, lead, start, vector.tolist() if lead == first_lead else [int(state)] * N_STATES, pilot))
-    names = ("_pid", "lead_id", "_start", "_map", "_pilot")
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
-
-
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """State and last pilot time of one lead at the start of each of its partitions."""
-    out, state, pilot = [], None, NO_TIME
-    for pid, lead, start, mapping, p in rows.sort_values("_pid")[["_pid", "lead_id", "_start", "_map", "_pilot"]].itertuples(index=False):
-        if state is None:
-            state = start
-        out.append((pid, lead, state, pilot))
-        state = int(mapping[state])
-        pilot = p if p != NO_TIME else pilot
-    return pd.DataFrame(out, columns=["_pid", "lead_id", "_border", "_border_pilot"])
-
-
-def _label(batches):
-    """Append the control state before each event and the last pilot event before it."""
-    table = control_table().tolist()
-    pilot_kind = EVENT_KINDS.index("pilot")
-    lead, state, pilot = None, 0, NO_TIME
-    for batch in batches:
-        before, pilots = [], []
-        cols = [batch.column(c).to_pylist() for c in ("lead_id", "_kind", "_start", "_at_us", "_border", "_border_pilot")]
-        for l, k, s0, at, border, border_pilot in zip(*cols):
-            if l != lead:
-                lead = l
-                state, pilot = (s0, NO_TIME) if border is None else (border, border_pilot)
-            before.append(state)
-            pilots.append(None if pilot == NO_TIME else pilot)
-            state = table[k][state]
-            if k == pilot_kind:
-                pilot = at
-        arrays = [batch.column(i) for i in range(batch.num_columns)] + [pa.array(before, pa.int32()), pa.array(pilots, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_before", "_pilot_us"])
+def _after(kind: Column, state: Column) -> Column:
+    return F.get(_ints(transitions.after(s, k) for k in EVENT_KINDS for s in range(N_STATES)), kind * N_STATES + state)
 
 
-def label_events(events: DataFrame) -> DataFrame:
-    """``events(lead_id, event_id, at, _kind int, _start int, ...)`` with ``_before`` and ``_pilot_us``.
+def _chunk_function(kinds: Column) -> Column:
+    """Where each control state ends up after the events of a chunk."""
 
-    Works on any number of events per lead: a lead's events may be spread over all partitions.
-    """
-    spark = events.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["lead_id", "at", "event_id"]
-    placed = pin_ordered(
-        events.withColumn("_at_us", F.unix_micros("at"))
-        .repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    maps = placed.select("_pid", "lead_id", "_kind", "_start", "_at_us").mapInArrow(
-        _border_maps, "_pid int, lead_id long, _start int, _map array<int>, _pilot long"
-    )
-    # two rows per partition at most, so neither a lead's group here nor the broadcast below grows with the events
-    borders = maps.groupBy("lead_id").applyInPandas(_chain, "_pid int, lead_id long, _border int, _border_pilot long")
-    with_border = placed.join(F.broadcast(borders), ["_pid", "lead_id"], "left")
-    schema = T.StructType([*with_border.schema.fields, T.StructField("_before", T.IntegerType()), T.StructField("_pilot_us", T.LongType())])
-    return with_border.mapInArrow(_label, schema).drop("_pid", "_border", "_border_pilot", "_at_us")
+    def followed(states: Column, some: Column) -> Column:
+        return F.aggregate(some, states, lambda acc, k: F.transform(acc, lambda s: _after(k, s)))
+
+    def rest(begun: Column) -> Column:
+        few = F.array_distinct(begun)
+        return text.let(
+            F.struct(few.alias("few"), followed(few, F.slice(kinds, HEAD + 1, CHUNK)).alias("ends")),
+            lambda x: F.transform(begun, lambda s: F.get(x["ends"], (F.array_position(x["few"], s) - 1).cast("int"))),
+        )
+
+    return text.let(followed(_ints(range(N_STATES)), F.slice(kinds, 1, HEAD)), rest)
+
+
+def _last(a: Column) -> Column:
+    return F.element_at(a, -1)
+
+
+def _scan(start: Column, parts: Column, step) -> Column:
+    """What holds before each of ``parts``, in their order, and after the last one."""
+    return F.aggregate(parts, F.array(start), lambda acc, x: F.array_append(acc, step(_last(acc), x)))
+
+
+def _borders(ranked: DataFrame, largest: int) -> DataFrame:
+    """(lead_id, _c, _state, _pilot): control state and last pilot time before each chunk of the leads that have several."""
+    order = F.sort_array(F.collect_list(F.struct("_n", "_kind", "_at_us"))).alias("_events")
+    chunks = ranked.filter(F.col("_many") > CHUNK).groupBy("lead_id", F.expr(f"(_n - 1) div {CHUNK}").alias("_c")).agg(F.first("_start").alias("_start"), order)
+    pilots = F.filter("_events", lambda e: e["_kind"] == EVENT_KINDS.index("pilot"))
+    level = chunks.select("lead_id", "_c", "_start", _chunk_function(F.transform("_events", lambda e: e["_kind"])).alias("_f"), F.array_max(F.transform(pilots, lambda e: e["_at_us"])).alias("_p"))
+    groups, width = [], CHUNK
+    while True:
+        parts = F.sort_array(F.collect_list(F.struct("_c", "_f", "_p"))).alias("_parts")
+        groups.append(pin(level.groupBy("lead_id", F.expr(f"_c div {FAN}").alias("_up")).agg(F.first("_start").alias("_start"), parts)))
+        width *= FAN
+        if largest <= width:
+            break
+        whole = F.aggregate("_parts", _ints(range(N_STATES)), lambda acc, x: F.transform(acc, lambda s: F.get(x["_f"], s)))
+        level = groups[-1].select("lead_id", F.col("_up").alias("_c"), "_start", whole.alias("_f"), F.array_max(F.transform("_parts", lambda x: x["_p"])).alias("_p"))
+    known = groups[-1].select("lead_id", F.col("_up"), F.col("_start").alias("_state"), F.lit(None).cast("long").alias("_pilot"))
+    for group in reversed(groups):
+        met = group.join(known, ["lead_id", "_up"])
+        states = _scan(F.col("_state"), F.col("_parts"), lambda s, x: F.get(x["_f"], s))
+        pilots = _scan(F.col("_pilot"), F.col("_parts"), lambda p, x: F.coalesce(x["_p"], p))
+        each = met.select("lead_id", F.inline(F.arrays_zip(F.transform("_parts", lambda x: x["_c"]).alias("_c"), states.alias("_state"), pilots.alias("_pilot"))))
+        known = each.filter("_c IS NOT NULL").withColumnRenamed("_c", "_up")
+    return known.withColumnRenamed("_up", "_c")
+
+
+def label_events(events: DataFrame) -> DataFrame:
+    """``events(lead_id, event_id, at, _kind int, _start int, ...)`` with ``_before`` and ``_pilot_us``: the control state before each event
+    and the time of the lead's last pilot event before it."""
+    ranked = ordering.global_rank(events.withColumn("_at_us", F.unix_micros("at")), ["lead_id"], [F.col("at"), F.col("event_id")], "_n", "_many")
+    largest = ranked.agg(F.coalesce(F.max("_many"), F.lit(0))).first()[0]
+    row = F.struct(*events.columns).alias("_row")
+    items = F.sort_array(F.collect_list(F.struct("_n", "_kind", "_at_us", row))).alias("_items")
+    chunks = ranked.groupBy("lead_id", F.expr(f"(_n - 1) div {CHUNK}").alias("_c")).agg(F.first("_start").alias("_start"), items)
+    if largest > CHUNK:
+        chunks = chunks.join(_borders(ranked, largest), ["lead_id", "_c"], "left")
+    else:
+        chunks = chunks.withColumns({"_state": F.lit(None).cast("int"), "_pilot": F.lit(None).cast("long")})
+    states = _scan(F.coalesce("_state", "_start"), F.col("_items"), lambda s, e: _after(e["_kind"], s))
+    pilots = _scan(F.col("_pilot"), F.col("_items"), lambda p, e: F.when(e["_kind"] == EVENT_KINDS.index("pilot"), e["_at_us"]).otherwise(p))
+    each = chunks.select(F.inline(F.arrays_zip(F.transform("_items", lambda e: e["_row"]).alias("_row"), states.alias("_before"), pilots.alias("_pilot_us"))))
+    return each.filter("_row IS NOT NULL").select("_row.*", "_before", "_pilot_us")
 
 
 def _start_state() -> Column:
-    """Control state of a lead row as an integer, matching ``encode``."""
+    """Control state of a lead row as an integer, matching ``transitions.encode``."""
 
     def index(values: tuple[str, ...], c: Column) -> Column:
         return F.coalesce(*[F.when(c == v, F.lit(i)) for i, v in enumerate(values)], F.lit(0))
@@ -315,21 +196,6 @@ def _start_state() -> Column:
     return ((s * 2 + touched) * 2 + landline) * 2 + has_wa
 
 
-def _decode_columns(state: Column) -> dict[str, Column]:
-    """Lead columns as ``transition`` reads them, out of a control state."""
-    names = F.array(*[F.lit(s) for s in fixed.STAGES])
-    actions = F.array(*[F.lit(a or None).cast("string") for a in ACTIONS])
-    pair = F.floor(state / 8).cast("int")
-    landline = F.floor(state / 2).cast("int") % 2 == 1
-    return {
-        "stage": F.get(names, F.floor(pair / len(ACTIONS)).cast("int")),
-        "next_action": F.get(actions, pair % len(ACTIONS)),
-        "touches": F.floor(state / 4).cast("int") % 2,
-        "phone_type": F.when(landline, "landline").otherwise("mobile"),
-        "wa": F.when(state % 2 == 1, "1").otherwise(""),
-    }
-
-
 def log_events(leads: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leads, activities, errors) after applying every event in the order of (at, event_id) per lead.
 
@@ -347,10 +213,7 @@ def log_events(leads: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFram
     kind = event_kind(F.col("ev"), F.col("outcome"))
     code = F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(EVENT_KINDS)])
     labelled = label_events(joined.filter(known & F.col("_start").isNotNull()).withColumn("_kind", code))
-    before = labelled.withColumns(
-        {**_decode_columns(F.col("_before")), "pilot_start": F.coalesce(F.timestamp_micros("_pilot_us"), "_pilot0")}
-    )
-    applied = transition(before.drop("_kind"))
+    applied = transition(labelled.withColumn("pilot_start", F.coalesce(F.timestamp_micros("_pilot_us"), "_pilot0")))
 
     order = F.struct("at", "event_id")
     u = F.col("u")

@@ -5,14 +5,12 @@ has its WhatsApp number; failing that, it becomes a new lead.  A lead without a
 given, so the answer for a row depends on the rows before it.
 
 That dependency only runs through the keys.  Where all rows of a place id (or of a number without place ids) can only ever meet
-in one lead, the match is read off the key.  The other keys are reduced to the few rows that can change who owns what, and
-resolved in rounds: in each round every row that is next in line at both of its keys takes its turn, all of them in parallel.
-Once the undecided rest is a checked, small number of rows, one task finishes it.  The merge itself is a plain aggregation.
+in one lead, the match is read off the key.  The other keys are reduced to the few rows that can change who owns what; those
+are a first-come matching of place ids and numbers, settled in parallel rounds (see ``matching``).  The merge itself is a plain aggregation.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,131 +18,53 @@ from demandlens.functions import text
 from demandlens.functions.phone import norm_phone
 from demandlens.operators import ordering
 from demandlens.operators.leads import EXTRA_TYPE, guard_leads, score_leads
+from demandlens.operators.matching import first_come
 from demandlens.session import pin
 from demandlens.settings import Settings
 
 OLD = 1 << 53  # leads that exist already are numbered id - OLD, so they come before every seq of the batch
-FINISH_ROWS = 100_000  # undecided rows one task may finish; ten columns of scalars, a few tens of MB
 LATEST = ("address", "area", "website", "rating", "reviews", "maps_url", "lat", "lng", "city")
 FIRST = ("name", "email", "instagram", "facebook", "source", "query", "seed", "lang", "contact_name", "notes")
 
-_STATE = "p string, w string, t long, t_own long, own_lid long, t_wa long, t_hold long, min_lid long, t_sat long"
-_EVENTS = "kind string, k string, t long, lid long"
 
 
-def _finish(rows: pd.DataFrame) -> pd.DataFrame:
-    """Take the remaining rows one by one; emits who owns a place id and who holds a number since when."""
-    own, hold, events = {}, {}, []
-    order = rows.sort_values("t", kind="stable")
+def _decide(core: DataFrame, own0: DataFrame, hold0: DataFrame) -> DataFrame:
+    """(kind, k, t, lid): which lead owns a place id, or holds a number, from which time on.
 
-    def number(x):
-        return None if pd.isna(x) else int(x)
-
-    for p, t_own, lid, t_wa in zip(order.p, order.t_own, order.own_lid, order.t_wa):
-        if p and not pd.isna(t_own):
-            own[p] = [int(t_own), int(lid), number(t_wa)]
-    for w, t_hold, lid, t_sat in zip(order.w, order.t_hold, order.min_lid, order.t_sat):
-        if w and not pd.isna(t_hold):
-            hold[w] = [int(t_hold), int(lid), number(t_sat)]
-    # a key may have been decided at a later t than some row that is still waiting; then the row must not see it yet
-    for p, w, t in zip(order.p, order.w, order.t):
-        t = int(t)
-        o = own.get(p) if p else None
-        h = hold.get(w) if w else None
-        owned = o is not None and o[0] < t
-        held = h is not None and h[0] < t
-        saturated = held and h[2] is not None and h[2] < t
-        if owned:
-            if w and (o[2] is None or o[2] >= t):
-                o[2] = t
-                events.append(("hold", w, t, o[1]))
-                if not held:
-                    hold[w] = [t, o[1], t]
-                elif not saturated and o[1] < h[1]:
-                    hold[w] = [h[0], o[1], t]
-        elif held:
-            if p and not saturated:
-                h[2] = t
-                own[p] = [t, h[1], t]
-                events.append(("own", p, t, h[1]))
-        else:
-            if p:
-                own[p] = [t, t, t if w else None]
-                events.append(("own", p, t, t))
-            if w:
-                hold[w] = [t, t, t if p else None]
-                events.append(("hold", w, t, t))
-    return pd.DataFrame(events, columns=["kind", "k", "t", "lid"])
-
-
-def _decide(active: DataFrame, finish_rows: int) -> DataFrame:
-    """Ownership and holding events for the undecided rows."""
-    t, p, w = F.col("t"), F.col("p"), F.col("w")
-    collected: list[DataFrame] = []
-    while True:
-        left = active.count()
-        if left <= finish_rows:
-            if left:
-                collected.append(active.groupBy().applyInPandas(_finish, _EVENTS))
-            break
-        owned = F.coalesce(F.col("t_own") < t, F.lit(False))
-        place_done = F.coalesce(F.col("t_wa") < t, F.lit(False))
-        held = F.coalesce(F.col("t_hold") < t, F.lit(False))
-        number_done = F.coalesce(F.col("t_sat") < t, F.lit(False))
-        state = active.withColumns({"owned": owned, "held": held, "w_done": number_done}).filter(
-            ~place_done & ~(F.col("owned") & (w == "")) & ~((p == "") & F.col("held"))
-        )
-        # a row whose place id nobody owns and whose number is settled changes nothing, so nobody waits for it
-        idle = ~F.col("owned") & (p != "") & F.col("w_done")
-        first_p = state.filter((p != "") & ~idle).groupBy("p").agg(F.min("t").alias("next_p"))
-        first_w = state.filter((w != "") & ~F.col("w_done")).groupBy("w").agg(F.min("t").alias("next_w"))
-        queued = state.join(first_p, "p", "left").join(first_w, "w", "left")
-        idle_over = idle & (F.col("next_p").isNull() | (t < F.col("next_p")))
-        at_p = (p == "") | (t == F.col("next_p"))
-        at_w = (w == "") | F.col("w_done") | (t == F.col("next_w"))
-        queued = pin(queued.withColumn("ready", ~idle & at_p & at_w).filter(~idle_over).drop("next_p", "next_w"))
-        ready = queued.filter("ready")
-
-        fill = F.col("owned")
-        takes_place = ~fill & F.col("held")
-        lid = F.when(fill, F.col("own_lid")).when(takes_place, F.col("min_lid")).otherwise(t)
-        ready = ready.withColumn("lid", lid)
-        collected.append(
-            ready.filter((p != "") & ~fill).select(F.lit("own").alias("kind"), p.alias("k"), "t", "lid").unionByName(
-                ready.filter((w != "") & (fill | ~F.col("held"))).select(F.lit("hold").alias("kind"), w.alias("k"), "t", "lid")
-            )
-        )
-        place_news = ready.filter(p != "").select(
-            "p",
-            F.when(fill, F.col("t_own")).otherwise(t).alias("n_own"),
-            "lid",
-            F.when(w != "", t).alias("n_wa"),
-        ).withColumnRenamed("lid", "n_own_lid")
-        older = fill & F.col("held") & (F.col("own_lid") < F.col("min_lid"))
-        number_news = ready.filter((w != "") & ~F.col("w_done")).select(
-            "w",
-            F.when(F.col("held"), F.col("t_hold")).otherwise(t).alias("n_hold"),
-            F.when(F.col("held") & ~older, F.col("min_lid")).otherwise(F.col("lid")).alias("n_min"),
-            F.when(older | takes_place | (~F.col("held") & (p != "")), t).otherwise(F.col("t_sat")).alias("n_sat"),
-        )
-        waiting = queued.filter(~F.col("ready")).join(place_news, "p", "left").join(number_news, "w", "left")
-        active = pin(
-            waiting.select(
-                "p", "w", "t",
-                F.coalesce("n_own", "t_own").alias("t_own"), F.coalesce("n_own_lid", "own_lid").alias("own_lid"),
-                F.coalesce("n_wa", "t_wa").alias("t_wa"), F.coalesce("n_hold", "t_hold").alias("t_hold"),
-                F.coalesce("n_min", "min_lid").alias("min_lid"), F.coalesce("n_sat", "t_sat").alias("t_sat"),
-            )
-        )
-    if not collected:
-        return active.sparkSession.createDataFrame([], _EVENTS)
-    out = collected[0]
-    for more in collected[1:]:
-        out = out.unionByName(more)
-    return out
+    A place id is unowned, then owned by a lead without a number, then by one with a number; what its rows without a number do is known
+    beforehand, and so is what they do to a number's first holder.  Left open are the rows with both keys.  Such a row
+    takes effect if its place id has no owner with a number yet and its number's oldest holder has no place id yet; then neither
+    key is open afterwards.  That is a first-come matching.
+    """
+    p, w, seq = F.col("p"), F.col("w"), F.col("seq")
+    places = core.filter(p != "").groupBy("p").agg(F.min(F.when(w == "", seq)).alias("t_blank")).join(own0, "p", "left")
+    places = places.withColumn("own_from", F.coalesce("t_own", "t_blank"))
+    numbers = core.filter(w != "").groupBy("w").agg(F.min(F.when(p == "", seq)).alias("t_bare")).join(hold0, "w", "left")
+    numbers = numbers.withColumn("held_from", F.coalesce("t_hold", "t_bare"))
+    both = core.filter((p != "") & (w != "")).join(places.filter("t_wa IS NULL").select("p", "own_from"), "p")
+    owned = F.coalesce(F.col("own_from") < seq, F.lit(False))
+    # the first row of a pair while the place id has no owner, and the first row with a number after it has one
+    opening = both.filter(~owned).groupBy("p", "w").agg(F.min("seq").alias("t"), F.lit(None).cast("long").alias("owner"))
+    filling = both.filter(owned).groupBy("p").agg(F.min_by("w", "seq").alias("w"), F.min("seq").alias("t"), F.min("own_from").alias("owner"))
+    rows = opening.unionByName(filling).join(numbers.select("w", "held_from", F.col("t_sat").isNotNull().alias("settled")), "w")
+    bare = F.coalesce(F.col("held_from") >= F.col("t"), F.lit(True))  # nobody holds the number before the row, unless another row with both keys made it so
+    rows = pin(rows.withColumn("bare", bare))
+    settles = F.col("owner").isNull() | F.col("bare") | (F.col("owner") < F.col("held_from"))
+    taken = first_come(rows.filter(~F.col("settled") & settles))
+    made = pin(rows.filter("owner IS NULL").join(taken.select("t"), "t", "left_semi"))
+    event = lambda kind, k, t, lid: (F.lit(kind).alias("kind"), k.alias("k"), t.alias("t"), lid.alias("lid"))
+    t, at_once = F.col("t"), made.filter("bare")
+    named = made.select("p")
+    return (
+        made.select(*event("own", p, t, F.when(F.col("bare"), t).otherwise(F.col("held_from"))))
+        .unionByName(at_once.select(*event("hold", w, t, t)))
+        .unionByName(rows.filter("owner IS NOT NULL").join(named, "p", "left_anti").select(*event("hold", w, t, F.col("owner"))))
+        .unionByName(places.filter("t_own IS NULL AND t_blank IS NOT NULL").join(named, "p", "left_anti").select(*event("own", p, F.col("t_blank"), F.col("t_blank"))))
+        .unionByName(numbers.filter("t_hold IS NULL AND t_bare IS NOT NULL").select(*event("hold", w, F.col("t_bare"), F.col("t_bare"))))
+    )
 
 
-def match_leads(existing: DataFrame, rows: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def match_leads(existing: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows(seq, p, w)`` with ``lid``: id - OLD of an existing lead, or the seq of the row that creates the lead.
 
     ``existing(id, place_id, wa)``; '' means no key.  ``seq`` is a unique integer from 0.
@@ -183,24 +103,13 @@ def match_leads(existing: DataFrame, rows: DataFrame, finish_rows: int = FINISH_
     tagged = pin(tagged.join(simple, ["k", "is_place"], "left"))
     direct = tagged.filter(F.col("simple_lid").isNotNull()).select("seq", "p", "w", F.col("simple_lid").alias("lid"))
 
-    # the rest: first row of each pair, and the first one after the place id may have been created without a number
+    # the rest: matches that depend on the rows before
     core = tagged.filter(F.col("simple_lid").isNull()).select("seq", "p", "w")
-    blank = core.filter((p != "") & (w == "")).groupBy("p").agg(F.min("seq").alias("t_blank"))
-    reduced = (
-        core.join(blank, "p", "left")
-        .groupBy("p", "w", (F.col("seq") > F.coalesce("t_blank", F.lit((1 << 62)))).alias("later"))
-        .agg(F.min("seq").alias("t"))
-    )
     own0 = old.filter(p != "").select("p", F.col("lid").alias("t_own"), F.col("lid").alias("own_lid"), F.when(w != "", F.col("lid")).alias("t_wa"))
     hold0 = old.filter(w != "").groupBy("w").agg(F.min(F.struct("lid", (p != "").alias("placed"))).alias("m")).select(
         "w", F.col("m.lid").alias("t_hold"), F.col("m.lid").alias("min_lid"), F.when(F.col("m.placed"), F.col("m.lid")).alias("t_sat")
     )
-    active = pin(
-        reduced.join(own0, "p", "left").join(hold0, "w", "left").select(
-            "p", "w", "t", "t_own", "own_lid", "t_wa", "t_hold", "min_lid", "t_sat"
-        )
-    )
-    events = _decide(active, finish_rows)
+    events = pin(_decide(core, own0, hold0))
     own = events.filter("kind = 'own'").select(F.col("k").alias("p"), F.col("t").alias("t_own"), "lid").unionByName(
         own0.select("p", "t_own", F.col("own_lid").alias("lid"))
     )
@@ -226,9 +135,7 @@ def _missing_safe(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name).cast("string") != "")
 
 
-def resolve_leads(
-    existing: DataFrame, batch: DataFrame, settings: Settings, now, finish_rows: int = FINISH_ROWS
-) -> tuple[DataFrame, DataFrame]:
+def resolve_leads(existing: DataFrame, batch: DataFrame, settings: Settings, now) -> tuple[DataFrame, DataFrame]:
     """(leads, outcomes): the lead table after the batch, and inserted / updated / skipped per batch row.
 
     ``batch`` has ``seq`` (unique integer from 0) and the import columns; ``existing`` is the lead table.
@@ -239,7 +146,7 @@ def resolve_leads(
     rows = rows.withColumns(
         {"p": text.or_blank(F.col("place_id")), "w": F.col("_ph.wa"), "phone_type": F.col("_ph.type")}
     ).drop("_ph")
-    matched = pin(match_leads(existing, rows.select("seq", "p", "w"), finish_rows).select("seq", "lid"))
+    matched = pin(match_leads(existing, rows.select("seq", "p", "w")).select("seq", "lid"))
     full = rows.join(matched, "seq")
 
     def value(c: str) -> Column:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import math
+import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from demandlens.operators import cadence, phrases
+from demandlens.operators import phrases
+from demandlens.operators import transitions as rules
 from demandlens.plans.attempts import MAX_ERRORS, MAX_STRIKES
 from demandlens.plans.places import utc_day
 from demandlens.sources import tables
 
 DAY_US = 86_400_000_000
-ELEVEN_US = 11 * 3_600_000_000
 
 
 # --- phrase table, republished while a scan runs ----------------------------------------------------------------------------
@@ -70,48 +71,29 @@ LEAD_OUTPUT = (
     "next_action string, next_followup_us long, touches int, phone_type string, pilot_start_us long, last_contacted_us long, "
     "lost_reason string"
 )
-def _at_eleven(us: int, days: int) -> int:
-    return (us + days * DAY_US) // DAY_US * DAY_US + ELEVEN_US
-
-
-def apply_event(s: dict, ev: str, at_us: int, outcome, reason, days) -> str:
-    """Change lead state ``s`` in place by one event (UTC); returns the step before it."""
-    step = cadence.step_of(s["stage"], s["next_action"] or "", s["phone_type"] == "landline", bool(s["wa"]))
-    touched = (s["touches"] or 0) > 0
-    kind = f"called:{outcome}" if ev == "called" and outcome in ("interested", "not_interested") else ev
-    before = cadence.encode(s["stage"], s["next_action"] or "", touched, s["phone_type"] == "landline", bool(s["wa"]))
-    stage, action, now_touched, landline, _ = cadence.decode(cadence.control(before, kind))
-    followup = s["followup_us"]
-    if kind == "sent" and step in cadence.AFTER_SENT:
-        wait = {"first": 1, "followup1": 3, "send_details": 2, "nudge_details": 2, "checkin3": 4}.get(step)
-        if step == "checkin7":
-            trial_end = (s["pilot_us"] if s["pilot_us"] is not None else at_us) + 30 * DAY_US
-            wait = max(1, math.ceil((trial_end - at_us) / DAY_US))
-        followup = _at_eleven(at_us, wait) if wait else None
-        s["touches"] = (s["touches"] or 0) + (step in ("first", "followup1"))
-    elif kind == "called":
-        if s["stage"] in ("replied", "pilot"):
-            followup = _at_eleven(at_us, 2)
-        elif not touched:
-            followup, s["touches"] = _at_eleven(at_us, 1), 1
-        else:
-            followup, s["lost_reason"] = None, "no reply after call"
-    elif kind in ("called:interested", "no_whatsapp") or (kind == "replied" and s["stage"] in ("new", "contacted")):
-        followup = at_us
-    elif kind in ("called:not_interested", "won", "lost", "wrong_number"):
-        followup = None
-        reasons = {"called:not_interested": "not interested", "lost": reason or "not interested", "wrong_number": "wrong number"}
-        s["lost_reason"] = reasons.get(kind, s["lost_reason"])
-    elif kind == "pilot":
-        followup, s["pilot_us"] = _at_eleven(at_us, 3), at_us
-    elif kind == "snooze":
-        followup = _at_eleven(at_us, max(1, days or 1))
+def _at_eleven(us: int, days: int, zone: ZoneInfo) -> int:
+    day = dt.datetime.fromtimestamp((us + days * DAY_US) // 1_000_000, zone).date()
+    return int(dt.datetime(day.year, day.month, day.day, 11, tzinfo=zone).timestamp()) * 1_000_000
+
+
+def apply_event(s: dict, ev: str, at_us: int, outcome, reason, days, zone: ZoneInfo) -> str:
+    """Change lead state ``s`` in place by one event; returns the step before it.  The rules are those of the batch fold."""
+    kind = f"{ev}:{outcome}" if f"{ev}:{outcome}" in rules.EVENT_KINDS else ev
+    before = rules.encode(s["stage"], s["next_action"] or "", (s["touches"] or 0) > 0, s["phone_type"] == "landline", bool(s["wa"]))
+    stage, action, _, landline, _ = rules.decode(rules.after(before, kind))
+    r = (rules.NO_RULE, *rules.RULES)[rules.rule_of(before, kind)]
+    if r.action is not None:
+        trial_end = (s["pilot_us"] if s["pilot_us"] is not None else at_us) + 30 * DAY_US
+        named = {rules.TRIAL: max(1, -(-(trial_end - at_us) // DAY_US)), rules.ASKED: max(1, days or 1)}
+        s["followup_us"] = None if r.wait is None else at_us if r.wait == rules.NOW else _at_eleven(at_us, named.get(r.wait, r.wait), zone)
+    if r.reason is not None:
+        s["lost_reason"] = reason or r.reason if kind == "lost" else r.reason
     if ev in ("sent", "called"):
         s["contacted_us"] = at_us
-    s.update(stage=stage, next_action=action or None, followup_us=followup)
-    if landline and s["phone_type"] != "landline":
-        s["phone_type"] = "landline"
-    return step
+    if ev == "pilot":
+        s["pilot_us"] = at_us
+    s.update(stage=stage, next_action=action or None, touches=(s["touches"] or 0) + r.touch, phone_type="landline" if landline else s["phone_type"])
+    return rules.step_of(before)
 
 
 class LeadProcessor(StatefulProcessor):
@@ -124,6 +106,9 @@ class LeadProcessor(StatefulProcessor):
 
     FIELDS = tuple(f.split()[0] for f in LEAD_STATE.split(", "))
 
+    def __init__(self, zone: str) -> None:
+        self.zone = ZoneInfo(zone)
+
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("lead", LEAD_STATE)
@@ -151,11 +136,11 @@ class LeadProcessor(StatefulProcessor):
         s = dict(zip(self.FIELDS, self.state.get())) if known else dict.fromkeys(self.FIELDS)
         changed = False
         for r in sorted(rows, key=lambda r: (r["at_us"], r["event_id"])):
-            if not known or r["ev"] not in cadence.EVENTS:
-                problem = "Lead not found" if r["ev"] in cadence.EVENTS else f"Unknown event {r['ev']}"
+            if not known or r["ev"] not in rules.EVENTS:
+                problem = "Lead not found" if r["ev"] in rules.EVENTS else f"Unknown event {r['ev']}"
                 yield self._row(key, s, "error", r["event_id"], r["ev"], None, None, problem, r["at_us"])
                 continue
-            step = apply_event(s, r["ev"], r["at_us"], r["outcome"], r["reason"], r["days"])
+            step = apply_event(s, r["ev"], r["at_us"], r["outcome"], r["reason"], r["days"], self.zone)
             changed = True
             body = r["body"] or r["outcome"] or r["reason"] or ""
             yield self._row(key, s, "activity", r["event_id"], r["ev"], step, r["lang"] or s["lang"], body, r["at_us"])
@@ -181,7 +166,7 @@ def initial_lead_state(leads: DataFrame) -> DataFrame:
 
 
 def lead_stream(events: DataFrame, leads: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream of events -> activities, due rows and errors.  Needs the RocksDB state store and a UTC session zone.
+    """A stream of events -> activities, due rows and errors.  Needs the RocksDB state store.  Days are those of the session zone.
 
     Events more than ``delay`` behind the newest are dropped (the batch form has no such rule).
     """
@@ -190,7 +175,7 @@ def lead_stream(events: DataFrame, leads: DataFrame, delay: str = "1 day") -> Da
         .withColumn("at_us", F.unix_micros("at"))
         .groupBy("lead_id")
         .transformWithState(
-            statefulProcessor=LeadProcessor(),
+            statefulProcessor=LeadProcessor(events.sparkSession.conf.get("spark.sql.session.timeZone")),
             outputStructType=LEAD_OUTPUT,
             outputMode="Append",
             timeMode="EventTime",

@@ -5,7 +5,10 @@ import random
 import pytest
 from lead_tables import NOW, batch_rows, lead_rows
 
+from demandlens.operators import matching
+from demandlens.operators.matching import first_come
 from demandlens.operators.resolve import OLD, match_leads, resolve_leads
+from demandlens.session import pin
 from demandlens.settings import Settings
 
 
@@ -43,31 +46,58 @@ def random_case(rng, n, places, numbers, n_old):
     return existing, [(i, place(), number()) for i in range(n)]
 
 
-def run(spark, existing, rows, finish_rows):
+def run(spark, existing, rows):
     e = spark.createDataFrame(existing, "id long, place_id string, wa string")
     r = spark.createDataFrame(rows, "seq long, p string, w string")
-    return {x.seq: x.lid for x in match_leads(e, r, finish_rows).collect()}
+    return {x.seq: x.lid for x in match_leads(e, r).collect()}
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_sequential_finish(spark, seed):
+def test_random_rows(spark, seed):
     rng = random.Random(seed)
     existing, rows = random_case(rng, 60, rng.choice([4, 15, 60]), rng.choice([3, 12, 40]), rng.choice([0, 8]))
-    assert run(spark, existing, rows, 10_000) == sequential(existing, rows)
+    assert run(spark, existing, rows) == sequential(existing, rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_rounds(spark, seed):
+@pytest.mark.parametrize("seed", range(5))
+def test_crowded_keys(spark, seed):
     rng = random.Random(100 + seed)
-    existing, rows = random_case(rng, 25, [4, 9, 20][seed], [3, 6, 15][seed], [0, 4, 6][seed])
-    assert run(spark, existing, rows, 0) == sequential(existing, rows)
+    existing, rows = random_case(rng, 60, [4, 9, 20, 12, 5][seed], [3, 6, 15, 30, 14][seed], [0, 4, 6, 12, 3][seed])
+    assert run(spark, existing, rows) == sequential(existing, rows)
+
+
+def brute_first_come(rows):
+    used, out = set(), set()
+    for t, p, w in sorted(rows):
+        if ("p", p) not in used and ("w", w) not in used:
+            used |= {("p", p), ("w", w)}
+            out.add((t, p, w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_come(spark, seed):
+    rng = random.Random(seed)
+    keys = [30, 90, 200, 400][seed]
+    rows = [(t, f"p{rng.randrange(keys)}", f"w{rng.randrange(keys)}") for t in range(600)]
+    got = first_come(spark.createDataFrame(rows, "t long, p string, w string"))
+    assert {tuple(r) for r in got.collect()} == brute_first_come(rows)
+
+
+def test_long_chain_needs_few_rounds(spark, monkeypatch):
+    """3,000 rows, each of which shares a key with the row before: settled by doubling, three tables a round."""
+    pins = []
+    monkeypatch.setattr(matching, "pin", lambda df: (pins.append(1), pin(df))[1])
+    rows = [(t, f"p{(t + 1) // 2}", f"w{t // 2}") for t in range(3000)]
+    got = first_come(spark.createDataFrame(rows, "t long, p string, w string"))
+    assert {r.t for r in got.collect()} == set(range(0, 3000, 2)) and len(pins) <= 3 * 15
 
 
 def test_hub_number_needs_few_rounds(spark):
     """One number shared by every place id: settled after its first row."""
     rows = [(i, f"p{i}", "hub") for i in range(200)] + [(200 + i, f"p{i}", "") for i in range(0, 200, 3)]
     rows += [(400 + i, f"p{i}", "hub") for i in range(200)]
-    assert run(spark, [], rows, 0) == sequential([], rows)
+    assert run(spark, [], rows) == sequential([], rows)
 
 
 def test_chained_query_resolves_against_all_customers(spark):

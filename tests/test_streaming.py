@@ -8,7 +8,7 @@ from lead_tables import lead_rows
 from test_cadence import EVENT_SCHEMA, events
 
 from demandlens import fixed
-from demandlens.operators import cadence, phrases
+from demandlens.operators import cadence, phrases, transitions
 from demandlens.plans import attempts, places
 from demandlens.sources import tables
 from demandlens.streaming import live
@@ -42,7 +42,7 @@ def test_lead_state(spark, tmp_path):
     leads = lead_rows(spark, [{"id": i, "stage": rng.choice(fixed.STAGES), "wa": rng.choice(["", "9"]), "phone_type": rng.choice(["mobile", "landline"])} for i in range(8)])
     rows = []
     for n in range(240):
-        ev, outcome = (rng.choice([k for k in cadence.EVENT_KINDS if k not in ("won", "wrong_number")] + ["dance"]).split(":") + [None])[:2]
+        ev, outcome = (rng.choice([k for k in transitions.EVENT_KINDS if k not in ("won", "wrong_number")] + ["dance"]).split(":") + [None])[:2]
         rows.append({"event_id": n, "lead_id": rng.randrange(9), "ev": ev, "outcome": outcome, "at": T + dt.timedelta(hours=2 * n, minutes=rng.randrange(50)), "days": rng.choice([None, 0, 3])})
     evs = events(spark, rows)
     want, want_acts, want_err = cadence.log_events(leads, evs)
