@@ -34,11 +34,11 @@ ROWS = 8192
 #: Bound of the sample of pivots; it is the only thing that the driver and all tasks hold.
 PIVOTS = 1024
 #: The last halved radius; below it all vectors are nodes of their own.
-LEAST_RADIUS = 2.0**-10
+LEAST_RADIUS = 2.0**-6
 #: Allowance of distance bounds for rounding: doubles, and 32-bit products that only prune.
 CLOSE, ROUGH = 1e-7, 1e-4
-#: Pairs of children from which on two nodes are met by a product of blocks.
-BROAD = 4096
+#: Pairs of children from which on two nodes are met by a product of blocks, and what a single pair costs beside one in a product.
+BROAD, SINGLE_COST = 4096, 20
 
 
 def usable(vector: Column) -> Column:
@@ -76,19 +76,20 @@ class CoverTree:
     def __init__(self, x: np.ndarray, weights: np.ndarray):
         self.x, n = x, len(x)
         self.rough = x.astype(np.float32)
-        self.level, self.parent, self.apart = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        near = np.full(n, -2.0)  # the largest cosine to a node so far, and that node
+        self.level, self.parent = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        near = np.full(n, -2.0, np.float32)  # about the largest cosine to a node so far, and that node
         owner = np.zeros(n, np.int64)
         rest = np.arange(1, n)
         self._meet(np.zeros(1, np.int64), rest, near, owner)
         radius, self.depth = 1.0, 0
         while len(rest):
             self.depth += 1
-            self.parent[rest], self.apart[rest] = owner[rest], distance(near[rest])
+            self.parent[rest] = owner[rest]
             fresh = self._net(rest, radius, near, owner) if radius >= LEAST_RADIUS else rest
             self.level[fresh] = self.depth
             rest = rest[self.level[rest] == 0]
             radius /= 2
+        self.apart = distance(np.einsum("ij,ij->i", x, x[self.parent]))  # in doubles: covering radii are measured, however nodes were chosen
         radii, weight = np.zeros(n), weights.astype(np.int64).copy()
         self.radius, self.weight, self.fresh = [radii.copy()], [weight.copy()], []
         for k in range(self.depth, 0, -1):
@@ -104,7 +105,7 @@ class CoverTree:
         """Tell ``others`` of the new ``nodes``."""
         for i in range(0, len(others), 4096):
             part = others[i : i + 4096]
-            c = self.x[part] @ self.x[nodes].T
+            c = self.rough[part] @ self.rough[nodes].T
             at = c.argmax(axis=1)
             best = c[np.arange(len(part)), at]
             better = best > near[part]
@@ -116,7 +117,7 @@ class CoverTree:
         far = rest[near[rest] < reach]
         while len(far):
             batch = far[:256]
-            close = self.x[batch] @ self.x[batch].T >= reach
+            close = self.rough[batch] @ self.rough[batch].T >= reach
             taken, free = [], np.ones(len(batch), bool)
             for i in range(len(batch)):
                 if free[i]:
@@ -142,6 +143,14 @@ class CoverTree:
         new = self.fresh[k] if k < self.depth else np.zeros(0, np.int64)
         return np.where(number > 0, new[np.minimum(begin[nodes] + number - 1, len(new) - 1)], nodes) if len(new) else nodes
 
+    def nodes_below(self, k: int, nodes: np.ndarray) -> np.ndarray:
+        """The nodes of level k + 1 below ``nodes`` of level k."""
+        if k >= self.depth:
+            return nodes
+        above = np.zeros(len(self.x), bool)
+        above[nodes] = True
+        return np.concatenate([nodes, self.fresh[k][above[self.parent[self.fresh[k]]]]])
+
     def at(self, what: list[np.ndarray], k: int) -> np.ndarray:
         return what[min(k, self.depth)]
 
@@ -167,19 +176,26 @@ def linked(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.nd
     reach, offset = float(distance(np.float64(cosine))), 0 if a is b else len(a.x)
     given: tuple[dict, dict, dict, dict] = ({}, {}, {}, {})
     links: list[np.ndarray] = []
-    pairs, k = np.zeros((2, 1), np.int64), 0
-    met = _sorted_out(a, b, pairs, 0, reach, cosine, given, links, offset)
-    while met.shape[1]:
+    pairs = np.zeros((2, 1), np.int64)
+    waiting = {0: [_sorted_out(a, b, pairs, 0, reach, cosine, given, links, offset)]}
+    while waiting:
+        k = min(waiting)
+        met = np.concatenate(waiting.pop(k), axis=1)
         begin_a, many_a = a.below(k)
         begin_b, many_b = b.below(k)
         size = many_a[met[0]] * many_b[met[1]]
         kept = []
         for p, q in met[:, size >= BROAD].T:  # nodes with many children: products of blocks
-            ca, cb = (tree.child(k, np.full(many[node], node), begin, np.arange(many[node])) for tree, begin, many, node in ((a, begin_a, many_a, p), (b, begin_b, many_b, q)))
-            rb = b.at(b.radius, k + 1)
+            ca, cb, deep = a.nodes_below(k, np.array([p])), b.nodes_below(k, np.array([q])), k + 1
+            while deep < max(a.depth, b.depth):
+                la, lb = a.nodes_below(deep, ca), b.nodes_below(deep, cb)
+                if len(la) * len(lb) * (1 - SINGLE_COST * _undecided(a, b, ca, cb, deep, reach)) > len(ca) * len(cb):
+                    break  # else a product one level down costs less than to follow what this one leaves open
+                ca, cb, deep = la, lb, deep + 1
+            rb = b.at(b.radius, deep)
             for part in (cb[rb[cb] == 0], cb[rb[cb] > 0]):
-                for found in _near(a, b, ca, part, a.at(a.radius, k + 1), rb, reach) if len(part) else ():
-                    kept.append(_sorted_out(a, b, found, k + 1, reach, cosine, given, links, offset))
+                for found in _near(a, b, ca, part, a.at(a.radius, deep), rb, reach) if len(part) else ():
+                    waiting.setdefault(deep, []).append(_sorted_out(a, b, found, deep, reach, cosine, given, links, offset))
         met, size = met[:, size < BROAD], size[size < BROAD]
         ends = np.cumsum(size)
         start = 0
@@ -192,13 +208,21 @@ def linked(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.nd
             some = np.stack([a.child(k, p[of], begin_a, at // wide), b.child(k, q[of], begin_b, at % wide)])
             kept.append(_sorted_out(a, b, some, k + 1, reach, cosine, given, links, offset))
             start = end
-        met, k = np.concatenate(kept, axis=1) if kept else pairs[:, :0], k + 1
+        waiting.setdefault(k + 1, []).extend(kept)
+        waiting = {level: parts for level, parts in waiting.items() if any(part.shape[1] for part in parts)}
     sums_a, more_a = a.spread(given[0], given[1])
     sums_b, more_b = b.spread(given[2], given[3]) if offset else (None, [])
     all_links = [*links, *more_a, *(m + offset for m in more_b)]
     return sums_a, sums_b, np.concatenate(all_links, axis=1) if all_links else pairs[:, :0]
 
 
+def _undecided(a: CoverTree, b: CoverTree, ca: np.ndarray, cb: np.ndarray, k: int, reach: float) -> float:
+    """About which share of the pairs of nodes of level k is neither too far apart nor near enough to count as a whole; from a few rows."""
+    some = ca[:: max(1, len(ca) // 64)]
+    d, r = distance(a.rough[some] @ b.rough[cb].T), a.at(a.radius, k)[some][:, None] + b.at(b.radius, k)[cb]
+    return float(((d <= r + reach) & (d + r > reach) & (r > 0)).mean())
+
+
 def _near(a: CoverTree, b: CoverTree, ca: np.ndarray, cb: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float) -> list[np.ndarray]:
     """Pairs of nodes that covering radii can't part, by 32-bit products with an allowance; in tiles."""
     found, widest = [], rb[cb].max()
