@@ -91,7 +91,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score): the softmax of the mean answer over all windows of the whole text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 8 << 20):
+        for batch in batches_of(batches, 2 << 20):
             names, top = answers(batch, "lettered", model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(top, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -114,7 +114,7 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model, lettered, columns = fit(docs), free_name(docs, "lettered"), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 8 << 20):
+        for batch in batches_of(batches, 2 << 20):
             names, top = answers(batch, lettered, model)
             yield batch.filter(pa.array((np.array(names) != "und") & (top >= least))).select(columns)
 

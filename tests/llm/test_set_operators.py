@@ -105,6 +105,34 @@ def test_jaccard_small(docs_of):
     assert got == sorted(map(str, [(None, 1, 5), (5, 1, 5), (5, 1, 5), (None, 1, None)]))
 
 
+def test_jaccard_of_rows_without_ids(docs_of):
+    """Rows without an id link like others; the least id of a component names it."""
+    words = [f"w{i}" for i in range(100)]
+    other = [f"x{i}" for i in range(100)]
+    rows = [(5, " ".join(words)), (None, " ".join([*words[:99], "new"])), (9, " ".join([*words[:98], "new", "er"])), (None, " ".join(other)), (None, " ".join([*other, "y"])), (None, "alone")]
+    got = sorted(str((r.doc_id, r.component_id)) for r in jaccard.join_components(docs_of(rows)).collect())
+    assert got == sorted(map(str, [(5, 5), (None, 5), (9, 5), (None, None), (None, None), (None, None)]))
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_unlinked_group_costs_few_comparisons(docs_of, monkeypatch, with_base):
+    """300 near copies of one text, most of which do not link with each other."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 20)  # the lists of short groups are met in full
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(3)}" if rng.random() < 0.3 else f"e{i}x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(copy)))
+    compared, real = [], jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda met, have: (compared.append(met.count()), real(met, have))[1])
+    got = sorted(tuple(r) for r in jaccard.join_components(docs_of(rows)).collect())
+    assert got == brute_components(rows, 4, 85) and len({c for _, _, c in got}) > 100
+    assert sum(compared) < 300 * 9, compared
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200, 320)] + [(1000, i) for i in range(1001, 1060)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(150)]
