@@ -1,8 +1,11 @@
 """Secret scans with DataFrame functions only.
 
 Three kinds follow fixed patterns.  A fourth, ``entropy``, slides a window over each character class's tokens inside candidate strings
-and keeps the candidates where one token reaches the entropy limit of its class, whatever stands around it; counts and the sum of
-c * log2(c) change by two steps per character, and an allow-list suppresses tokens that are known to be harmless.  A match's place comes from the lengths of what lies between matches, so positions are characters, ends exclusive.
+and keeps the candidates where one token reaches the entropy limit of its class, whatever stands around it.  The sum of c * log2(c)
+over a window's counts changes by two terms per character; tokens are read in blocks, up to the first window over the limit, and those with too few different characters not at all.
+An allow-list suppresses tokens that are known to be harmless.  A match's place comes from the lengths of what lies between matches, so positions are characters, ends exclusive.
+
+Patterns never try a text in two ways (their repeated groups are possessive), and running sums are taken in two levels, so the work of a text follows its length.
 
 Defined results: a null text counts as empty and has no span; ties of start are ordered by kind as listed; repeated rows are scanned
 each for itself; a null id stays null; other columns are not read.
@@ -10,6 +13,8 @@ each for itself; a null id stays null; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +27,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
+#: Windows that are read before the limit is looked at; numbers that are summed before the sums are.
+BLOCK, PART = 64, 256
 #: Entropy in bits per character that a window of a class has to reach; log2(20) = 4.32 is the most a window can have.
 CLASS_LIMITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.8}
 #: The tokens of each class inside a candidate.  Hex digits may stand in groups; base64 and paths look alike, so its token is the candidate.
 TOKENS = (
-    ("hex", r"[0-9a-f]{4,}(?:[-_][0-9a-f]{4,})*"),
-    ("hex", r"[0-9A-F]{4,}(?:[-_][0-9A-F]{4,})*"),
+    ("hex", r"[0-9a-f]{4,}+(?:[-_][0-9a-f]{4,}+)*+"),
+    ("hex", r"[0-9A-F]{4,}+(?:[-_][0-9A-F]{4,}+)*+"),
     ("alphanumeric", rf"[A-Za-z0-9]{{{WINDOW},}}"),
     ("base64", rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"),
 )
 #: Candidates and tokens that match one of these are no secrets: identifiers in groups, one repeated character, words joined, keys of manuals.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(.)\1+$",
-    r"^[-_/+]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})([-_/+]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_/+]*$",
+    r"^(.)\1++$",
+    r"^[-_/+]*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)(?:[-_/+]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+[-_/+]*+$",
     r"[A-Za-z0-9]EXAMPLE(KEY)?$",
 )
 #: Parts of a candidate that are taken out before its tokens are read: identifiers in groups, and words that stand for a value.  What
@@ -46,49 +53,78 @@ TAKEN_OUT = (
 )
 
 
+def let(expr: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(expr)`` with ``expr`` evaluated once."""
+    return F.get(F.transform(F.array(expr), use), F.lit(0))
+
+
+def sums_before(numbers: Column) -> Column:
+    """The sum of all earlier numbers, for each of ``numbers``: inside parts of PART, then over the parts."""
+    start = F.array(F.lit(0).cast("long"))
+    running = lambda part: F.aggregate(part, start, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    def of_parts(parts: Column) -> Column:
+        totals = running(F.transform(parts, lambda p: F.element_at(p, -1)))
+        moved = F.zip_with(parts, F.slice(totals, 1, F.size(parts)), lambda p, t: F.transform(F.slice(p, 1, F.size(p) - 1), lambda n: n + t))
+        return F.flatten(moved)
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(PART)), lambda i: running(F.slice(all_, i + 1, PART)))
+    return let(numbers, lambda all_: let(cut(all_), of_parts))
+
+
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, value>> of the leftmost matches of ``pattern`` that don't overlap."""
-    gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+    def placed(pairs: Column) -> Column:
+        before = sums_before(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"])))
+
+        def span(pair: Column, at: Column) -> Column:
+            begin = (at + F.length(pair["gap"])).cast("int")
+            return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + F.length(pair["value"])).alias("end"), pair["value"].alias("value"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda s: s["found"])
+        return F.zip_with(pairs, before, span)
 
+    pairs = let(values, lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))))
+    return let(pairs, placed)
 
-def peak_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy (bits per character) of any ``window`` characters in a row of ``value``.
 
-    State: a count for each character and s = sum of c * log2(c).  One character in and one out change two terms of s; the entropy
-    is log2(window) - s / window.
+def reaches(value: Column, limit: Column, window: int = WINDOW) -> Column:
+    """Whether the Shannon entropy (bits per character) of any ``window`` characters in a row of ``value`` is ``limit`` or more.
+
+    The entropy of a window is log2(window) - s / window with s = sum of c * log2(c) over the counts c of its characters; one character in
+    and one out change two terms of s.  Windows are read in blocks of BLOCK, until one reaches the limit.
     """
-    chars = F.transform(F.split(value, ""), F.ascii)
     term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"))
+    count = lambda codes, x: F.size(F.filter(codes, lambda y: y == x))
+    full = F.log2(F.lit(float(window)))
+
+    def in_block(codes: Column, first: Column) -> Column:
+        # before the first window: s of its characters, each adding what its count grows by
+        begun = F.aggregate(
+            F.sequence(F.lit(1), F.lit(window)), F.lit(0.0),
+            lambda s, j: let(count(F.slice(codes, first, j), F.element_at(codes, first + j - 1)), lambda c: s + term(c) - term(c - 1)),
+        )
+        start = F.struct(begun.alias("s"), begun.alias("least"))
+
+        def step(state: Column, at: Column) -> Column:
+            # the window from ``at``: the one before it loses its first character, and gains one
+            kept, out, new = F.slice(codes, at, window - 1), F.element_at(codes, at - 1), F.element_at(codes, at + window - 1)
+            lost = count(kept, out)
+            gained = count(kept, new)
+            s = state["s"] - term(lost + 1) + term(lost) + term(gained + 1) - term(gained)
+            return let(s, lambda s: F.struct(s.alias("s"), F.least(s, state["least"]).alias("least")))
 
-    def change(counts: Column, code: Column, by: int) -> Column:
-        # one slot changes: what lies before it, the slot, what lies after it
-        return F.concat(F.slice(counts, 1, code), F.array(F.get(counts, code) + by), F.slice(counts, code + 2, F.lit(128)))
+        last = F.least(first + (BLOCK - 1), F.size(codes) - (window - 1))
+        others = F.filter(F.sequence(first, last), lambda i: i > first)
+        return full - F.aggregate(others, start, step, lambda s: s["least"]) / window
 
-    def step(state: Column, at: Column) -> Column:
-        new = F.get(chars, at)
-        c = F.get(state["counts"], new)
-        up, s_up = change(state["counts"], new, 1), state["s"] + term(c + 1) - term(c)
-        old = F.get(chars, at - window)
-        d = F.get(up, old)
-        full = at >= window
-        counts = F.when(full, change(up, old, -1)).otherwise(up)
-        s = F.when(full, s_up - term(d) + term(d - 1)).otherwise(s_up)
-        top = F.when(at >= window - 1, F.greatest(state["top"], F.log2(F.lit(float(window))) - s / window)).otherwise(state["top"])
-        return F.struct(counts.alias("counts"), s.alias("s"), top.alias("top"))
+    def in_codes(codes: Column) -> Column:
+        enough = (F.size(codes) >= window) & (F.log2(F.size(F.array_distinct(codes)).cast("double")) >= limit)
+        blocks = F.sequence(F.lit(1), F.greatest(F.size(codes) - (window - 1), F.lit(1)), F.lit(BLOCK))
+        return F.when(enough, F.exists(blocks, lambda first: in_block(codes, first) >= limit)).otherwise(F.lit(False))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, step, lambda s: s["top"])
+    return let(F.transform(F.split(value, ""), F.ascii), in_codes)
 
 
 def harmless(value: Column) -> Column:
@@ -118,7 +154,7 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = given(text.rlike(r"(?i)passw|secret|token|api_?key"), F.filter(spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LENGTH))
     access = given(text.contains("AKIA"), spans_of(text, ACCESS, 1))
     digits = given(text.rlike(HEX), spans_of(text, HEX, 2))
-    secret = lambda v: F.exists(tokens(v), lambda t: peak_entropy(t["value"]) >= t["limit"])
+    secret = lambda v: F.exists(tokens(v), lambda t: reaches(t["value"], t["limit"]))
     entropy = given(text.rlike(CANDIDATE), F.filter(F.filter(spans_of(text, CANDIDATE, 3), lambda s: ~harmless(s["value"])), lambda s: secret(s["value"])))
     found = F.array_sort(F.transform(F.concat(assign, access, digits, entropy), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", found.alias("found"))
