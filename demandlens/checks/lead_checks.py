@@ -160,6 +160,31 @@ def lead_export(spark, d):
     )
 
 
+_EXPORTED = "['=1+1', '@note', '+plus', '-minus', 'plain', '+91 1'][id % 6 + 1]"
+
+
+@check(
+    "lead_export_all",
+    f"""SELECT name, area, city, CASE WHEN regexp_matches(phone, '^[+][^0-9 (]') THEN '''' || phone ELSE phone END AS phone, wa AS whatsapp, website,
+  'a' || id || '@x.example' AS email, coalesce(regexp_replace(CAST(rating AS VARCHAR), '\\.0$', ''), '') AS rating, coalesce(CAST(reviews AS VARCHAR), '') AS reviews,
+  CAST(score AS VARCHAR) AS score, stage, CAST(touches AS VARCHAR) AS touches, coalesce(next_action, '') AS next_action,
+  coalesce(strftime(next_followup, '%Y-%m-%dT%H:%M:%S.000Z'), '') AS next_followup, strftime(created + INTERVAL 1 HOUR * (id % 50), '%Y-%m-%dT%H:%M:%S.000Z') AS last_contacted,
+  coalesce(has_app, '') AS has_app, CASE WHEN id % 6 < 4 THEN '''' ELSE '' END || {_EXPORTED} AS notes, 'https://maps.example/' || id AS maps_url FROM v_leads""",
+    _V,
+)
+def lead_export_all(spark, d):
+    """All 18 columns, with notes that a spreadsheet would take for formulas."""
+    i = F.col("id")
+    notes = F.get(F.array(*[F.lit(x) for x in ("=1+1", "@note", "+plus", "-minus", "plain", "+91 1")]), (i % 6).cast("int"))
+    rows = v.leads(spark, d).withColumns(
+        {
+            "email": F.concat(F.lit("a"), i.cast("string"), F.lit("@x.example")), "notes": notes, "maps_url": F.concat(F.lit("https://maps.example/"), i.cast("string")),
+            "last_contacted": F.col("created") + F.make_dt_interval(hours=(i % 50).cast("int")),
+        }
+    )
+    return L.export_leads(rows).drop("id", "_score")
+
+
 @check(
     "csv_safe",
     r"""SELECT o_orderkey, CASE WHEN regexp_matches(cell, '^(=|@|[+-][^0-9\s(])') THEN '''' || cell ELSE cell END AS cell FROM (

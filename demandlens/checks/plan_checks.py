@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from demandlens import fixed
 from demandlens.checks import phrase_views as v
 from demandlens.checks.registry import check, table, view
+from demandlens.operators.ordering import global_rank
 from demandlens.plans import attempts, places, tasks
 from demandlens.plans.grid import cover_grid
 
@@ -343,3 +344,48 @@ def grid(spark, d):
     k = F.col("c_custkey")
     cities = table(spark, d, "customer").select(k, (-40.0 + k % 80).alias("lat"), (-100.0 + k % 200).alias("lng"))
     return cover_grid(cities, 0, 0).select("c_custkey", "point_no", "p_lat", "p_lng", "radius")
+
+
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+
+
+@check(
+    "admit_all",
+    f"""SELECT plan_id, ord, CAST(allowed AS BIGINT) AS allowed, CASE WHEN failed THEN 0 ELSE least(needed, allowed) END AS used, allowed > 0 AS admitted FROM (
+  SELECT *, least(3, greatest(0, budget - coalesce(prior, 0))) AS allowed FROM (
+    SELECT *, sum(CASE WHEN failed THEN 3 ELSE needed END) OVER (PARTITION BY plan_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+      count(*) OVER (PARTITION BY plan_id) AS budget FROM (
+      SELECT l_suppkey % 3 AS plan_id, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY {', '.join(_LINE)}) AS ord, CAST(l_quantity AS INT) % 3 + 1 AS needed,
+        l_returnflag = 'R' AND l_linestatus = 'F' AS failed FROM lineitem)))""",
+)
+def admit_all(spark, d):
+    """Every line is a search with a place of its own in the plan's order; the budget ends midway."""
+    lines = table(spark, d, "lineitem").select((F.col("l_suppkey") % 3).alias("plan_id"), *_LINE)
+    ranked = global_rank(lines, ["plan_id"], [F.col(c) for c in _LINE], "ord", "budget")
+    todo = ranked.select(
+        "plan_id", "ord", "budget", F.lit(3).alias("pages"), (F.col("l_quantity").cast("int") % 3 + 1).alias("needed"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("failed"),
+    )
+    return places.admit_tasks(todo, F.col("budget")).select("plan_id", "ord", "allowed", "used", "admitted")
+
+
+_PAGE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+
+
+@check(
+    "follow_all_pages",
+    f"""SELECT search_no, page, results FROM (SELECT *, count(*) FILTER (results < 20 OR token = '') OVER (PARTITION BY search_no ORDER BY page
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM (
+  SELECT l_orderkey AS search_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_PAGE)}) AS page, CASE WHEN l_quantity > 8 THEN 20 ELSE CAST(l_quantity AS INT) END AS results,
+    CASE WHEN l_returnflag = 'R' THEN '' ELSE 'next' END AS token FROM lineitem))
+WHERE stops = 0 AND page <= 3""",
+)
+def follow_all_pages(spark, d):
+    """Every line is a page, numbered within its order."""
+    lines = global_rank(table(spark, d, "lineitem").select("l_orderkey", *_PAGE), ["l_orderkey"], [F.col(c) for c in _PAGE], "page")
+    pages = lines.select(
+        F.col("l_orderkey").alias("search_no"), "page",
+        F.when(F.col("l_quantity") > 8, 20).otherwise(F.col("l_quantity").cast("int")).alias("results"),
+        F.when(F.col("l_returnflag") == "R", "").otherwise("next").alias("token"),
+    )
+    return places.follow_pages(pages).select("search_no", "page", "results")

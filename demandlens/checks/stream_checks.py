@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
@@ -99,3 +100,66 @@ def stream_keywords(spark, d):
         "search_id", "rank", "phrase", F.array_join("sources", "+").alias("sources"), "occ", "score", "band", "intent", "place",
         F.col("fringe").cast("int").alias("fringe"),
     )
+
+
+@check(
+    "stream_lead_log",
+    f"""SELECT 'activity' AS kind, f.lead_id, f.event_id, f.ev AS type, coalesce(f.step, '') AS step, coalesce(e.lang, l.lang) AS lang,
+  CASE WHEN e.body <> '' THEN e.body ELSE coalesce(e.outcome, e.reason, '') END AS body, {v.stamp_sql('e."at"')} AS "at"
+FROM v_fold f JOIN v_events e ON e.event_id = f.event_id JOIN v_leads l ON l.id = f.lead_id
+UNION ALL SELECT 'error', lead_id, event_id, ev, NULL, NULL, CASE WHEN ev = 'dance' THEN 'Unknown event dance' ELSE 'Lead not found' END, {v.stamp_sql('"at"')} FROM v_events
+WHERE ev = 'dance' OR lead_id NOT IN (SELECT id FROM v_leads)""",
+    ("v_fold",),
+)
+def stream_lead_log(spark, d):
+    """All activities and errors, over four micro-batches in the order of the events' times."""
+    events = c.events(spark, d)
+    edges = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
+    early = events.join(events.agg(*[F.percentile_approx("at", q).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]), how="cross")  # one row
+    piece = sum((F.col("at") > F.col(f"q{i}")).cast("int") for i in range(len(edges)))
+    stream = pieces(spark, early.withColumn("_piece", piece).select(*events.columns, "_piece"), len(edges) + 1)
+    out = drain(live.lead_stream(stream, v.leads(spark, d)))
+    return out.filter("kind <> 'due'").select("kind", "lead_id", "event_id", "type", "step", "lang", "body", v.stamp("at").alias("at"))
+
+
+def pieces(spark, df: DataFrame, n: int) -> DataFrame:
+    """A stream that brings the rows of each ``_piece`` in a micro-batch of its own."""
+    root = folder(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for i in range(n):
+        df.filter(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(df.drop("_piece").schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@check(
+    "stream_breaker_mixed",
+    "SELECT search_id, source, seq, outcome, strikes, errs, CASE WHEN seq >= off_at THEN off_at END AS off_at, skipped FROM v_breaker",
+    ("v_breaker",),
+)
+def stream_breaker_mixed(spark, d):
+    """The breaker over five micro-batches whose rows come out of order; each micro-batch is handed over twice."""
+    from demandlens.checks.plan_checks import outcomes
+
+    tried = outcomes(spark, d).select("search_id", "source", "seq", "outcome", F.timestamp_seconds("seq").alias("at"))
+    n = tried.agg(F.max("seq") + 1).first()[0]
+    late = F.pmod(F.xxhash64("seq"), F.lit(max(1, n // 10)))
+    piece = F.least(F.floor((F.col("seq") + late) * 5 / n), F.lit(4))
+    root = folder(spark)
+    judge = live.judge_attempts(root, dt.timedelta(seconds=n // 10 + 1))
+    drain_updates(pieces(spark, tried.withColumn("_piece", piece), 5), lambda rows, i: (judge(rows, i), judge(rows, i))[0])
+    live.finish_attempts(spark, root)
+    # what is judged before a source is switched off can't tell yet when that will be
+    return live.judged(spark, root).withColumn("off_at", F.when(F.col("seq") >= F.col("off_at"), F.col("off_at")))
+
+
+@check(
+    "activity_once",
+    f"""SELECT id, lead_id, type, step, 'en' AS lang, body, {v.stamp_sql('"at"')} AS "at" FROM v_act""",
+    ("v_act",),
+)
+def activity_once(spark, d):
+    """Activities in four batches, each written twice."""
+    root, acts = folder(spark), v.activities(spark, d).withColumn("lang", F.lit("en"))
+    for batch in (0, 1, 1, 0, 2, 3, 3, 2):
+        tables.commit_activities(acts.filter(F.pmod("id", F.lit(4)) == batch), root, batch)
+    return tables.read_activities(spark, root).withColumn("at", v.stamp("at"))

@@ -30,13 +30,17 @@ def classify_attempts(tries: DataFrame, keys: tuple[str, ...] = ("search_id", "s
     )
 
 
-def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source"), chunk: int | None = None) -> DataFrame:
+def breaker(
+    attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source"), chunk: int | None = None, start: DataFrame | None = None
+) -> DataFrame:
     """Running strikes and errors of every source since its last ok, when it is switched off, and what is skipped after that.
 
     ``attempts(keys..., seq, outcome)``: ``seq`` is an integer, unique per source; a cached answer has outcome ``cached`` and
     touches no counter.  Adds ``strikes``, ``errs`` (after the attempt), ``off_at`` (seq of the attempt that switches the source
     off) and ``skipped``.  The order of attempts is that of ``seq``.  A source may hold any share of the rows: counts run inside
     range partitions (about ``chunk`` rows each, if set), and only one summary row per partition meets the others of its source.
+
+    ``start(keys..., strikes0, errs0, off0, reason0)``: counts of sources that had attempts before these, and where they were switched off.
     """
     keys = list(keys)
     ok, rate, err = F.col("outcome") == "ok", F.col("outcome") == "rate", F.col("outcome") == "err"
@@ -55,32 +59,39 @@ def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("search_id", "source")
     totals = per_chunk.withColumns({f"_b{c}": F.coalesce(F.sum(c).over(until), F.lit(0)) for c in ("_r", "_e")})
     carry = totals.select(
         *keys, "_chunk", "_b_r", "_b_e",
-        *[F.coalesce(F.max(F.col(f"_b{c}") + F.col(f"{c}_ok")).over(until), F.lit(0)).alias(f"_base{c}") for c in ("_r", "_e")],
+        *[F.max(F.col(f"_b{c}") + F.col(f"{c}_ok")).over(until).alias(f"_base{c}") for c in ("_r", "_e")],
     )
+    none = {"strikes0": "long", "errs0": "long", "off0": "long", "reason0": "string"}
+    if start is not None:
+        carry = ordering.same_keys(carry, start.select(*keys, *none), keys, "left")
+    else:
+        carry = carry.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()})
+    # before the first ok of all, the counts go on from those at the start
+    for c, n in (("_r", "strikes0"), ("_e", "errs0")):
+        carry = carry.withColumn(f"_base{c}", F.coalesce(f"_base{c}", -F.col(n), F.lit(0)))
     joined = ordering.same_keys(local, carry, [*keys, "_chunk"])
 
     def since_ok(c: str) -> Column:
         return F.col(c) - F.coalesce(F.col(f"{c}_ok"), F.col(f"_base{c}") - F.col(f"_b{c}"))
 
-    since = joined.withColumns({"strikes": since_ok("_r"), "errs": since_ok("_e")}).select(*attempts.columns, "strikes", "errs")
+    since = joined.withColumns({"strikes": since_ok("_r"), "errs": since_ok("_e")}).select(*attempts.columns, "strikes", "errs", "off0", "reason0")
     trips = ((F.col("outcome") == "rate") & (F.col("strikes") >= MAX_STRIKES)) | (
         (F.col("outcome") == "err") & (F.col("errs") >= MAX_ERRORS)
     )
     off = since.filter(trips).groupBy(*keys).agg(F.min("seq").alias("off_at"), F.min_by("outcome", "seq").alias("off_reason"))
-    return ordering.same_keys(since, off, keys, "left").withColumn(
-        "skipped", F.coalesce(F.col("seq") > F.col("off_at"), F.lit(False))
-    )
+    out = ordering.same_keys(since, off, keys, "left").withColumns({"off_at": F.coalesce("off0", "off_at"), "off_reason": F.coalesce("reason0", "off_reason")})
+    return out.drop("off0", "reason0").withColumn("skipped", F.coalesce(F.col("seq") > F.col("off_at"), F.lit(False)))
 
 
 def switched_off(breaker_rows: DataFrame) -> DataFrame:
     return breaker_rows.filter(F.col("seq") == F.col("off_at")).select("search_id", "source", "off_at", "off_reason")
 
 
-def scan_summary(breaker_rows: DataFrame, phrases: DataFrame, stopped: DataFrame | None = None) -> DataFrame:
+def scan_summary(breaker_rows: DataFrame, phrases: DataFrame, stopped: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
     """Per scan: done, total, requests, cached, distinct phrases, status and the sentences about switched-off sources.
 
     ``breaker_rows`` needs ``requests``; ``phrases(search_id, phrase)`` holds distinct phrases; ``stopped(search_id)`` lists
-    scans the user ended.
+    scans the user ended.  ``planned(search_id, total)`` holds how many tasks were planned, of which ``done`` were taken up; without it all were.
     """
     kept = ~F.col("skipped")
     per_scan = breaker_rows.groupBy("search_id").agg(
@@ -104,6 +115,9 @@ def scan_summary(breaker_rows: DataFrame, phrases: DataFrame, stopped: DataFrame
         .select("search_id", F.array_join(F.transform("n", lambda x: x["s"]), " ").alias("note"))
     )
     found = phrases.groupBy("search_id").agg(F.count(F.lit(1)).alias("phrases"))
+    if planned is not None:
+        known = planned.groupBy("search_id").agg(F.max("total").alias("_planned"))
+        per_scan = per_scan.join(known, "search_id", "left").withColumn("total", F.coalesce("_planned", "total")).drop("_planned")
     out = per_scan.join(notes, "search_id", "left").join(found, "search_id", "left")
     aborted = F.lit(False)
     if stopped is not None:

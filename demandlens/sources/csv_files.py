@@ -11,6 +11,9 @@ from demandlens import fixed
 from demandlens.functions import text
 
 
+MOST_COLUMNS = 256  # of a CSV file
+
+
 def _norm(s: str) -> str:
     return re.sub(r"\s+", " ", (s or "").lower()).strip()
 
@@ -64,16 +67,31 @@ def _leading_number(c: Column) -> Column:
 
 
 def read_leads_csv(spark: SparkSession, path: str, aliases=None) -> DataFrame:
-    """A lead CSV; quoted cells may hold commas, quotes and line breaks.
+    """Lead CSV files, each with a header row of its own; quoted cells may hold commas, quotes and line breaks.
 
-    Files are read in parallel, one task per file: a quoted line break makes a single file unsplittable.
+    Files are read in parallel, one task per file: a quoted line break makes a single file unsplittable.  Their header rows are
+    compared first; files with like headers are then read together, each group by its own columns.
     """
     reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    head = reader.option("header", False).csv(path).first()
-    raw = reader.option("header", True).csv(path)
-    if head is None or raw.isEmpty():
+    cells = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).option("header", False).csv(path)
+    numbered = rows.select(F.array(*cells).alias("cells"), "_metadata.file_path", F.monotonically_increasing_id().alias("_n"))
+    first = numbered.groupBy("file_path").agg(F.min_by("cells", "_n").alias("cells"))
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for r in first.orderBy("file_path").toLocalIterator():  # a header row a file
+        used = max((i + 1 for i, c in enumerate(r.cells) if c is not None), default=0)
+        heads.setdefault(tuple(c or "" for c in r.cells[:used]), []).append(r.file_path)
+    parts = []
+    for head, same in heads.items():
+        raw = reader.schema(", ".join(f"`_c{i}` string" for i in range(len(head)))).option("header", True).option("enforceSchema", True).csv(same)
+        parts.append((raw, head))
+    parts = [(raw, head) for raw, head in parts if not raw.isEmpty()]
+    if not parts:
         raise ValueError("The file has no rows.")
-    return leads_from_table(raw, aliases, [h or "" for h in head])
+    out = [leads_from_table(raw, aliases, list(head)) for raw, head in parts]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

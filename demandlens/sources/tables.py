@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.operators.leads import EXTRA_TYPE
+from demandlens.sources.ledger import Ledger
 
 SCHEMAS = {
     "searches": "id long, seed string, country string, lang string, city string, depth string, sources array<string>, requests int, "
@@ -47,6 +48,18 @@ def append_activities(activities: DataFrame, root: str) -> None:
     activities.write.mode("append").parquet(f"{root}/activities")
 
 
+def commit_activities(activities: DataFrame, root: str, batch: int | str) -> bool:
+    """Append a batch of activities once: writing it again, as a retried job or a repeated micro-batch does, adds nothing."""
+    ledger = Ledger(activities.sparkSession, f"{root}/activity_log")
+    done = ledger.commit(batch, append={"activities": activities.select(*[c.split()[0] for c in SCHEMAS["activities"].split(", ")])})
+    ledger.compact("activities", SCHEMAS["activities"])
+    return done
+
+
+def read_activities(spark: SparkSession, root: str) -> DataFrame:
+    return Ledger(spark, f"{root}/activity_log").read("activities", SCHEMAS["activities"])
+
+
 def drop_scans(searches: DataFrame, keywords: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the scans in ``ids(id)``."""
     return searches.join(ids, "id", "left_anti"), keywords.join(

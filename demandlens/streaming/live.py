@@ -5,17 +5,21 @@ from __future__ import annotations
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from demandlens.operators import phrases
+from demandlens.operators import ordering, phrases
 from demandlens.operators import transitions as rules
+from demandlens.plans import attempts
 from demandlens.plans.attempts import MAX_ERRORS, MAX_STRIKES
 from demandlens.plans.places import utc_day
+from demandlens.session import pin
 from demandlens.sources import tables
+from demandlens.sources.ledger import Ledger
 
 DAY_US = 86_400_000_000
+NO_TIME = -(1 << 62)
 
 
 # --- phrase table, republished while a scan runs ----------------------------------------------------------------------------
@@ -215,9 +219,9 @@ class BreakerProcessor(StatefulProcessor):
         pass
 
 
-def breaker_stream(attempts: DataFrame) -> DataFrame:
-    """Streaming twin of ``attempts.breaker``; attempts of a source must arrive in the order of ``seq`` across micro-batches."""
-    return attempts.groupBy("search_id", "source").transformWithState(
+def breaker_stream(tried: DataFrame) -> DataFrame:
+    """Streaming twin of ``attempts.breaker`` for attempts that arrive in the order of ``seq``, source by source; see ``judge_attempts`` for others."""
+    return tried.groupBy("search_id", "source").transformWithState(
         statefulProcessor=BreakerProcessor(),
         outputStructType="search_id long, source string, seq long, outcome string, skipped boolean, off_at long",
         outputMode="Append",
@@ -225,53 +229,56 @@ def breaker_stream(attempts: DataFrame) -> DataFrame:
     )
 
 
-# --- cache and counters -------------------------------------------------------------------------------------------------------
+WAITING = "search_id long, source string, seq long, outcome string, at timestamp"
+SWITCHES = "search_id long, source string, strikes0 long, errs0 long, off0 long, reason0 string"
+JUDGED = "search_id long, source string, seq long, outcome string, strikes long, errs long, off_at long, skipped boolean"
 
 
-class AskedProcessor(StatefulProcessor):
-    """When a key was last fetched; a task within ``ttl_us`` of that is answered from the cache."""
+def judge_attempts(root: str, delay: dt.timedelta):
+    """A ``foreachBatch`` function: the breaker over attempts (search_id, source, seq, outcome, at) that come in any order within ``delay``.
 
-    def __init__(self, ttl_us: int) -> None:
-        self.ttl_us = ttl_us
+    Attempts wait in a buffer until others that are ``delay`` newer have come; then they are judged in the order of ``seq`` by the
+    batch breaker, which goes on from each source's counts.  Its work is cut into range partitions, so one source may hold any share
+    of a batch; what is kept of a source is one row.  Attempts that come in after that are too late and are left out.  A micro-batch that is repeated changes nothing.
+    Read the answers with ``judged``.
+    """
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("asked", "asked_us long")
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        _judge(Ledger(batch.sparkSession, root), batch.select(*[c.split()[0] for c in WAITING.split(", ")]), batch_id, delay)
 
-    def handleInputRows(self, key, rows, timerValues):
-        asked = self.state.get()[0] if self.state.exists() else None
-        for r in sorted(rows, key=lambda r: r["at_us"]):
-            hit = asked is not None and asked + self.ttl_us >= r["at_us"]
-            if not hit:
-                asked = r["at_us"]
-            yield Row(k=key[0], at_us=r["at_us"], hit=hit)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.state.update((asked,))
-        self.handle.registerTimer((asked + self.ttl_us) // 1000 + 1)
+    return judge
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield from ()
 
-    def close(self) -> None:
-        pass
+def finish_attempts(spark: SparkSession, root: str) -> None:
+    """Judge what still waits; for a stream that has ended."""
+    _judge(Ledger(spark, root), spark.createDataFrame([], WAITING), "end", None)
 
 
-def cache_stream(tasks: DataFrame, ttl_days: int = 14, delay: str = "1 hour") -> DataFrame:
-    """Tasks (k, at) with ``hit``: false when the key has to be fetched, true within ``ttl_days`` of the last fetch.
+def judged(spark: SparkSession, root: str) -> DataFrame:
+    return Ledger(spark, root).read("judged", JUDGED)
 
-    The state of a key goes when the watermark passes its expiry.
-    """
-    out = (
-        tasks.withWatermark("at", delay)
-        .select("k", "at", F.unix_micros("at").alias("at_us"))
-        .groupBy("k")
-        .transformWithState(
-            statefulProcessor=AskedProcessor(ttl_days * DAY_US), outputStructType="k string, at_us long, hit boolean", outputMode="Append", timeMode="EventTime"
-        )
-    )
-    return out.select("k", F.timestamp_micros("at_us").alias("at"), "hit")
+
+def _judge(ledger: Ledger, new: DataFrame, batch_id: int | str, delay: dt.timedelta | None) -> None:
+    notes = ledger.manifest()["notes"]
+    if ledger.committed(batch_id):
+        return
+    keys, at = ["search_id", "source"], F.unix_micros("at")
+    new = pin(new if "limit" not in notes else new.filter(at > notes["limit"]))
+    newest = max(x for x in (new.agg(F.max(at)).first()[0], notes.get("newest"), NO_TIME) if x is not None)
+    limit = newest - delay // dt.timedelta(microseconds=1) if delay is not None else newest
+    rows = new.unionByName(ledger.read("waiting", WAITING))
+    start = ledger.read("switches", SWITCHES)
+    told = pin(attempts.breaker(rows.filter(at <= limit), tuple(keys), start=start).select(*[c.split()[0] for c in JUDGED.split(", ")], "off_reason"))
+    last = told.groupBy(*keys).agg(F.max_by(F.struct("strikes", "errs", "off_at", "off_reason"), "seq").alias("s"))
+    moved = last.select(*keys, F.col("s.strikes").alias("strikes0"), F.col("s.errs").alias("errs0"), F.col("s.off_at").alias("off0"), F.col("s.off_reason").alias("reason0"))
+    switches = ordering.same_keys(start, moved, keys, "left_anti").unionByName(moved)
+    ledger.commit(
+        batch_id, append={"judged": told.drop("off_reason")}, replace={"waiting": rows.filter(at > limit), "switches": switches},
+        notes={"newest": newest, "limit": max(limit, notes.get("limit", NO_TIME))},
+    )
+
+
+# --- counters -----------------------------------------------------------------------------------------------------------------
 
 
 def daily_usage(log: DataFrame, delay: str = "1 hour") -> DataFrame:

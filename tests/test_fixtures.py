@@ -241,6 +241,14 @@ def test_csv_round_trip(spark, tmp_path):
     bad.write_text("foo,bar\n1,2\n")
     with pytest.raises(ValueError, match="name column"):
         csv_files.read_leads_csv(spark, str(bad))
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.csv").write_text('name,phone,city\n"One",111,Salem\n')
+    (mixed / "b.csv").write_text("city,rating,title\nErode,4.5,Two\n")
+    (mixed / "c.csv").write_text('name,phone,city\n"Three, Ltd",333,Theni\n')
+    (mixed / "empty.csv").write_text("")
+    got = sorted((r.name, r.phone, r.city, r.rating) for r in csv_files.read_leads_csv(spark, str(mixed)).collect())
+    assert got == [("One", "111", "Salem", None), ("Three, Ltd", "333", "Theni", None), ("Two", "", "Erode", 4.5)]
     prepared = leads.prepare_leads(csv_files.read_leads_csv(spark, str(path)), "import", "abacus", "csv import").orderBy(F.col("name").desc()).first()
     assert (prepared.area, prepared.source, prepared.seed, prepared.query) == ("Adyar", "import", "abacus", "csv import")
     out = str(tmp_path / "out")

@@ -2,15 +2,18 @@
 
 import datetime as dt
 import random
+from zoneinfo import ZoneInfo
 
 import pytest
 from lead_tables import lead_rows
+from pyspark.sql import functions as F
 from test_cadence import EVENT_SCHEMA, events
 
 from demandlens import fixed
 from demandlens.operators import cadence, phrases, transitions
 from demandlens.plans import attempts, places
 from demandlens.sources import tables
+from demandlens.sources.ledger import Ledger
 from demandlens.streaming import live
 
 T = dt.datetime(2024, 1, 10)
@@ -102,15 +105,53 @@ def test_phrase_table(spark, tmp_path):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
-def test_cache_and_counters(spark, tmp_path):
-    df = spark.createDataFrame([("a", T, "places", 2), ("a", T + dt.timedelta(days=3), "places", 1), ("b", T, "geo", 1), ("z", T + dt.timedelta(days=60), "geo", 1), ("a", T + dt.timedelta(days=61), "places", 4)], "k string, at timestamp, api string, n int")
-    pieces = ["at < '2024-01-11'", "at between '2024-01-11' and '2024-02-01'", "k = 'z'", "k = 'a' and at > '2024-03-01'"]
-    stream = as_stream(spark, df, str(tmp_path / "a"), pieces)
-    asked = drain(live.cache_stream(stream.select("k", "at")), str(tmp_path / "a")).collect()
-    assert sorted((r.k, (r.at - T).days, r.hit) for r in asked) == [("a", 0, False), ("a", 3, True), ("a", 61, False), ("b", 0, False), ("z", 60, False)]
-    stream = as_stream(spark, df, str(tmp_path / "b"), pieces)
+def test_counters(spark, tmp_path):
+    df = spark.createDataFrame([(T, "places", 2), (T + dt.timedelta(days=3), "places", 1), (T, "geo", 1), (T + dt.timedelta(days=60), "geo", 1), (T + dt.timedelta(days=61), "places", 4)], "at timestamp, api string, n int")
+    stream = as_stream(spark, df, str(tmp_path / "b"), ["at < '2024-01-11'", "at between '2024-01-11' and '2024-02-01'", "n = 1 and at > '2024-03-01'", "n = 4"])
     seen = []
     q = live.daily_usage(stream.select("at", "api", "n")).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "b" / "cp"))
     q.foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
     want = places.usage_daily(df).collect()
     assert {(r.day, r.api): r.n for r in seen} == {(r.day, r.api): r.n for r in want}
+
+
+def test_attempts_out_of_order(spark, tmp_path):
+    """Five micro-batches in mixed order, one of them twice; rows that come after the delay are left out."""
+    rng = random.Random(6)
+    rows = [(1, rng.choice("aab"), n, rng.choice(["ok", "rate", "rate", "err", "err", "err", "cached"]), T + dt.timedelta(seconds=n)) for n in range(400)]
+    rows += [(2, None, n, "rate", T + dt.timedelta(seconds=n)) for n in range(0, 400, 9)]
+    df = spark.createDataFrame(rows, live.WAITING)
+    judge, root = live.judge_attempts(str(tmp_path / "led"), dt.timedelta(seconds=120)), str(tmp_path / "led")
+    for i in range(5):
+        part = df.filter(f"floor((seq + (seq * 7919) % 90) / 100) = {i}").orderBy(F.rand(i))
+        judge(part, i)
+        if i == 2:
+            judge(part, i)
+    judge(spark.createDataFrame([(1, "a", 1000, "ok", T)], live.WAITING), 5)  # too late
+    live.finish_attempts(spark, root)
+    want = {(r.search_id, r.source, r.seq): (r.strikes, r.errs, r.off_at if r.skipped else None, r.skipped) for r in attempts.breaker(df).collect()}
+    got = live.judged(spark, root).collect()
+    assert {(r.search_id, r.source, r.seq): (r.strikes, r.errs, r.off_at if r.skipped else None, r.skipped) for r in got} == want and len(got) == len(rows)
+
+
+def test_ledger_takes_a_batch_once(spark, tmp_path):
+    root = str(tmp_path)
+    acts = spark.createDataFrame([(i, i % 3, "sent", "first", "en", "", T) for i in range(40)], tables.SCHEMAS["activities"])
+    for batch in (0, 1, 1, 0, 2, 2):
+        tables.commit_activities(acts.filter(f"id % 3 = {batch}"), root, batch)
+    assert sorted(tables.read_activities(spark, root).collect()) == sorted(acts.collect())
+    ledger = Ledger(spark, f"{root}/activity_log")
+    two = Ledger(spark, f"{root}/activity_log")
+    now = ledger.manifest()
+    assert two._publish({**now, "number": now["number"] + 1}) and not ledger._publish({**now, "number": now["number"] + 1})  # one of two writers wins
+    assert ledger.commit(3, append={"activities": acts.limit(0)}) and ledger.compact("activities", tables.SCHEMAS["activities"], most=2)
+    assert len(ledger.manifest()["tables"]["activities"]) == 1 and ledger.read("activities", tables.SCHEMAS["activities"]).count() == 40
+
+
+def test_rules_in_another_zone(spark):
+    """Eleven o'clock of the zone, also after the clocks change."""
+    zone = ZoneInfo("Europe/Berlin")
+    state = dict.fromkeys(live.LeadProcessor.FIELDS) | {"stage": "new", "wa": "9", "phone_type": "mobile", "touches": 0}
+    at = dt.datetime(2024, 3, 30, 15, tzinfo=zone)
+    live.apply_event(state, "sent", int(at.timestamp()) * 1_000_000, None, None, None, zone)
+    assert dt.datetime.fromtimestamp(state["followup_us"] / 1e6, zone) == dt.datetime(2024, 3, 31, 11, tzinfo=zone)
