@@ -6,8 +6,8 @@ of very long index lists last, then by hash): two linked sets share one of them.
 Skipping within lists: entries are met by blocks of like size; the position of an entry bounds the size of its partners too, so blocks
 beyond are skipped; a pair is skipped when size or position leave too few shingles that could be common, and a second bound uses both prefixes.
 
-Skipping by set relations: instead of all pairs of a list, a few leaders are compared with the list's entries, those first whose sets have
-the fewest rare shingles, since they lie in the middle of a group.  What links to a leader joins
+Skipping by set relations: instead of all pairs of a list, a few leaders are compared with the list's entries, and among them the one whose set has
+the fewest rare shingles, since it lies in the middle of a group.  What links to a leader joins
 its component, and entries of one component are never compared again: their answers follow from the leader's.  Of entries that did not link
 the overlap with the leader is kept: two that were compared with the same leader can have no more in common than either has with it, and than
 either has beside it, so most such pairs are settled without reading their sets.  A leader leaves its
@@ -114,17 +114,27 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
-def late_shingles(*lists: DataFrame) -> np.ndarray:
-    """The shingles (t) with the longest lists, MOST_LATE at most: which ones are sent to the end changes cost, never results."""
-    counted = [x.groupBy("t").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST) for x in lists]
-    longest = counted[0] if len(counted) == 1 else counted[0].union(counted[1]).groupBy("t").agg(F.max("m").alias("m"))
+def late_shingles(*counts: DataFrame) -> np.ndarray:
+    """The shingles (t) with the longest lists, MOST_LATE at most, by counts (t, m): which ones are sent to the end changes cost, never results."""
+    long_ones = [x.groupBy("t").agg(F.sum("m").alias("m")).filter(F.col("m") > LONG_LIST) for x in counts]
+    longest = long_ones[0] if len(long_ones) == 1 else long_ones[0].union(long_ones[1]).groupBy("t").agg(F.max("m").alias("m"))
     return np.sort(np.array([r.t for r in longest.orderBy(F.desc("m"), "t").limit(MOST_LATE).collect()], np.int64))
 
 
+def counted(sets_: DataFrame) -> DataFrame:
+    """(t, m): how often each shingle is in the sets (s) of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, m = np.unique(batch.column("s").flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(m, pa.int64())], ["t", "m"])
+
+    return sets_.select("s").mapInArrow(run, "t long, m long")
+
+
 def postings_of(table: DataFrame) -> DataFrame:
-    """(t, c, n, pos, u): the index entries of the classes' prefixes (or heads); ``u`` counts the shingles in short lists at the prefix's start."""
-    rare = F.size(F.filter("prefix", lambda x: x < LATE)).alias("u")
-    return table.select(F.col("doc_id").alias("c"), "n", rare, F.posexplode("prefix").alias("pos", "t")).select("t", "c", "n", F.col("pos").cast("long").alias("pos"), "u")
+    """(t, c, n, pos, u): the index entries of the classes' prefixes; ``u`` counts the shingles in short lists at the prefix's start."""
+    return table.select(F.col("doc_id").alias("c"), "n", "u", F.posexplode("prefix").alias("pos", "t")).select("t", "c", "n", F.col("pos").cast("long").alias("pos"), "u")
 
 
 def needed(a: Column, b: Column, percent: int) -> Column:
@@ -173,29 +183,27 @@ def referred(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_lists(entries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """The entries of lists with several components, with their own ``root``, the list's length ``m``, its largest component (``main``, of ``most``
-    entries), and the smallest count of rare shingles in it (``least_u``, of ``least_m`` entries)."""
-    low = F.min(F.struct("u", "m")).alias("low")
+    entries), and the class whose set has the fewest rare shingles (``first``)."""
+    first = F.min(F.struct("u", F.xxhash64("c").alias("h"), "c")).alias("low")
     if roots is None:
         named = entries.withColumn("root", F.col("c"))
-        parts = named.groupBy("t", "u").agg(F.count("*").alias("m"), F.max("c").alias("main"))
-        lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max("main").alias("main"), low).filter("m > 1").withColumn("most", F.lit(1).cast("long"))
+        lists = entries.groupBy("t").agg(F.count("*").alias("m"), F.max("c").alias("main"), first).filter("m > 1").withColumn("most", F.lit(1).cast("long"))
     else:
         named = entries.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
-        parts = named.groupBy("t", "root", "u").agg(F.count("*").alias("m")).groupBy("t", "root").agg(F.sum("m").alias("m"), low)
+        parts = named.groupBy("t", "root").agg(F.count("*").alias("m"), first)
         lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"), F.min("low").alias("low"))
         lists = lists.select("t", "m", F.col("top.root").alias("main"), F.col("top.m").alias("most"), "low").filter("m > most")
-    return named.join(lists.withColumns({"least_u": F.col("low.u"), "least_m": F.col("low.m")}).drop("low"), "t")
+    return named.join(lists.withColumn("first", F.col("low.c")).drop("low"), "t")
 
 
 def leads(k: int) -> Column:
-    """Whether an entry leads: about k of each list from outside its largest component, all if there are fewer, and about k of those whose
-    set has the fewest rare shingles: they are the likeliest to link with the others.
+    """Whether an entry leads: about k of each list from outside its largest component, all if there are fewer, and the one whose
+    set has the fewest rare shingles: it is the likeliest to link with the others.
 
     Leaders are chosen by a hash of the class and the round, so that lists that overlap choose the same.
     """
     draw = (F.xxhash64(F.lit(k), "c") / F.lit(2.0**64)) + 0.5
-    central = (F.col("u") == F.col("least_u")) & (draw * F.col("least_m") <= k)
-    return (F.col("root") != F.col("main")) & ((draw * (F.col("m") - F.col("most")) <= k) | central)
+    return (F.col("root") != F.col("main")) & ((draw * (F.col("m") - F.col("most")) <= k) | (F.col("c") == F.col("first")))
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,16 +212,17 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, prefix): prefixes in an order that puts shingles of long lists last, from heads (HEAD-fold prefixes by hash); and the sets that were read for it.
+    """(doc_id, n, prefix, u): prefixes in an order that puts shingles of long lists last, from heads (HEAD-fold prefixes by hash); and the sets that were read for it.
 
     The first shingles of a head that aren't late are the prefix.  Where a head holds too few of them, as in groups of near copies, the
     whole sets are read, and their shingles counted too, so that all that a group shares comes late.
     """
     heads = reps.select("doc_id", "n", "prefix")
-    some = late_shingles(postings_of(heads))
+    of_heads = heads.select(F.explode("prefix").alias("t"), F.lit(1).alias("m"))
+    some = late_shingles(of_heads)
     few = shelf.put(reordered(heads, some, percent).filter("prefix IS NULL").select("doc_id"))
     wholes = shelf.put(sets(picked(docs, few), words))
-    late = late_shingles(postings_of(heads), wholes.select(F.explode("s").alias("t")))
+    late = late_shingles(of_heads, counted(wholes))
     ordered = shelf.put(reordered(heads, late, percent))
     lacking = ordered.filter("prefix IS NULL").select("doc_id", "n")
     more = shelf.put(lacking.select("doc_id").join(few, "doc_id", "left_anti"))
@@ -230,14 +239,15 @@ def reordered(heads: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = []
+            prefixes, rare = [], []
             for n, head in zip(batch.column("n").to_pylist(), batch.column("prefix")):
                 s, length = head.values.to_numpy(), prefix_length(n, percent)
                 s = np.sort(s + _in(s, late) * LATE)
                 prefixes.append(s[:length] if len(s) == n or s[length - 1] < LATE else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), _lists(prefixes)], ["doc_id", "n", "prefix"])
+                rare.append(int(np.searchsorted(s[:length], LATE)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), _lists(prefixes), pa.array(rare, pa.int32())], ["doc_id", "n", "prefix", "u"])
 
-    return heads.mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return heads.mapInArrow(run, "doc_id long, n long, prefix array<long>, u int")
 
 
 def pairs_of(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
