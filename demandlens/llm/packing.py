@@ -1,9 +1,12 @@
 """Hierarchical packing of token streams into context windows of several lengths.
 
 Documents are tokenised and routed by length: whole windows of the longest tier leave at once, what remains goes to the shortest tier
-that holds it.  Each tier is packed best-fit, gaps of long windows are filled from shorter tiers, and what is left over is cut at
-powers of two, which need no padding.  Tasks pack what they read, in bounded rounds, so nothing is shuffled and no task holds more than
-one round and one document.  Sequences are dealt to step groups so that the groups of a tier differ by one sequence at most in a task.
+that holds it.  Each tier is packed into windows of its own length, the longest first: a document opens a window, its gap takes the best
+fitting whole documents of its own and shorter tiers, and then the beginning of the shortest one, cut so that the window is full.  Tier
+lengths are powers of two, so full windows need no padding; the few that nothing is left for are laid end to end and cut at powers of two.
+Tasks pack what they read, in bounded rounds, so nothing is shuffled and no task holds more than
+one round and one document.  Sequences of each length are dealt to step groups in turn, from a group that depends on the task, so that the groups
+of a length differ by one sequence at most in a task and no group gets the rest of all tasks.
 
 Defined results: a null text counts as empty, and a document without a token still has its end id; rows that repeat are packed each
 for itself; an empty table gives no rows; ids may be null; other columns are not read.
@@ -12,6 +15,7 @@ for itself; an empty table gives no rows; ids may be null; other columns are not
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,14 +39,16 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The byte-level encoder of a vocabulary file of ranks, made once per process.  Strings of special tokens are ordinary text."""
+    """The byte-level encoder of a vocabulary file of ranks, made once per process; added tokens are read from the JSON file beside it."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[path]
 
 
@@ -55,8 +61,10 @@ def vocabulary() -> str:
 class Packer:
     """Packs pieces (row, start, ids) of one round; ``rows`` fill up with output tuples."""
 
-    def __init__(self, first_id: int, window: int, tiers: tuple[int, ...]):
-        self.next, self.window, self.tiers, self.rows, self.dealt = first_id, window, tiers, [], {}
+    def __init__(self, task: int, window: int, tiers: tuple[int, ...]):
+        self.next, self.window, self.tiers, self.rows = task << 40, window, tiers, []
+        self.dealt: dict[int, int] = {}
+        self.first_turn = zlib.crc32(str(task).encode()) % STEP_GROUPS
         self.waiting: list[tuple[int, int, int, np.ndarray]] = []
         self.held = 0
 
@@ -83,7 +91,7 @@ class Packer:
             self.emit(head)
             pieces, total = rest, total - size
         padded = total if not total & (total - 1) else self.window
-        turn = self.dealt[padded] = self.dealt.get(padded, -1) + 1
+        turn = self.dealt[padded] = self.dealt.get(padded, self.first_turn + padded.bit_length()) + 1
         offset = 0
         for doc_id, start, tokens, ids in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
@@ -95,33 +103,49 @@ class Packer:
         """Pack all that waits."""
         by_tier: dict[int, list[tuple[int, int]]] = {t: [] for t in self.tiers}
         for i, piece in enumerate(self.waiting):
-            by_tier[self.tiers[bisect_left(self.tiers, len(piece[3]))]].append((len(piece[3]), i))
+            by_tier[self._tier(len(piece[3]))].append((len(piece[3]), i))
         for tier in self.tiers:
             by_tier[tier].sort()
-        open_windows: list[tuple[int, int]] = []  # (room left, number), in order of room
-        content: list[list[int]] = []
-        for tier in reversed(self.tiers):  # long documents open windows, shorter tiers fill the gaps, best fit first
-            for size, i in reversed(by_tier[tier]):
-                at = bisect_left(open_windows, (size, -1))
-                if at < len(open_windows):
-                    room, number = open_windows.pop(at)
-                else:
-                    room, number = self.window, len(content)
-                    content.append([])
-                content[number].append(i)
-                if room > size:
-                    insort(open_windows, (room - size, number))
         short: list[tuple] = []
-        for number, room in [(n, r) for r, n in open_windows]:
-            if room > self.window // 64:  # too much padding: its pieces are joined with others of that kind and cut
-                short += [self.waiting[i] for i in content[number]]
-                content[number] = []
-        for number in range(len(content)):
-            if content[number]:
-                self.emit([self.waiting[i] for i in content[number]])
+        for tier in reversed(self.tiers):
+            while by_tier[tier]:
+                size, i = by_tier[tier].pop()
+                content, room = [self.waiting[i]], tier - size
+                while room:
+                    piece = self._fitting(by_tier, room) or self._cut(by_tier, room)
+                    if piece is None:
+                        break
+                    content.append(piece)
+                    room -= len(piece[3])
+                if room:
+                    short += content
+                else:
+                    self.emit(content)
         self.chain(short)
         self.waiting, self.held = [], 0
 
+    def _tier(self, size: int) -> int:
+        return self.tiers[bisect_left(self.tiers, size)]
+
+    def _fitting(self, by_tier: dict[int, list[tuple[int, int]]], room: int) -> tuple | None:
+        """The longest piece that ``room`` holds."""
+        for tier in self.tiers[bisect_left(self.tiers, room) :: -1]:
+            at = bisect_left(by_tier[tier], (room + 1, -1)) - 1
+            if at >= 0:
+                return self.waiting[by_tier[tier].pop(at)[1]]
+        return None
+
+    def _cut(self, by_tier: dict[int, list[tuple[int, int]]], room: int) -> tuple | None:
+        """The first ``room`` ids of the shortest piece; all pieces are longer than that.  What follows goes on waiting."""
+        for tier in self.tiers:
+            if by_tier[tier]:
+                _, i = by_tier[tier].pop(0)
+                doc_id, start, tokens, ids = self.waiting[i]
+                self.waiting[i] = doc_id, start + room, tokens, ids[room:]
+                insort(by_tier[self._tier(len(ids) - room)], (len(ids) - room, i))
+                return doc_id, start, tokens, ids[:room]
+        return None
+
     def chain(self, pieces: list[tuple]) -> None:
         """Lay pieces end to end, cut at window borders; the last, short sequence is cut at powers of two."""
         now, room = [], self.window
@@ -146,11 +170,15 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, tiers: tup
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary_path).encode_ordinary
-        packer = Packer(TaskContext.get().partitionId() << 40, window, tiers)
+        own = encoder(vocabulary_path)
+        added = {s for s in own.special_tokens_set if s}
+        packer = Packer(TaskContext.get().partitionId(), window, tiers)
         for batch in batches_of(batches, 4 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc_id, np.array([*encode(text.as_py() or ""), END], np.uint32))
+                words = text.as_py() or ""
+                special = any(s in words for s in added)
+                ids = own.encode(words, allowed_special=added, disallowed_special=()) if special else own.encode_ordinary(words)
+                packer.add(doc_id, np.array([*ids, END], np.uint32))
                 if packer.held >= round_tokens:
                     packer.pack()
             if packer.rows:

@@ -225,6 +225,7 @@ def test_packing(docs_of, round_tokens):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice(["the ", "Cat's ", "été  ", "\n\n", "12345 ", "ñandú, ", "\t x", "zzq"]) for _ in range(rng.choice([0, 3, 90, 700, 2500])))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, LONG[:90_000]), (103, "same"), (103, "same"), (None, "no id \u3000 end")]
+    rows += [(104, "a <|endoftext|>b  <|endoftext|> <|endoftext|"), (105, "<|endoftext|>")]
     got = packing.pack(docs_of(rows).repartition(3), packing.vocabulary(), round_tokens=round_tokens).collect()
     ids = {i: [*own.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     pieces = {}
@@ -246,6 +247,21 @@ def test_packing(docs_of, round_tokens):
     assert packing.pack(docs_of([]), packing.vocabulary()).collect() == []
 
 
+def test_tiers_have_windows_of_their_own(docs_of):
+    rng = random.Random(5)
+    docs = docs_of([(i, LONG[: rng.choice([40, 200, 800, 3000, 5000])]) for i in range(150)]).coalesce(1)
+    lengths = {}
+    for tiers in (packing.TIERS, (2048,)):
+        rows = packing.pack(docs, packing.vocabulary(), tiers=tiers).collect()
+        totals = Counter()
+        for r in rows:
+            totals[r.sequence_id] += r.length
+        lengths[tiers] = Counter(totals.values())
+        assert all(not n & (n - 1) for n in totals.values())  # nothing is padded
+    assert lengths[packing.TIERS][1024] > 3 and lengths[packing.TIERS] != lengths[(2048,)], lengths
+    assert lengths[(2048,)][2048] > 20 and sum(lengths[(2048,)][t] for t in packing.TIERS[:-1]) < 8
+
+
 def test_packing_balances_steps(docs_of):
     rows = packing.pack(docs_of([(i, LONG[: 500 * i]) for i in range(40)]).coalesce(1), packing.vocabulary()).collect()
     groups = {}
