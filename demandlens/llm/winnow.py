@@ -23,7 +23,7 @@ from demandlens.llm.common import Shelf, batches_of
 K, W = 16, 48
 #: Characters of text that one task is meant to hold, for dealing out neighbouring documents.
 PART_CHARS = 24_000_000
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
 
 
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +132,7 @@ def with_neighbours(docs: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
 
 
 def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Fingerprints of every text and of its edited form (``SCHEMA``).
+    """Fingerprints of every text and of its edited form (``SCHEMA``), with the positions (in characters) of all kept hashes.
 
     The edited form replaces the last quarter of the characters by the first as many of the next document by id.  A table of one
     document is its own neighbour.
@@ -145,24 +145,26 @@ def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             for part, turn, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("turn").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 codes = codes_of(text)
-                now = (part, doc_id, text, codes, np.unique(winnow(codes, k, w)[0]))
+                hashes, at = winnow(codes, k, w)
+                now = (part, doc_id, text, codes, np.unique(hashes), at.astype(np.int32))
                 if last is not None and last[0] == part:
                     rows.append(judged(last, now))
                 last = None if turn else now  # what follows a part has its own row in the next
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def judged(last: tuple, now: tuple) -> tuple:
-        _, doc_id, text, codes, own = last
+        _, doc_id, text, codes, own, at = last
         q = len(codes) // 4
         head = now[3][:q]
         edited = codes[: len(codes) - q]
         edited = np.concatenate([edited.astype(np.uint32), head.astype(np.uint32)]) if q else codes
-        other = np.unique(winnow(edited, k, w)[0]) if q else own
+        hashes, other_at = winnow(edited, k, w) if q else (own, at)
+        other = np.unique(hashes)
         sha = hashlib.sha256((text[: len(codes) - q] + now[2][:q]).encode()).hexdigest()
-        return doc_id, len(codes), sha, text_of(own), text_of(other), likeness(own, other), likeness(own, now[4])
+        return doc_id, len(codes), sha, text_of(own), text_of(other), likeness(own, other), likeness(own, now[4]), at, other_at.astype(np.int32)
 
     return with_neighbours(docs).mapInArrow(run, SCHEMA)

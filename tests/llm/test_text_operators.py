@@ -206,6 +206,9 @@ def test_compare_edited(docs_of, monkeypatch, part_chars):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.near_edited, r.near_next) == pytest.approx((like(sets[0], sets[1]), like(sets[0], sets[2])))
         assert r.fingerprint == "".join(f"{h:08x}" for h in sorted(sets[0]))
+        for text, at in ((t, r.positions), (edited, r.edited_positions)):
+            if len(text) <= 400:
+                assert at == [p for _, p in brute_winnow([ord(c) for c in text], winnow.K, winnow.W)]
 
 
 def test_compare_edited_small(docs_of):
