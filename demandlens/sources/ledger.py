@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,14 +60,20 @@ class Ledger:
     def committed(self, batch: int | str) -> bool:
         return batch in self.manifest()["batches"]
 
-    def commit(self, batch: int | str, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, notes: dict | None = None) -> bool:
-        """Add rows to tables, or put rows in the place of all that tables held, as one step; False if the batch was there already."""
+    def commit(
+        self, batch: int | str, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, notes: dict | None = None,
+        by: tuple[str, ...] = (),
+    ) -> bool:
+        """Add rows to tables, or put rows in the place of all that tables held, as one step; False if the batch was there already.
+
+        ``by``: columns whose values get folders of their own, so that readers can leave others out.
+        """
         if self.committed(batch):
             return False
         written = {}
         for name, df in {**(append or {}), **(replace or {})}.items():
             written[name] = f"{name}/{uuid.uuid4()}"
-            df.write.parquet(f"{self.root}/{written[name]}")
+            df.write.partitionBy(*by).parquet(f"{self.root}/{written[name]}")
         while True:
             now = self.manifest()
             if batch in now["batches"]:
@@ -81,15 +89,21 @@ class Ledger:
         folders = self.manifest()["tables"].get(name, [])
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+        return self._union(folders, schema)
+
+    def _union(self, folders: list[str], schema: str) -> DataFrame:
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{f}") for f in folders]
+        for more in parts[1:]:
+            parts[0] = parts[0].unionByName(more)
+        return parts[0]
 
-    def compact(self, name: str, schema: str, most: int = 16) -> bool:
-        """Store a table of more than ``most`` parts as one part; batches that come in meanwhile stay beside it."""
+    def compact(self, name: str, schema: str, most: int = 16, by: tuple[str, ...] = (), fold: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+        """Store the parts of a table as one if there are more than ``most``, ``fold`` applied; batches that come in meanwhile stay beside it."""
         old = self.manifest()["tables"].get(name, [])
         if len(old) <= most:
             return False
-        folder = f"{name}/{uuid.uuid4()}"
-        self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in old]).write.parquet(f"{self.root}/{folder}")
+        folder, rows = f"{name}/{uuid.uuid4()}", self._union(old, schema)
+        (fold(rows) if fold else rows).write.partitionBy(*by).parquet(f"{self.root}/{folder}")
         while True:
             now = self.manifest()
             parts = now["tables"].get(name, [])

@@ -105,6 +105,26 @@ def test_phrase_table(spark, tmp_path):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
+def test_published_batches_read_a_bounded_log(spark, tmp_path):
+    """Twenty batches: the parts and files that a batch reads do not grow, and a repeated batch changes nothing."""
+    root, scans = str(tmp_path), spark.createDataFrame([(i, "abacus", ["google"]) for i in range(4)], "search_id long, seed string, sources array<string>")
+    publish, parts, files = live.publish_keywords(scans, root), [], []
+    newest = {}
+    for batch in range(20):
+        rows = [(batch % 4, f"abacus {n}", ["google"], batch + 1, 0.5) for n in range(batch, batch + 5)]
+        newest |= {(r[0], r[1]): r[3] for r in rows}
+        changed = spark.createDataFrame(rows, "search_id long, phrase string, sources array<string>, occ long, best double")
+        publish(changed, batch)
+        if batch % 7 == 3:
+            publish(changed, batch)
+        ledger = Ledger(spark, f"{root}/aggregates")
+        parts.append(len(ledger.manifest()["tables"]["phrases"]))
+        files.append(len(ledger.read("phrases", live.STORED).inputFiles()))
+    assert max(parts) <= live.PARTS and max(files[10:]) <= max(files[:10]) + 4
+    got = {(r.search_id, r.phrase): r.occ for r in tables.read_table(spark, root, "keywords").collect()}
+    assert got == newest
+
+
 def test_counters(spark, tmp_path):
     df = spark.createDataFrame([(T, "places", 2), (T + dt.timedelta(days=3), "places", 1), (T, "geo", 1), (T + dt.timedelta(days=60), "geo", 1), (T + dt.timedelta(days=61), "places", 4)], "at timestamp, api string, n int")
     stream = as_stream(spark, df, str(tmp_path / "b"), ["at < '2024-01-11'", "at between '2024-01-11' and '2024-02-01'", "n = 1 and at > '2024-03-01'", "n = 4"])
