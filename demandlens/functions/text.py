@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # the ECMAScript whitespace class; Java's \s stops at ASCII, and listing the code points one by one is three times slower
 WHITESPACE = r"[\s\x0B\p{Z}\uFEFF]"
+# a run of whitespace, but for a single space, which stays as it is
+WHITESPACE_RUN = f" ?(?! ){WHITESPACE}{WHITESPACE}*|  {WHITESPACE}*"
 TOKEN_BREAK = r"(?i)[^a-z0-9\u0B80-\u0BFF\u0900-\u097F]+"
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -16,7 +18,7 @@ WORD_END = r"(?![A-Za-z0-9_])"
 
 def norm(c: Column) -> Column:
     """Lower-case, collapse whitespace runs, trim.  NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), WHITESPACE_RUN, " "))
 
 
 def computed_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -45,10 +47,24 @@ def tokens(c: Column) -> Column:
 def word_pattern(alternation: str, ignore_case: bool = False) -> str:
     r"""``\b(...)\b`` with an ASCII notion of a word character, which Java's Unicode ``\b`` is not.
 
-    ``\b`` inside the alternation is rewritten as well.
+    ``\b`` inside the alternation is rewritten as well.  Where all words of the alternation begin with a letter, places that begin with none of
+    these are passed over at once.
     """
     body = alternation.replace(r"\b", f"(?:(?<=[A-Za-z0-9_]){WORD_END}|{WORD_START}(?=[A-Za-z0-9_]))")
-    return ("(?i)" if ignore_case else "") + f"{WORD_START}(?:{body}){WORD_END}"
+    return ("(?i)" if ignore_case else "") + f"{_first_letters(alternation)}{WORD_START}(?:{body}){WORD_END}"
+
+
+def _first_letters(alternation: str) -> str:
+    """A look-ahead for the letters that the words of an alternation begin with; '' if one may begin with something else."""
+    words, depth = [""], 0
+    for c in alternation:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            words.append("")
+        else:
+            words[-1] += c
+    plain = all(re.match(r"[a-z](?![?*{])", w) for w in words)
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])" if plain else ""
 
 
 ASCII_BOUNDARY = f"(?:(?<=[A-Za-z0-9_]){WORD_END}|{WORD_START}(?=[A-Za-z0-9_]))"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,13 @@ def strip_html(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
 
 
+def _where(found: Column, low: Column | None, *signs: str) -> Column:
+    """``found`` where the lower-cased page holds one of the signs without which nothing can be found; else what is found in no text."""
+    if low is None:
+        return found
+    return F.when(functools.reduce(lambda a, b: a | b, [low.contains(s) for s in signs]), found)
+
+
 def emails(body: Column, junk: str = fixed.JUNK_EMAIL, most: int = 5) -> Column:
     found = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit("(?i)" + fixed.EMAIL), F.lit(0)), F.lower))
     return F.slice(F.filter(found, lambda e: ~e.rlike("(?i)" + junk)), 1, most)
@@ -28,11 +38,11 @@ def emails(body: Column, junk: str = fixed.JUNK_EMAIL, most: int = 5) -> Column:
 
 def phones(body: Column) -> Column:
     """Ten-digit Indian mobiles in running text, then those of tel: links."""
-    halves = [F.regexp_extract_all(body, F.lit(fixed.MOBILE), F.lit(g)) for g in (1, 2)]
-    written = F.zip_with(*halves, lambda a, b: F.concat(a, b))
+    digits = lambda t: F.right(F.regexp_replace(t, "[^0-9]", ""), F.lit(10))
+    written = F.transform(F.regexp_extract_all(body, F.lit(fixed.MOBILE), F.lit(0)), digits)  # the number is what a match ends with
     dialled = F.transform(
         F.regexp_extract_all(body, F.lit("(?i)" + fixed.TEL_HREF), F.lit(1)),
-        lambda t: F.right(F.regexp_replace(t, "[^0-9]", ""), F.lit(10)),
+        digits,
     )
     return F.array_union(written, F.filter(dialled, lambda d: F.length(d) == 10))
 
@@ -45,9 +55,10 @@ def stores(body: Column) -> Column:
     return F.array_compact(F.array(*[F.when(body.rlike("(?i)" + p), F.lit(label)) for p, label in fixed.STORES]))
 
 
-def portal_words(body: Column) -> Column:
+def portal_words(body: Column, low: Column | None = None) -> Column:
     found = [F.lower(F.regexp_extract(body, text.word_pattern(p, ignore_case=True), 0)) for p in fixed.PORTAL_WORDS]
-    return F.filter(F.array(*found), lambda w: w != "")
+    signs = [re.match("[a-z]+", p)[0] for p in fixed.PORTAL_WORDS]  # the word that each pattern begins with
+    return F.filter(F.array(*[F.coalesce(_where(f, low, sign), F.lit("")) for f, sign in zip(found, signs, strict=True)]), lambda w: w != "")
 
 
 def contact_link(html: Column) -> Column:
@@ -57,19 +68,23 @@ def contact_link(html: Column) -> Column:
 
 def extract(pages: DataFrame, junk: str = fixed.JUNK_EMAIL) -> DataFrame:
     """Add the extracted columns to ``pages(html, ...)`` and drop the html.  Narrow: no shuffle, whole pages."""
-    body = F.col("_body")
-    stripped = text.computed_once(pages.withColumn("contact_link", contact_link(F.col("html"))), "_body", strip_html(F.col("html")))
+    body, low = F.col("_body"), F.col("_low")
+    none = F.when(low.isNotNull(), F.array().cast("array<string>"))
+    blank = F.when(low.isNotNull(), F.lit(""))
+    page = text.computed_once(pages, "_low", F.lower("html"))
+    page = page.withColumn("contact_link", F.coalesce(_where(contact_link(F.col("html")), low, "contact"), blank))
+    stripped = text.computed_once(page, "_body", F.coalesce(_where(strip_html(F.col("html")), low, "<script", "<style"), F.col("html")))
     return stripped.withColumns(
         {
-            "emails": emails(body, junk),
+            "emails": F.coalesce(_where(emails(body, junk), low, "@"), none),
             "phones": phones(body),
-            "wa": wa_links(body),
-            "instagram": F.regexp_extract(body, "(?i)" + fixed.INSTAGRAM, 0),
-            "facebook": F.regexp_extract(body, "(?i)" + fixed.FACEBOOK, 0),
-            "stores": stores(body),
-            "words": portal_words(body),
+            "wa": F.coalesce(_where(wa_links(body), low, "wa.me/", "whatsapp.com/send"), none),
+            "instagram": F.coalesce(_where(F.regexp_extract(body, "(?i)" + fixed.INSTAGRAM, 0), low, "instagram.com/"), blank),
+            "facebook": F.coalesce(_where(F.regexp_extract(body, "(?i)" + fixed.FACEBOOK, 0), low, "facebook.com/"), blank),
+            "stores": F.coalesce(_where(stores(body), low, "play.google", "apps.apple"), F.array().cast("array<string>")),
+            "words": portal_words(body, low),
         }
-    ).drop("_body", "html")
+    ).drop("_body", "_low", "html")
 
 
 def has_app(stores: Column, words: Column) -> Column:
