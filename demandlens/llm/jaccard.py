@@ -114,11 +114,19 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
-def late_shingles(*counts: DataFrame) -> np.ndarray:
-    """The shingles (t) with the longest lists, MOST_LATE at most, by counts (t, m): which ones are sent to the end changes cost, never results."""
-    long_ones = [x.groupBy("t").agg(F.sum("m").alias("m")).filter(F.col("m") > LONG_LIST) for x in counts]
-    longest = long_ones[0] if len(long_ones) == 1 else long_ones[0].union(long_ones[1]).groupBy("t").agg(F.max("m").alias("m"))
-    return np.sort(np.array([r.t for r in longest.orderBy(F.desc("m"), "t").limit(MOST_LATE).collect()], np.int64))
+def long_lists(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, lengths) of the longest lists, MOST_LATE at most, by counts (t, m)."""
+    longest = counts.groupBy("t").agg(F.sum("m").alias("m")).filter(F.col("m") > LONG_LIST).orderBy(F.desc("m"), "t").limit(MOST_LATE)
+    rows = longest.collect()
+    return np.array([r.t for r in rows], np.int64), np.array([r.m for r in rows], np.int64)
+
+
+def late_shingles(*lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles that come last in the order, MOST_LATE at most, those of the longest lists: which ones changes cost, never results."""
+    t, m = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.lexsort((t, -m))
+    _, at = np.unique(t[order], return_index=True)
+    return np.sort(t[order][np.sort(at)[:MOST_LATE]])
 
 
 def counted(sets_: DataFrame) -> DataFrame:
@@ -218,11 +226,10 @@ def index_order(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, perc
     whole sets are read, and their shingles counted too, so that all that a group shares comes late.
     """
     heads = reps.select("doc_id", "n", "prefix")
-    of_heads = heads.select(F.explode("prefix").alias("t"), F.lit(1).alias("m"))
-    some = late_shingles(of_heads)
-    few = shelf.put(reordered(heads, some, percent).filter("prefix IS NULL").select("doc_id"))
+    of_heads = long_lists(heads.select(F.explode("prefix").alias("t"), F.lit(1).alias("m")))
+    few = shelf.put(reordered(heads, late_shingles(of_heads), percent).filter("prefix IS NULL").select("doc_id"))
     wholes = shelf.put(sets(picked(docs, few), words))
-    late = late_shingles(of_heads, counted(wholes))
+    late = late_shingles(of_heads, long_lists(counted(wholes)))
     ordered = shelf.put(reordered(heads, late, percent))
     lacking = ordered.filter("prefix IS NULL").select("doc_id", "n")
     more = shelf.put(lacking.select("doc_id").join(few, "doc_id", "left_anti"))
