@@ -1,8 +1,9 @@
 """Language ID and quality: held-out accuracy, and defined results on hard rows."""
 
+import numpy as np
 import pytest
 
-from demandlens.llm import language, quality
+from demandlens.llm import bytenet, language, quality
 from demandlens.llm.common import read_table
 
 SF = "/root/testdata/sf0.01"
@@ -40,3 +41,58 @@ def test_quality_without_both_labels(spark, docs_of, labelled):
     labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
     got = quality.classify(docs_of([(1, "a text"), (2, None), (None, ""), (3, "x" * 100_000)]), labels).collect()
     assert len(got) == 4 and len({round(r.score, 6) for r in got}) == 1
+
+
+def naive_features(net, window):
+    """Filters at every position of one window, one product after the other; ReLU; the largest of each."""
+    out = []
+    for table, bias in zip(net.tables, net.bias):
+        width, _, filters = table.shape
+        for f in range(filters):
+            answers = [sum(table[j, window[at + j], f] for j in range(width)) + bias[f] for at in range(len(window) - width + 1)]
+            out.append(max(0.0, max(answers)))
+    return np.array(out)
+
+
+def test_convolution_against_a_naive_one():
+    rng = np.random.default_rng(4)
+    net = bytenet.new_net((2, 3, 5), 3, 2, seed=1)
+    for b in net.bias:
+        b += rng.normal(size=b.shape).astype(np.float32)
+    x = rng.integers(0, 256, size=(7, 40)).astype(np.uint8)
+    assert np.allclose(bytenet.pooled(net, x), [naive_features(net, w) for w in x], atol=1e-4)
+
+
+def test_windows_cover_whole_texts():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 256, size=n).astype(np.uint8) for n in (0, 1, 63, 64, 65, 120, 121, 500, 70_000)]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    seen = [np.zeros(len(t), bool) for t in texts]
+    places = [0] * len(texts)
+    for docs, x in bytenet.windows(np.concatenate(texts), at, 64, 56):
+        for d, w in zip(docs, x):
+            start, t = places[d] * 56, texts[d]
+            part = t[start : start + 64]
+            assert (w[: len(part)] == part).all() and not w[len(part) :].any()
+            seen[d][start : start + 64] = True
+            places[d] += 1
+    assert all(s.all() for s in seen) and places[0] == 1
+
+
+def test_language_score_against_a_naive_one(spark, docs_of):
+    """The whole way of one text: windows, filters, maxima, dense layer, mean by filled bytes, softmax."""
+    rows = [(i, f"{'das und ist ' if i % 2 else 'the and that '}" * 9, "de" if i % 2 else "en") for i in range(60)]
+    model = language.fit(docs_of(rows), epochs=2)
+    text = "the und that " * 60 + "ß"
+    got = language.predict(docs_of([(1, text)]), model).collect()[0]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    total, count = 0, 0
+    starts = range(0, max(1, len(raw) - language.OVERLAP), language.WINDOW - language.OVERLAP)
+    for start in starts:
+        window = np.zeros(language.WINDOW, np.uint8)
+        part = raw[start : start + language.WINDOW]
+        window[: len(part)] = part
+        total = total + (naive_features(model.net, window) @ model.net.dense + model.net.offset) * len(part)
+        count += len(part)
+    z = np.exp(total / count - (total / count).max())
+    assert got.score == pytest.approx(float((z / z.sum()).max()), abs=1e-4) and got.lang_pred == model.languages[int(z.argmax())]

@@ -295,3 +295,43 @@ def test_reputation(spark):
     labels = spark.createDataFrame([(int(u.rsplit("/", 1)[1]), q, 0) for u, q in rows] + [(None, 1, 0), (100, 1, 0)], "doc_id long, quality int, toxic int")
     host = {r.host: r.verdict for r in reputation.reputations(pages, labels).collect()}
     assert (host["bad.farm.org"], host["good.org"], host["once.org"], host["new.org"], host["new.farm.org"]) == ("block", "allow", "allow", "allow", "block")
+
+
+def brute_posteriors(counts):
+    """host -> (alpha, beta): (host, good, n), level by level; the level above counts without the member."""
+    suffix = lambda h: h.split(".")[-1]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    total = [sum(g for _, g, _ in counts) + 1.0, sum(n - g for _, g, n in counts) + 1.0]
+    above, out = {"": total}, None
+    for key, up in ((suffix, lambda h: ""), (domain, suffix), (lambda h: h, domain)):
+        table = defaultdict(lambda: [0, 0, None])
+        for h, g, n in counts:
+            row = table[key(h)]
+            row[0], row[1], row[2] = row[0] + g, row[1] + n, up(h)
+        linked = {k: (g, n, max(above[u][0] - g, 1e-3), max(above[u][1] - (n - g), 1e-3)) for k, (g, n, u) in table.items()}
+        mean = {k: a / (a + b) for k, (g, n, a, b) in linked.items()}
+        seen = sum(n * (g / n - mean[k]) ** 2 for k, (g, n, _, _) in linked.items())
+        chance = sum(mean[k] * (1 - mean[k]) for k in linked)
+        room = sum(n * mean[k] * (1 - mean[k]) for k, (_, n, _, _) in linked.items()) - chance
+        between = max((seen - chance) / room, 1e-3) if room > 0 else 1e-3
+        strength = min(max(1 / between - 1, 1.0), 1000.0)
+        out = {}
+        for k, (g, n, a, b) in linked.items():
+            weight = min(strength, a + b)
+            out[k] = (mean[k] * weight + g, (1 - mean[k]) * weight + n - g)
+        above = out
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(8)
+    counts = []
+    for d in range(12):
+        rate = rng.random()
+        for h in range(rng.choice([1, 3, 6])):
+            n = rng.choice([1, 2, 9, 40])
+            counts.append((f"h{h}.d{d}.{rng.choice(['org', 'net']) if d % 3 else 'org'}", sum(rng.random() < rate for _ in range(n)), n))
+    counts = list({c[0]: c for c in counts}.values())
+    got = reputation.posteriors(spark.createDataFrame(counts, "host string, good long, n long"), Shelf(spark))["host"].collect()
+    want = brute_posteriors(counts)
+    assert len(got) == len(want) and all((r.alpha, r.beta) == pytest.approx(want[r.key]) for r in got)
