@@ -208,6 +208,12 @@ def enrich_candidates(spark, d):
     return L.enrich_candidates(v.leads(spark, d), most=100).select("id", "website")
 
 
+@check("enrich_given", "SELECT id, website FROM v_leads WHERE website <> '' AND id % 4 = 1", _V)
+def enrich_given(spark, d):
+    rows = v.leads(spark, d)
+    return L.enrich_candidates(rows, ids=rows.filter("id % 4 = 1").select("id").unionAll(rows.filter("id % 8 = 1").select("id"))).select("id", "website")
+
+
 @check(
     "drop_leads",
     """SELECT a.id FROM v_act a WHERE a.lead_id NOT IN (SELECT id FROM v_leads WHERE score < 40)""",

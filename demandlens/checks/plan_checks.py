@@ -389,3 +389,29 @@ def follow_all_pages(spark, d):
         F.when(F.col("l_returnflag") == "R", "").otherwise("next").alias("token"),
     )
     return places.follow_pages(pages).select("search_no", "page", "results")
+
+
+@check(
+    "admit_until_refused",
+    f"""WITH t AS (SELECT l_suppkey % 5 AS plan_id, row_number() OVER (PARTITION BY l_suppkey % 5 ORDER BY {', '.join(_LINE)}) AS ord, CAST(l_quantity AS INT) % 3 + 1 AS needed,
+    CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN CASE WHEN l_partkey % 307 = 11 THEN 403 WHEN l_partkey % 211 = 5 THEN 400 ELSE 503 END END AS status FROM lineitem),
+  b AS (SELECT plan_id, least(4000, greatest(1, CASE plan_id WHEN 0 THEN 900 WHEN 1 THEN 0 WHEN 2 THEN -5 WHEN 3 THEN 100000 END, CASE WHEN plan_id = 4 THEN 3 * n END, CASE WHEN plan_id = 1 THEN 3 * n END)) AS budget
+    FROM (SELECT plan_id, count(*) AS n FROM t GROUP BY plan_id)),
+  a AS (SELECT *, least(3, greatest(0, budget - coalesce(prior, 0))) AS room FROM (
+    SELECT t.*, budget, sum(CASE WHEN status IS NOT NULL THEN 3 ELSE needed END) OVER (PARTITION BY plan_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM t JOIN b USING (plan_id))),
+  s AS (SELECT plan_id, min(ord) AS stop FROM a WHERE status IN (400, 401, 403) AND room > 0 GROUP BY plan_id),
+  c AS (SELECT a.*, CASE WHEN ord > stop THEN 0 ELSE room END AS allowed FROM a LEFT JOIN s USING (plan_id))
+SELECT plan_id, ord, CAST(allowed AS BIGINT) AS allowed, CASE WHEN status IS NOT NULL THEN 0 ELSE least(needed, allowed) END AS used, allowed > 0 AS admitted FROM c""",
+)
+def admit_until_refused(spark, d):
+    """Budgets from what is left, asked for and needed at worst; a refused search ends its plan."""
+    lines = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("plan_id"), *_LINE)
+    ranked = global_rank(lines, ["plan_id"], [F.col(c) for c in _LINE], "ord", "n")
+    failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    asked = F.element_at(F.array(*[F.lit(x).cast("long") for x in (900, 0, -5, 100_000, None)]), (F.col("plan_id") + 1).cast("int"))
+    todo = ranked.select(
+        "plan_id", "ord", F.lit(3).alias("pages"), (F.col("l_quantity").cast("int") % 3 + 1).alias("needed"), failed.alias("failed"),
+        F.when(failed, F.when(F.col("l_partkey") % 307 == 11, 403).when(F.col("l_partkey") % 211 == 5, 400).otherwise(503)).alias("status"),
+        places.request_budget(F.lit(4000), asked, F.col("n") * 3).alias("budget"),
+    )
+    return places.admit_tasks(todo, F.col("budget")).select("plan_id", "ord", "allowed", "used", "admitted")

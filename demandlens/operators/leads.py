@@ -139,11 +139,13 @@ def import_report(outcomes: DataFrame) -> DataFrame:
 
 
 def apply_patches(leads: DataFrame, patches: DataFrame, settings: Settings, now) -> DataFrame:
-    """``patches(id, set map<string,string>)``, one row per lead: only known fields, valid stages and languages; rescored.
+    """``patches(id, set map<string,string>)``: only known fields, valid stages and languages; rescored.  Of several rows for a lead the one with the
+    most fields counts, of equals the last by its text.
 
     Values are cut at 2,000 characters and phones at 40, as the fields are defined.
     """
-    joined = leads.join(patches.select("id", F.col("set").alias("_set")), "id", "left")
+    one = patches.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), F.to_json("set"))).alias("_set"))
+    joined = leads.join(one, "id", "left")
     phone = F.element_at("_set", F.lit("phone"))
     joined = text.computed_once(joined, "_ph", norm_phone(phone, settings.cc))
 
@@ -267,8 +269,10 @@ def export_leads(leads: DataFrame) -> DataFrame:
     return leads.select("id", F.col("score").alias("_score"), *[text.csv_safe(c).alias(n) for n, c in cells.items()])
 
 
-def enrich_candidates(leads: DataFrame, most: int = 500) -> DataFrame:
-    """The best leads with a website nobody has read yet."""
+def enrich_candidates(leads: DataFrame, most: int = 500, ids: DataFrame | None = None) -> DataFrame:
+    """The best leads with a website nobody has read yet; with ``ids(id)`` those that have one, whatever their stage and whether it was read."""
+    if ids is not None:
+        return leads.filter(text.or_blank(F.col("website")) != "").join(ids.select("id"), "id", "left_semi").select(*leads.columns)
     open_ = ~F.col("stage").isin(*fixed.CLOSED_STAGES)
     fresh = leads.filter((text.or_blank(F.col("website")) != "") & F.col("enriched").isNull() & open_)
     return fresh.orderBy(F.col("score").desc(), F.col("id").asc()).limit(most)

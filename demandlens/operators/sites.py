@@ -135,8 +135,11 @@ def read_sites(leads: DataFrame, pages: DataFrame, junk: str = fixed.JUNK_EMAIL)
 
 
 def apply_enrichment(leads: DataFrame, sites: DataFrame, settings: Settings, now) -> DataFrame:
-    """Write what ``read_sites`` found into the leads and score them again; leads without a result stay as they are."""
-    results = sites.select("id", F.struct("ok", "reason", "hasApp", *ARRAYS, *SOCIAL).alias("_s"))
+    """Write what ``read_sites`` found into the leads and score them again; leads without a result stay as they are.
+
+    Of several results for a lead one that worked counts, of these the greatest field by field.
+    """
+    results = sites.groupBy("id").agg(F.max(F.struct("ok", "reason", "hasApp", *ARRAYS, *SOCIAL)).alias("_s"))
     joined = leads.join(results, "id", "left")
     s, ok = F.col("_s"), F.coalesce(F.col("_s.ok"), F.lit(False))
     seen = s.isNotNull()

@@ -84,6 +84,16 @@ def plan_estimate(searches: DataFrame, used_today: DataFrame, cap: int = 200, us
     )
 
 
+#: Answers that say the key or the request itself is refused.
+STOPS = (400, 401, 403)
+
+
+def request_budget(room: Column, asked: Column, worst: Column) -> Column:
+    """Requests a run may make: what was asked for, or else what the plan needs at worst, at least 1, and no more than is left today."""
+    wanted = F.when(F.coalesce(asked, F.lit(0)) == 0, worst).otherwise(asked)
+    return F.least(room, F.greatest(F.lit(1), wanted))
+
+
 def admit_tasks(
     tasks: DataFrame, budget: Column | int, keys: tuple[str, ...] = ("plan_id",), chunk: int | None = None
 ) -> DataFrame:
@@ -91,18 +101,24 @@ def admit_tasks(
 
     ``tasks(keys..., ord, pages, needed, failed)``: ``needed`` is what the search would really use (at most ``pages``).  A search
     may use what is left, gives back what it does not need, and is not started at all once nothing is left.  A failed search
-    keeps its whole reservation and meters nothing.  Adds ``allowed``, ``used``, ``admitted``.  Running totals are cut into
+    keeps its whole reservation and meters nothing; one that failed with a ``status`` (if there is that column) of STOPS ends the plan, and nothing after it is started.
+    Adds ``allowed``, ``used``, ``admitted``.  Running totals are cut into
     range partitions of ``ord``; searches take their turn one after the other, which fixes one order of the concurrent original.
     """
     budget = budget if isinstance(budget, Column) else F.lit(budget)
     takes = F.when(F.col("failed"), F.col("pages")).otherwise(F.least("needed", "pages"))
     prior = ordering.running(tasks, list(keys), "ord", {"_prior": ("sum", takes)}, inclusive=False, chunk=chunk)
     allowed = F.least(F.col("pages"), F.greatest(F.lit(0), budget - F.col("_prior")))
+    if "status" in tasks.columns:
+        refused = prior.filter(F.col("failed") & F.col("status").isin(*STOPS) & (allowed > 0))
+        first = refused.groupBy(*keys).agg(F.min("ord").alias("_stop"))  # one row a plan
+        prior = ordering.same_keys(prior, first, list(keys), "left")
+        allowed = F.when(F.coalesce(F.col("ord") > F.col("_stop"), F.lit(False)), 0).otherwise(allowed)
     return (
         prior.withColumn("allowed", allowed)
         .withColumn("used", F.when(F.col("failed"), F.lit(0)).otherwise(F.least("needed", "allowed")))
         .withColumn("admitted", F.col("allowed") > 0)
-        .drop("_prior")
+        .drop("_prior", "_stop")
     )
 
 
