@@ -17,12 +17,14 @@ SOURCES = (
 # --- fixed values: query templates of the first expansion level -----------------------------------------------------
 LETTERS = tuple("abcdefghijklmnopqrstuvwxyz")
 DIGITS = tuple("0123456789")
-SUFFIXES = tuple(
-    """near me|for kids|for adults|for beginners|online|app|free|price|fees|class|classes|course|training|teacher|certificate|
-franchise|worksheet|pdf|best|vs|how to|what is|why|where|can|is|in|with|and|tutorial|video|books|competition|exam|jobs|business|
-software|game|apk|download|review|institute|centre|center|academy|coaching|tuition|at home|timing|contact|address|login|syllabus|
-level|age|benefits|tips|tricks|practice|test|for school|in tamil|in hindi|in english|buy|cheap|for men|for women|brands|reviews|
-alternatives|under|kit|set|near|cost""".replace("\n", "").split("|")
+SUFFIXES = (
+    "near me", "for kids", "for adults", "for beginners", "online", "app", "free", "price", "fees", "class", "classes",
+    "course", "training", "teacher", "certificate", "franchise", "worksheet", "pdf", "best", "vs", "how to", "what is",
+    "why", "where", "can", "is", "in", "with", "and", "tutorial", "video", "books", "competition", "exam", "jobs",
+    "business", "software", "game", "apk", "download", "review", "institute", "centre", "center", "academy", "coaching",
+    "tuition", "at home", "timing", "contact", "address", "login", "syllabus", "level", "age", "benefits", "tips",
+    "tricks", "practice", "test", "for school", "in tamil", "in hindi", "in english", "buy", "cheap", "for men",
+    "for women", "brands", "reviews", "alternatives", "under", "kit", "set", "near", "cost",
 )
 PREFIXES = ("best", "how to", "what is", "why", "free", "online", "top", "learn", "buy", "cheap", "near")
 # (format, weight); {s} is the seed and {c} the city
@@ -83,27 +85,28 @@ INTENT_LABELS = {
 }
 
 # --- fixed values: stop words of the topic terms --------------------------------------------------------------------
-STOP_WORDS = tuple(
-    (
-        "a an the of in for to and or is are was be my me i you your with on at by from as it this that these those can do does "
-        "did how what why when where who which get make use using vs versus into about than then there their so if not no yes "
-        "am we our us up out over under best top near nearby classes class online free"
-    ).split()
+STOP_WORDS = (
+    "a", "an", "the", "of", "in", "for", "to", "and", "or", "is", "are", "was", "be", "my", "me", "i", "you", "your",
+    "with", "on", "at", "by", "from", "as", "it", "this", "that", "these", "those", "can", "do", "does", "did", "how",
+    "what", "why", "when", "where", "who", "which", "get", "make", "use", "using", "vs", "versus", "into", "about",
+    "than", "then", "there", "their", "so", "if", "not", "no", "yes", "am", "we", "our", "us", "up", "out", "over",
+    "under", "best", "top", "near", "nearby", "classes", "class", "online", "free",
 )
 
 # --- fixed values: words that follow "in", "near" or a provider word without being a place ---------------------------
-NOT_PLACE_WORDS = tuple(
-    (
-        "me my you your us home school schools india indian tamil hindi english telugu kannada malayalam marathi bengali "
-        "gujarati urdu punjabi online offline free fees fee price cost kids kid children child adults adult beginners beginner "
-        "students student parents parent teacher teachers training course courses class classes center centre centers centres "
-        "institute academy app apps pdf video videos near nearby for with and the a an of to is at by from this that these "
-        "those what how why when where which who level levels exam exams competition competitions certificate certification "
-        "syllabus worksheet worksheets book books timing timings address contact number phone review reviews admission "
-        "admissions franchise franchisee jobs job small big new old good best top cheap low high per month year day week hour "
-        "hours minute minutes maths math mathematics vedic brain mental arithmetic learning learn tuition coaching batch "
-        "batches india's"
-    ).split()
+NOT_PLACE_WORDS = (
+    "me", "my", "you", "your", "us", "home", "school", "schools", "india", "indian", "tamil", "hindi", "english",
+    "telugu", "kannada", "malayalam", "marathi", "bengali", "gujarati", "urdu", "punjabi", "online", "offline", "free",
+    "fees", "fee", "price", "cost", "kids", "kid", "children", "child", "adults", "adult", "beginners", "beginner",
+    "students", "student", "parents", "parent", "teacher", "teachers", "training", "course", "courses", "class",
+    "classes", "center", "centre", "centers", "centres", "institute", "academy", "app", "apps", "pdf", "video", "videos",
+    "near", "nearby", "for", "with", "and", "the", "a", "an", "of", "to", "is", "at", "by", "from", "this", "that",
+    "these", "those", "what", "how", "why", "when", "where", "which", "who", "level", "levels", "exam", "exams",
+    "competition", "competitions", "certificate", "certification", "syllabus", "worksheet", "worksheets", "book", "books",
+    "timing", "timings", "address", "contact", "number", "phone", "review", "reviews", "admission", "admissions",
+    "franchise", "franchisee", "jobs", "job", "small", "big", "new", "old", "good", "best", "top", "cheap", "low", "high",
+    "per", "month", "year", "day", "week", "hour", "hours", "minute", "minutes", "maths", "math", "mathematics", "vedic",
+    "brain", "mental", "arithmetic", "learning", "learn", "tuition", "coaching", "batch", "batches", "india's",
 )
 # words before a trailing place: group 1 after a preposition, group 2 after a provider noun
 PLACE_AFTER_PREPOSITION = r"(?:in|near|at|around)\s+([a-z][a-z .'-]{2,28})"
@@ -114,11 +117,10 @@ PLACE_AFTER_PROVIDER = (
 
 # --- fixed values: gazetteer types that count as a place --------------------------------------------------------------
 PLACE_CATEGORIES = ("boundary", "place")
-PLACE_TYPES = tuple(
-    (
-        "city town village suburb neighbourhood hamlet state county district quarter city_district locality borough municipality "
-        "administrative region country province state_district residential"
-    ).split()
+PLACE_TYPES = (
+    "city", "town", "village", "suburb", "neighbourhood", "hamlet", "state", "county", "district", "quarter",
+    "city_district", "locality", "borough", "municipality", "administrative", "region", "country", "province",
+    "state_district", "residential",
 )
 
 # --- fixed values: lead CSV header aliases, in order of preference ----------------------------------------------------
@@ -191,3 +193,30 @@ STEPS = (
     ("review30", "Day-30 review", "whatsapp", "review30"),
 )
 FUNNEL_STAGES = ("Found", "Reachable (has phone)", "Contacted", "Replied", "Pilot started", "Won")
+
+# --- fixed values: signals of a lead's score ({} is the rating or the number of reviews) ------------------------------
+SIGNALS = {
+    "high_rating": ("Rated {}", 15),
+    "good_rating": ("Rated {}", 10),
+    "low_rating": ("Low rating {}", -5),
+    "active": ("{} reviews: active, likely independent", 15),
+    "known": ("{} reviews", 8),
+    "large": ("{} reviews: likely large", 0),
+    "few": ("Very few reviews", 3),
+    "mobile": ("Mobile number (WhatsApp likely)", 15),
+    "landline": ("Landline only (call, no WhatsApp)", 5),
+    "phone": ("Phone found", 8),
+    "no_phone": ("No usable phone", -20),
+    "own_app": ("Already has its own app", -25),
+    "portal": ("Mentions a portal or app", -10),
+    "no_app": ("No app found on website", 8),
+    "website": ("Has a website (not checked yet)", 3),
+    "chain": ("Looks like a franchise or chain: head office may decide", -20),
+}
+# --- fixed values: sentences about sources that were switched off ({} is the source) -----------------------------------
+OFF_SENTENCES = {
+    "rate": "{} asked us to slow down, so we stopped using it for this scan.",
+    "err": "{} kept failing, so we stopped using it for this scan.",
+}
+# --- fixed values: how a message begins ({} is the contact's name) ------------------------------------------------------
+GREETINGS = ("Hello {} 🙏", "Hello 🙏")

@@ -35,6 +35,12 @@ def let(expr: Column, use) -> Column:
     return F.get(F.transform(F.array(expr), use), F.lit(0))
 
 
+def filled(sentence: str, value: Column | None) -> Column:
+    """``sentence`` with ``value`` in the place of its {}."""
+    before, _, after = sentence.partition("{}")
+    return F.lit(sentence) if value is None else F.concat(F.lit(before), value, F.lit(after))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
 

@@ -16,7 +16,6 @@ from demandlens.settings import Settings
 EXTRA_TYPE = (
     "struct<hasApp:string,appEvidence:array<string>,emails:array<string>,otherPhones:array<string>,phoneNote:string,enrichError:string>"
 )
-CHAIN_LABEL = "Looks like a franchise or chain: head office may decide"
 BASE_SCORE = 30
 
 
@@ -33,27 +32,27 @@ def score_rules(chain_words: str) -> list[tuple[Column, Column | str, int]]:
     rating, reviews, phone = F.col("rating"), F.col("reviews"), text.or_blank(F.col("phone_type"))
     has_app = text.or_blank(F.col("extra.hasApp"))
     enriched = F.col("enriched").isNotNull()
-    rated = F.concat(F.lit("Rated "), text.js_number(rating))
-    n_reviews = reviews.cast("string")
+    score, n_reviews = text.js_number(rating), reviews.cast("string")
     known = phone.isin("mobile", "landline", "unknown")
-    return [
-        (rating >= 4.5, rated, 15),
-        ((rating >= 4.0) & (rating < 4.5), rated, 10),
-        (rating < 3.5, F.concat(F.lit("Low rating "), text.js_number(rating)), -5),
-        ((reviews >= 5) & (reviews <= 150), F.concat(n_reviews, F.lit(" reviews: active, likely independent")), 15),
-        ((reviews > 150) & (reviews <= 500), F.concat(n_reviews, F.lit(" reviews")), 8),
-        (reviews > 500, F.concat(n_reviews, F.lit(" reviews: likely large")), 0),
-        (reviews < 5, "Very few reviews", 3),
-        (phone == "mobile", "Mobile number (WhatsApp likely)", 15),
-        (phone == "landline", "Landline only (call, no WhatsApp)", 5),
-        (phone == "unknown", "Phone found", 8),
-        (~known, "No usable phone", -20),
-        (has_app == "yes", "Already has its own app", -25),
-        (has_app == "maybe", "Mentions a portal or app", -10),
-        ((has_app == "no") & enriched, "No app found on website", 8),
-        ((text.or_blank(F.col("website")) != "") & ~enriched, "Has a website (not checked yet)", 3),
-        (is_chain(F.col("name"), chain_words), CHAIN_LABEL, -20),
+    found = [
+        ("high_rating", rating >= 4.5, score),
+        ("good_rating", (rating >= 4.0) & (rating < 4.5), score),
+        ("low_rating", rating < 3.5, score),
+        ("active", (reviews >= 5) & (reviews <= 150), n_reviews),
+        ("known", (reviews > 150) & (reviews <= 500), n_reviews),
+        ("large", reviews > 500, n_reviews),
+        ("few", reviews < 5, None),
+        ("mobile", phone == "mobile", None),
+        ("landline", phone == "landline", None),
+        ("phone", phone == "unknown", None),
+        ("no_phone", ~known, None),
+        ("own_app", has_app == "yes", None),
+        ("portal", has_app == "maybe", None),
+        ("no_app", (has_app == "no") & enriched, None),
+        ("website", (text.or_blank(F.col("website")) != "") & ~enriched, None),
+        ("chain", is_chain(F.col("name"), chain_words), None),
     ]
+    return [(when, text.filled(fixed.SIGNALS[name][0], value), fixed.SIGNALS[name][1]) for name, when, value in found]
 
 
 def score_leads(leads: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -22,7 +22,7 @@ def step_dim(spark: SparkSession, settings: Settings = Settings()) -> DataFrame:
 def variables(settings: Settings) -> dict[str, Column]:
     """What each {name} in a template stands for, per lead."""
     contact, area = text.or_blank(F.col("contact_name")), text.or_blank(F.col("area"))
-    hello = F.when(contact != "", F.concat(F.lit("Hello "), contact, F.lit(" 🙏"))).otherwise("Hello 🙏")
+    hello = F.when(contact != "", text.filled(fixed.GREETINGS[0], contact)).otherwise(fixed.GREETINGS[1])
     found = F.concat(F.lit(f"I found your {settings.org} in "), area, F.lit("."))
     fixed_values = {k: F.lit(getattr(settings, k)) for k in ("sender", "product", "topic", "org", "link", "offer")}
     return {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens import fixed
+from demandlens.functions import text
 from demandlens.operators import ordering
 from demandlens.session import pin
 
@@ -101,12 +102,10 @@ def scan_summary(breaker_rows: DataFrame, phrases: DataFrame, stopped: DataFrame
         F.count_if(kept & (F.col("outcome") == "cached")).alias("cached"),
     )
     label = F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for name, text, _ in fixed.SOURCES for x in (name, text)]), F.col("source")),
+        F.element_at(F.create_map(*[F.lit(x) for name, shown, _ in fixed.SOURCES for x in (name, shown)]), F.col("source")),
         F.col("source"),
     )
-    sentence = F.when(
-        F.col("off_reason") == "rate", F.concat(label, F.lit(" asked us to slow down, so we stopped using it for this scan."))
-    ).otherwise(F.concat(label, F.lit(" kept failing, so we stopped using it for this scan.")))
+    sentence = F.when(F.col("off_reason") == "rate", text.filled(fixed.OFF_SENTENCES["rate"], label)).otherwise(text.filled(fixed.OFF_SENTENCES["err"], label))
     # at most one row per source of a scan
     notes = (
         switched_off(breaker_rows)
