@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from demandlens.session import pin
 
+#: Rounds before references are passed on: most rows are settled by then.
+EARLY = 3
+
 
 def _first_two(rows: DataFrame, key: str) -> DataFrame:
     """(key, key1, key2): the first two times of each key.  Spark keeps two rows a key and partition before it shuffles."""
@@ -26,7 +29,7 @@ def first_come(rows: DataFrame) -> DataFrame:
     """(t, p, w) of the rows that are taken.  ``t`` is unique; no key is NULL."""
     t, none = F.col("t"), F.lit(None)
     active = pin(rows.select("t", "p", "w", none.cast("long").alias("ref"), F.lit(False).alias("opposite")))
-    taken, before = rows.select("t", "p", "w").limit(0), None
+    taken, before, done = rows.select("t", "p", "w").limit(0), None, 0
     while not active.isEmpty():
         at = active.join(_first_two(active, "p"), "p").join(_first_two(active, "w"), "w")
         first_p, first_w = t == F.col("p1"), t == F.col("w1")
@@ -44,18 +47,26 @@ def first_come(rows: DataFrame) -> DataFrame:
                 "t", "p", "w", "ref", "opposite", F.when(F.col("ready"), True).when(F.col("ref").isNotNull(), known).alias("taken")
             )
         )
-        further = settled.select(t.alias("r_t"), F.col("taken").alias("r_taken"), F.col("ref").alias("r_ref"), F.col("opposite").alias("r_opposite"))
-        jumped = F.col("r_ref").isNotNull()
-        stepped = pin(
-            settled.join(further, F.col("ref") == F.col("r_t"), "left").select(
-                "t", "p", "w",
-                F.coalesce("taken", F.col("r_taken") != F.col("opposite")).alias("taken"),
-                F.when(jumped, F.col("r_ref")).otherwise(F.col("ref")).alias("ref"),
-                F.when(jumped, F.col("opposite") != F.col("r_opposite")).otherwise(F.col("opposite")).alias("opposite"),
-            )
-        )
+        done += 1
+        stepped = settled if done <= EARLY else _passed_on(settled)
         before = stepped.filter("taken").select("t", "p", "w")
         taken = taken.unionByName(before)
         left = stepped.filter("taken IS NULL").drop("taken")
         active = pin(left.join(before.select("p"), "p", "left_anti").join(before.select("w"), "w", "left_anti").select("t", "p", "w", "ref", "opposite"))
     return taken
+
+
+def _passed_on(settled: DataFrame) -> DataFrame:
+    """Rows take over what is known of the row they refer to, or the reference it has itself."""
+    further = settled.select(F.col("t").alias("r_t"), F.col("taken").alias("r_taken"), F.col("ref").alias("r_ref"), F.col("opposite").alias("r_opposite"))
+    jumped = F.col("r_ref").isNotNull()
+    return pin(
+        settled.join(further, F.col("ref") == F.col("r_t"), "left").select(
+            "t",
+            "p",
+            "w",
+            F.coalesce("taken", F.col("r_taken") != F.col("opposite")).alias("taken"),
+            F.when(jumped, F.col("r_ref")).otherwise(F.col("ref")).alias("ref"),
+            F.when(jumped, F.col("opposite") != F.col("r_opposite")).otherwise(F.col("opposite")).alias("opposite"),
+        )
+    )
