@@ -31,6 +31,11 @@ def chunked(df: DataFrame, keys: list[str], seq: str, chunk: int | None = None)
     return pin(df.repartitionByRange(*parts, *keys, seq).withColumn("_chunk", F.spark_partition_id()))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt into partitions of about ``rows`` rows, for steps that make many rows of each: small files would put them all into one task."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their 1-based rank.
 

@@ -64,10 +64,14 @@ def _fill(fmt: str) -> list[tuple[str, str]]:
     return pieces
 
 
+#: Scans that one task expands, into about a thousand tasks each at most.
+SCANS_A_TASK = 500
+
+
 def expand_level1(scans: DataFrame, suffixes=fixed.SUFFIXES, prefixes=fixed.PREFIXES) -> DataFrame:
     """(search_id, source, q, w, ord) for every source, seed and template of every scan, first weight of a repeat kept.
 
-    The templates are a literal array exploded next to the scan (no join, no shuffle); only the de-duplication shuffles.
+    The templates are a literal array exploded next to the scan (no join); the scans are dealt out before, and the de-duplication shuffles.
     """
     templates = _templates(suffixes, prefixes)
     before, after = [], []  # text around the seed; city templates go through their own branch
@@ -79,7 +83,7 @@ def expand_level1(scans: DataFrame, suffixes=fixed.SUFFIXES, prefixes=fixed.PREF
     entries = [{"b": b, "a": a, "w": w, "c": c, "i": i} for i, ((c, _, w), b, a) in enumerate(zip(templates, before, after))]
     # one constant in the plan
     literal = F.from_json(F.lit(json.dumps(entries)), "array<struct<b:string,a:string,w:double,c:string,i:int>>")
-    base = with_profile(scans).withColumn("city", F.coalesce("city", F.lit("")))
+    base = with_profile(ordering.spread(scans, SCANS_A_TASK)).withColumn("city", F.coalesce("city", F.lit("")))
     wanted = (
         (F.col("t.c") == "always") | ((F.col("t.c") == "wide") & F.col("wide")) | ((F.col("t.c") == "city") & (F.col("city") != ""))
     )
