@@ -12,6 +12,8 @@ from demandlens.plans.grid import cover_grid
 MAX_QUERIES = 12
 MAX_LOCALITIES = 80
 PAGE_SIZE = 20
+#: Requests that one task plans, into MAX_QUERIES * MAX_LOCALITIES searches each at most, or as many circles.
+REQUESTS_A_TASK = 10_000
 
 
 def _distinct_trimmed(items: Column, most: int) -> Column:
@@ -28,10 +30,10 @@ def plan_searches(requests: DataFrame, cover_km: float = 12, step_km: float = 4)
     """``requests(plan_id, queries, city, mode, localities, pages, lat, lng)`` -> one row per search.
 
     Modes: ``localities`` (query in locality, city), ``grid`` (city search biased to each circle of the lattice), anything else
-    one city-wide search per query.  ``bias`` is a nullable struct(lat, lng, radius).
+    one city-wide search per query.  ``bias`` is a nullable struct(lat, lng, radius).  Requests are dealt out before they are planned.
     """
     city = text.js_trim(text.or_blank(F.col("city")))
-    base = requests.select(
+    base = ordering.spread(requests, REQUESTS_A_TASK).select(
         "plan_id",
         city.alias("city"),
         F.coalesce("mode", F.lit("city")).alias("mode"),

@@ -1,6 +1,6 @@
 """Rows that make many others are dealt out first, whatever files they come from; large values are moved once and never sent everywhere."""
 
-from demandlens.plans import tasks
+from demandlens.plans import places, tasks
 
 
 def plan_of(df):
@@ -15,3 +15,14 @@ def test_scans_are_dealt_out(spark, monkeypatch):
     assert "RoundRobinPartitioning(3)" in plan_of(out)
     assert {r.search_id: r["count"] for r in out.groupBy("search_id").count().collect()} == dict.fromkeys(range(3), 2 * (1 + 76 + 11 + 26))
     assert tasks.expand_level1(scans.limit(0)).count() == 0
+
+
+def test_requests_are_dealt_out(spark, monkeypatch):
+    rows = [(i, ["a", "b"], "Salem", m, ["x", "y"], 1, 13.0, 80.0) for i, m in enumerate(("localities", "grid", "city", None))]
+    schema = "plan_id long, queries array<string>, city string, mode string, localities array<string>, pages int, lat double, lng double"
+    monkeypatch.setattr(places, "REQUESTS_A_TASK", 1)
+    out = places.plan_estimate(places.plan_searches(spark.createDataFrame(rows, schema).coalesce(1)), spark.createDataFrame([(0,)], "n long"))
+    assert plan_of(out).count("RoundRobinPartitioning(4)") >= 3  # one for each mode
+    assert {r.plan_id: (r.searches, r.sample) for r in out.collect()} == {
+        0: (4, ["a in x, Salem", "a in y, Salem", "b in x, Salem"]), 1: (74, ["a in Salem"] * 3), 2: (2, ["a in Salem", "b in Salem"]), 3: (2, ["a in Salem", "b in Salem"]),
+    }
