@@ -141,10 +141,12 @@ def apply_patches(leads: DataFrame, patches: DataFrame, settings: Settings, now)
     """``patches(id, set map<string,string>)``: only known fields, valid stages and languages; rescored.  Of several rows for a lead the one with the
     most fields counts, of equals the last by its text.
 
-    Values are cut at 2,000 characters and phones at 40, as the fields are defined.
+    Values are cut at 2,000 characters and phones at 40, as the fields are defined.  Patches are dealt out by lead before they are
+    compared: each is moved and sorted once, without its text in JSON, and the join goes on from there.  It merges, since Spark's guess of
+    a map's size would send all patches everywhere.
     """
-    one = patches.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), F.to_json("set"))).alias("_set"))
-    joined = leads.join(one, "id", "left")
+    one = patches.filter(F.col("id").isNotNull()).repartition("id").groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), F.to_json("set"))).alias("_set"))
+    joined = leads.join(one.hint("merge"), "id", "left")
     phone = F.element_at("_set", F.lit("phone"))
     joined = text.computed_once(joined, "_ph", norm_phone(phone, settings.cc))
 

@@ -1,6 +1,11 @@
 """Rows that make many others are dealt out first, whatever files they come from; large values are moved once and never sent everywhere."""
 
+from pyspark.sql import functions as F
+
+from demandlens.operators import leads as L
 from demandlens.plans import places, tasks
+from demandlens.settings import Settings
+from tests.lead_tables import NOW, lead_rows
 
 
 def plan_of(df):
@@ -26,3 +31,13 @@ def test_requests_are_dealt_out(spark, monkeypatch):
     assert {r.plan_id: (r.searches, r.sample) for r in out.collect()} == {
         0: (4, ["a in x, Salem", "a in y, Salem", "b in x, Salem"]), 1: (74, ["a in Salem"] * 3), 2: (2, ["a in Salem", "b in Salem"]), 3: (2, ["a in Salem", "b in Salem"]),
     }
+
+
+def test_patches_move_once(spark):
+    leads = lead_rows(spark, [{"id": i, "name": "old"} for i in range(4)])
+    rows = [(0, {"name": "a", "notes": "n"}), (0, {"name": "z"}), (1, {"name": "a"}), (1, {"name": "b"}), (None, {"name": "c"}), (9, {"name": "d"})]
+    out = L.apply_patches(leads, spark.createDataFrame(rows, "id long, set map<string,string>"), Settings(), F.lit(NOW))
+    assert {r.id: r["name"] for r in out.collect()} == {0: "a", 1: "b", 2: "old", 3: "old"}
+    steps = plan_of(out)
+    assert "BroadcastExchange" not in steps and "SortMergeJoin" in steps
+    assert steps.count("max_by") and steps.index("partial_max_by") < steps.index("REPARTITION_BY_COL")  # dealt out before they are compared
