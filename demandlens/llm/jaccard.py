@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import Shelf, batches_of, with_row_keys
@@ -153,7 +153,7 @@ def needed(a: Column, b: Column, percent: int) -> Column:
 def linked_classes(docs: DataFrame, reps: DataFrame, shelf: Shelf, words: int, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked with another: ``reps`` is (doc_id, n, prefix) of each class."""
     reps, have = index_order(docs, reps, shelf, words, percent)
-    entries = shelf.put(with_lists(postings_of(reps).withColumns({name: F.lit(None).cast("long") for name in REFERENCE})))
+    entries = shelf.put(with_lists(postings_of(reps)).withColumns({name: F.lit(None).cast("long") for name in REFERENCE}))
     k, roots = FIRST_LEADERS, None
     while not entries.isEmpty():
         members = entries.withColumn("leads", leads(k))
@@ -191,16 +191,19 @@ def referred(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_lists(entries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """The entries of lists with several components, with their own ``root``, the list's length ``m``, its largest component (``main``, of ``most``
-    entries), and the class whose set has the fewest rare shingles (``first``)."""
-    first = F.min(F.struct("u", F.xxhash64("c").alias("h"), "c")).alias("low")
+    entries), and the class whose set has the fewest rare shingles (``first``).
+
+    At first most entries are alone in their list, and sums by list would be as many rows again: so entries are moved once, next to their list.
+    """
+    first = F.min(F.struct("u", F.xxhash64("c").alias("h"), "c"))
     if roots is None:
-        named = entries.withColumn("root", F.col("c"))
-        lists = entries.groupBy("t").agg(F.count("*").alias("m"), F.max("c").alias("main"), first).filter("m > 1").withColumn("most", F.lit(1).cast("long"))
-    else:
-        named = entries.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
-        parts = named.groupBy("t", "root").agg(F.count("*").alias("m"), first)
-        lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"), F.min("low").alias("low"))
-        lists = lists.select("t", "m", F.col("top.root").alias("main"), F.col("top.m").alias("most"), "low").filter("m > most")
+        whole = Window.partitionBy("t")
+        held = entries.withColumns({"m": F.count("*").over(whole), "main": F.max("c").over(whole), "low": first.over(whole)}).filter("m > 1")
+        return held.withColumns({"root": F.col("c"), "most": F.lit(1).cast("long"), "first": F.col("low.c")}).drop("low")
+    named = entries.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+    parts = named.groupBy("t", "root").agg(F.count("*").alias("m"), first.alias("low"))
+    lists = parts.groupBy("t").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"), F.min("low").alias("low"))
+    lists = lists.select("t", "m", F.col("top.root").alias("main"), F.col("top.m").alias("most"), "low").filter("m > most")
     return named.join(lists.withColumn("first", F.col("low.c")).drop("low"), "t")
 
 
