@@ -7,6 +7,7 @@ reasons) follows from the rule that the control state before the event picks.
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 from demandlens import fixed
@@ -68,17 +69,20 @@ RULES = (
 NO_RULE = Rule("")
 
 
+@cache
 def encode(stage: str, action: str, touched: bool, landline: bool, has_wa: bool) -> int:
     s = fixed.STAGES.index(stage) * len(ACTIONS) + ACTIONS.index(action or "")
     return ((s * 2 + touched) * 2 + landline) * 2 + has_wa
 
 
+@cache
 def decode(state: int) -> tuple[str, str, bool, bool, bool]:
     pair, flags = divmod(state, 8)
     stage, action = divmod(pair, len(ACTIONS))
     return fixed.STAGES[stage], ACTIONS[action], bool(flags & 4), bool(flags & 2), bool(flags & 1)
 
 
+@cache
 def step_of(state: int) -> str:
     """The next action; for a new lead without one the first message, or a call if it cannot get one."""
     stage, action, _, landline, has_wa = decode(state)
@@ -86,6 +90,7 @@ def step_of(state: int) -> str:
     return action or opening
 
 
+@cache
 def rule_of(state: int, kind: str) -> int:
     """Number of the rule that an event meets: its place in RULES from 1, 0 for none."""
     stage, _, touched, _, _ = decode(state)
@@ -95,6 +100,7 @@ def rule_of(state: int, kind: str) -> int:
     return 0
 
 
+@cache
 def after(state: int, kind: str) -> int:
     """The control state after an event."""
     stage, action, touched, landline, has_wa = decode(state)

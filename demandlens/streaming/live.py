@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -75,7 +76,10 @@ LEAD_STATE = (
     "stage string, next_action string, followup_us long, touches int, phone_type string, wa string, pilot_us long, contacted_us long, "
     "lost_reason string, lang string"
 )
+#: Groups that leads share in the stream, by a hash.
+LEAD_SLOTS = 4096
 LEAD_INPUT = "lead_id long, event_id long, ev string, at timestamp, outcome string, reason string, days int, body string, lang string"
+EVENT_FIELDS = tuple(c for c in (f.split()[0] for f in LEAD_INPUT.split(", ")) if c != "at")
 # times cross the Python border as UTC microseconds
 LEAD_OUTPUT = (
     "lead_id long, kind string, event_id long, type string, step string, lang string, body string, at_us long, stage string, "
@@ -108,7 +112,7 @@ def apply_event(s: dict, ev: str, at_us: int, outcome, reason, days, zone: ZoneI
 
 
 class LeadProcessor(StatefulProcessor):
-    """Per-lead state: one small value and one timer for the follow-up time.
+    """The leads of one slot, as one value, and one timer for the first of the follow-up times they wait for.
 
     Emits an ``activity`` row per event with the state after it, a ``due`` row when the watermark passes a follow-up time that still
     stands, and an ``error`` row for events that cannot be applied.  Events of a lead within a micro-batch are taken in the
@@ -122,48 +126,76 @@ class LeadProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("lead", LEAD_STATE)
+        # the leads are a JSON list of [lead_id, the time it waits for in ms, its LEAD_STATE]
+        self.slot = handle.getValueState("slot", "timer_ms long, leads string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = {f: initialState[f] for f in self.FIELDS}
-        self.state.update(tuple(row[f] for f in self.FIELDS))
-        self._timer(row)
-
-    def _timer(self, s: dict) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if s["next_action"] and s["followup_us"] is not None:
-            self.handle.registerTimer(s["followup_us"] // 1000)
-
-    def _row(self, key, s: dict, kind: str, event_id=None, type_=None, step=None, lang=None, body=None, at_us=None) -> Row:
+        leads = {row["lead_id"]: {f: row[f] for f in self.FIELDS} for row in initialState["leads"]}
+        for s in leads.values():
+            self._wait(s)
+        self._store(leads, None)
+
+    def _load(self) -> tuple[dict, int | None]:
+        if not self.slot.exists():
+            return {}, None
+        timer, leads = self.slot.get()
+        return {lead: {"wait_ms": wait, **dict(zip(self.FIELDS, s))} for lead, wait, *s in json.loads(leads)}, timer
+
+    def _store(self, leads: dict, timer: int | None) -> None:
+        """Keep the states of the slot, whose timer stood at ``timer``."""
+        first = min((s["wait_ms"] for s in leads.values() if s["wait_ms"] is not None), default=None)
+        rows = [[lead, s["wait_ms"], *[s[f] for f in self.FIELDS]] for lead, s in leads.items()]
+        self.slot.update((first, json.dumps(rows, ensure_ascii=False, separators=(",", ":"))))
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    def _wait(self, s: dict) -> None:
+        s["wait_ms"] = s["followup_us"] // 1000 if s["next_action"] and s["followup_us"] is not None else None
+
+    def _row(self, lead, s: dict, kind: str, event_id=None, type_=None, step=None, lang=None, body=None, at_us=None) -> Row:
         return Row(
-            lead_id=key[0], kind=kind, event_id=event_id, type=type_, step=step, lang=lang, body=body, at_us=at_us, stage=s["stage"],
+            lead_id=lead, kind=kind, event_id=event_id, type=type_, step=step, lang=lang, body=body, at_us=at_us, stage=s["stage"],
             next_action=s["next_action"], next_followup_us=s["followup_us"], touches=s["touches"], phone_type=s["phone_type"],
             pilot_start_us=s["pilot_us"], last_contacted_us=s["contacted_us"], lost_reason=s["lost_reason"],
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self.state.exists()
-        s = dict(zip(self.FIELDS, self.state.get())) if known else dict.fromkeys(self.FIELDS)
+        events: dict = {}
+        for row in rows:
+            events.setdefault(row["event"]["lead_id"], []).append(row["event"])
+        leads, timer = self._load()
         changed = False
-        for r in sorted(rows, key=lambda r: (r["at_us"], r["event_id"])):
-            if not known or r["ev"] not in rules.EVENTS:
-                problem = "Lead not found" if r["ev"] in rules.EVENTS else f"Unknown event {r['ev']}"
-                yield self._row(key, s, "error", r["event_id"], r["ev"], None, None, problem, r["at_us"])
-                continue
-            step = apply_event(s, r["ev"], r["at_us"], r["outcome"], r["reason"], r["days"], self.zone)
-            changed = True
-            body = r["body"] or r["outcome"] or r["reason"] or ""
-            yield self._row(key, s, "activity", r["event_id"], r["ev"], step, r["lang"] or s["lang"], body, r["at_us"])
+        for lead, some in events.items():
+            known = lead in leads
+            s = leads[lead] if known else dict.fromkeys(self.FIELDS)
+            moved = False
+            for r in sorted(some, key=lambda r: (r["at_us"], r["event_id"])):
+                if not known or r["ev"] not in rules.EVENTS:
+                    problem = "Lead not found" if r["ev"] in rules.EVENTS else f"Unknown event {r['ev']}"
+                    yield self._row(lead, s, "error", r["event_id"], r["ev"], None, None, problem, r["at_us"])
+                    continue
+                step = apply_event(s, r["ev"], r["at_us"], r["outcome"], r["reason"], r["days"], self.zone)
+                moved = True
+                body = r["body"] or r["outcome"] or r["reason"] or ""
+                yield self._row(lead, s, "activity", r["event_id"], r["ev"], step, r["lang"] or s["lang"], body, r["at_us"])
+            if moved:
+                self._wait(s)
+                changed = True
         if changed:
-            self.state.update(tuple(s[f] for f in self.FIELDS))
-            self._timer(s)
+            self._store(leads, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        s = dict(zip(self.FIELDS, self.state.get())) if self.state.exists() else None
-        if s and s["next_action"] and s["followup_us"] is not None:
-            if s["followup_us"] // 1000 == expiredTimerInfo.getExpiryTimeInMs() and s["stage"] not in ("won", "lost", "invalid"):
-                yield self._row(key, s, "due", at_us=s["followup_us"])
+        leads, timer = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        for lead, s in leads.items():
+            if s["wait_ms"] is not None and s["wait_ms"] < now:
+                s["wait_ms"] = None
+                if s["stage"] not in ("won", "lost", "invalid"):
+                    yield self._row(lead, s, "due", at_us=s["followup_us"])
+        self._store(leads, timer)
 
     def close(self) -> None:
         pass
@@ -176,21 +208,29 @@ def initial_lead_state(leads: DataFrame) -> DataFrame:
     )
 
 
-def lead_stream(events: DataFrame, leads: DataFrame, delay: str = "1 day") -> DataFrame:
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("lead_id"), F.lit(slots)).alias("slot")
+
+
+def lead_stream(events: DataFrame, leads: DataFrame, delay: str = "1 day", slots: int = LEAD_SLOTS) -> DataFrame:
     """A stream of events -> activities, due rows and errors.  Needs the RocksDB state store.  Days are those of the session zone.
 
-    Events more than ``delay`` behind the newest are dropped (the batch form has no such rule).
+    Events more than ``delay`` behind the newest are dropped (the batch form has no such rule).  Leads share ``slots`` groups by a hash,
+    since each group of a micro-batch takes Python several calls to the state store, and a call far more time than a lead's own work.  A
+    micro-batch reads and writes the groups it touches as a whole; a running stream must keep their number.
     """
+    start = initial_lead_state(leads)
+    event = F.struct(*EVENT_FIELDS, F.unix_micros("at").alias("at_us")).alias("event")
     out = (
         events.withWatermark("at", delay)
-        .withColumn("at_us", F.unix_micros("at"))
-        .groupBy("lead_id")
+        .select(_slot(slots), "at", event)
+        .groupBy("slot")
         .transformWithState(
             statefulProcessor=LeadProcessor(events.sparkSession.conf.get("spark.sql.session.timeZone")),
             outputStructType=LEAD_OUTPUT,
             outputMode="Append",
             timeMode="EventTime",
-            initialState=initial_lead_state(leads).groupBy("lead_id"),
+            initialState=start.groupBy(_slot(slots)).agg(F.collect_list(F.struct(*start.columns)).alias("leads")).groupBy("slot"),
         )
     )
     times = {f"{c}_us": c for c in ("at", "next_followup", "pilot_start", "last_contacted")}

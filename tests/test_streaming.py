@@ -79,6 +79,78 @@ def test_snooze_moves_the_timer(spark, tmp_path):
     assert [(r.lead_id, r.at) for r in out] == [(1, dt.datetime(2024, 1, 15, 11))]
 
 
+class Store:
+    """Stands in for the state store of one group and counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.remove(t)
+
+
+def test_calls_to_the_state_store_follow_slots(spark):
+    """Five hundred leads of a slot take as many calls as one, and the slot has one timer, for the first that waits."""
+    calls = set()
+    for n in (1, 500):
+        store, processor = Store(), live.LeadProcessor("UTC")
+        processor.init(store)
+        state = dict.fromkeys(processor.FIELDS) | {"stage": "contacted", "next_action": "call", "wa": "9", "touches": 1}
+        processor.handleInitialState((0,), {"leads": [state | {"lead_id": i, "followup_us": (n - i) * 10**6} for i in range(n)]}, None)
+        assert store.timers == {1000}
+        event = dict.fromkeys(live.EVENT_FIELDS) | {"ev": "snooze", "days": 2, "at_us": 5 * 10**6}
+        out = list(processor.handleInputRows((0,), [{"event": event | {"lead_id": i, "event_id": i}} for i in range(n + 1)], None))
+        assert [r.kind for r in out] == ["activity"] * n + ["error"] and len(store.timers) == 1
+        calls.add(store.calls)
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("slots", [1, 2])
+def test_leads_of_a_slot_stay_apart(spark, tmp_path, slots):
+    day = lambda n, hour=0: dt.datetime(2024, 1, n, hour)
+    waits = {"stage": "contacted", "next_action": "call", "touches": 1}
+    leads = lead_rows(spark, [
+        {"id": 1, "wa": "9", "phone_type": "mobile"}, {"id": 2, **waits, "next_followup": day(12, 11)}, {"id": 3, **waits, "next_followup": day(12, 11)},
+        {"id": 4, **waits, "next_followup": day(14, 11)}, {"id": None, **waits, "next_followup": day(13, 11)}, {"id": 6},
+    ])
+    rows = [
+        {"event_id": 1, "lead_id": 1, "ev": "sent", "at": T}, {"event_id": 2, "lead_id": 3, "ev": "won", "at": T}, {"event_id": 3, "lead_id": 9, "ev": "won", "at": T},
+        {"event_id": 4, "lead_id": 6, "ev": "note", "at": day(13)}, {"event_id": 5, "lead_id": 4, "ev": "snooze", "days": 6, "at": day(13, 1)},
+        {"event_id": 6, "lead_id": 6, "ev": "note", "at": day(16)}, {"event_id": 11, "lead_id": 6, "ev": "note", "at": day(16, 1)},
+        {"event_id": 7, "lead_id": 2, "ev": "note", "at": day(17)},  # it is late still, and said once more
+        {"event_id": 8, "lead_id": None, "ev": "called", "at": day(17, 1)}, {"event_id": 9, "lead_id": None, "ev": "sent", "at": day(17, 1)},
+        {"event_id": 10, "lead_id": 6, "ev": "note", "at": day(24)},
+    ]
+    stream = as_stream(spark, events(spark, rows), str(tmp_path), ["event_id < 4", "event_id in (4, 5)", "event_id = 6", "event_id = 11", "event_id in (7, 8, 9)", "event_id = 10"])
+    out = drain(live.lead_stream(stream, leads, slots=slots), str(tmp_path)).collect()
+    due = sorted(((r.lead_id or 0, r.at) for r in out if r.kind == "due"))
+    assert due == [(0, day(13, 11)), (1, day(11, 11)), (2, day(12, 11)), (2, day(12, 11)), (4, day(19, 11))]
+    assert {(r.event_id, r.lead_id, r.stage) for r in out if r.kind == "activity"} == {
+        (1, 1, "contacted"), (2, 3, "won"), (4, 6, "new"), (5, 4, "contacted"), (6, 6, "new"), (7, 2, "contacted"), (8, None, "lost"), (9, None, "lost"), (10, 6, "new"), (11, 6, "new"),
+    }
+    assert [(r.event_id, r.lead_id) for r in out if r.kind == "error"] == [(3, 9)]
+
+
 def test_breaker(spark, tmp_path):
     rng = random.Random(5)
     rows = [(1, rng.choice("abc"), n, rng.choice(["ok", "rate", "rate", "err", "err", "err"])) for n in range(300)]
